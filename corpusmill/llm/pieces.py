@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.prefix_bpe import PrefixBpe
+from corpusmill.llm.prefix_bpe import DEPTH, TOKEN, PrefixBpe
 
 SPACE = "▁"
 
@@ -86,10 +86,10 @@ class PieceCodec:
     def stream(self, symbols) -> Iterator[int]:
         """The ids of symbols without runs of spaces, each as soon as it is settled."""
         bpe, base = self.bpe, self.bpe.base
-        state, back = bpe.start, []  # back[p]: the piece that ends behind position p of the window
+        live, back = bpe.start.live, []  # back[p]: the piece that ends behind position p of the window
 
         def settled(live) -> int:
-            ends = sorted(len(back) - node.depth for node, _, _ in live)
+            ends = sorted(len(back) - node[DEPTH] for node, _, _ in live)
             paths = []
             for at in ends:
                 path = set()
@@ -111,24 +111,27 @@ class PieceCodec:
             if c not in base:
                 yield from commit(len(back))
                 yield from (self.bytes_[b] for b in c.encode("utf-8", "replace"))
-                state = bpe.start
+                live = bpe.start.live
                 continue
-            hit = state.next.get(c) or bpe.step(state, c)
-            state = hit[0]
-            back.append(hit[2])
-            if len(state.live) == 1:
+            live = bpe.walk(live, (c,), back)
+            live = [(n, t, 0) for n, t, _ in live if len(n) > 1 + (TOKEN in n)]
+            if len(live) == 1:
                 yield from commit(len(back))
             elif len(back) >= 4 * bpe.longest and len(back) % bpe.longest == 0:
-                yield from commit(settled(state.live))
+                yield from commit(settled(live))
         yield from commit(len(back))
 
     def short(self, symbols: str) -> tuple:
         """``stream`` for a window that holds all symbols."""
         step, state, back = self.bpe.step, self.bpe.start, []
         try:
-            for c in symbols:
-                state, _, piece = state.next.get(c) or step(state, c)
-                back.append(piece)
+            for i, c in enumerate(symbols):
+                hit = state.next.get(c) or step(state, c)
+                if hit is None:  # beyond the compiled states
+                    self.bpe.walk(state.live, symbols[i:], back)
+                    break
+                state = hit[0]
+                back.append(hit[2])
         except KeyError:  # a character without a piece
             return tuple(self.stream(symbols))
         out, p, size = [], len(back), self.size
@@ -150,7 +153,6 @@ class PieceCodec:
             if len(self.segments) >= self.max_segments:
                 self.segments.clear()
             self.segments[s] = ids
-        self.bpe.trim()
         return ids
 
     def encode(self, text: str | None) -> list[int]:

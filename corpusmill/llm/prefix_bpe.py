@@ -7,21 +7,15 @@ the encoding of ``x + c`` is the one token that ends there and forms a valid
 pair with the last token of what stands before it.  What the future can depend
 on is small: those earlier boundaries at which a longer token may still have
 begun, with their place in the token trie and the last token before them.
-That is the state here.  States and transitions are compiled when first met.
+That is the state here.  States and transitions are compiled when first met, up to a bound;
+beyond it, ``walk`` does the same steps without keeping the states.
 """
 
 from __future__ import annotations
 
 START = -1
-
-
-class Trie:
-    """A node: its depth, children by symbol, and the token that ends here, if any."""
-
-    __slots__ = ("children", "depth", "token")
-
-    def __init__(self, depth: int = 0):
-        self.children, self.depth, self.token = {}, depth, None
+#: Keys of a trie node besides symbols: the token that ends here, and the depth.
+TOKEN, DEPTH = "", "##"
 
 
 class State:
@@ -29,38 +23,34 @@ class State:
 
     ``live``: (trie node, last token before it, emitted tokens there less those
     here) from the longest to the shortest; ``next``: symbol to (state, change
-    of the number of emitted tokens, last token); ``ends``: the same for the
-    final symbol of a word, without a state.
+    of the number of emitted tokens, last token).
     """
 
-    __slots__ = ("ends", "live", "next")
+    __slots__ = ("live", "next")
 
     def __init__(self, live):
-        self.live, self.next, self.ends = live, {}, {}
+        self.live, self.next = live, {}
 
 
 class PrefixBpe:
     """``merge(a, b)`` gives (rank, token) of the merge of two tokens, or None.
 
     ``spell``: token to its tuple of symbols.  Tokens that byte-pair encoding
-    never yields for their own symbols are left out.  Memory is bounded: beyond
-    ``max_states`` the compiled states are given up and built again.
+    never yields for their own symbols are left out.  ``max_states`` bounds the
+    compiled states, ``max_pairs`` the remembered pairs.
     """
 
-    def __init__(self, spell: dict, merge, max_states: int = 150_000):
-        self.merge, self.spell, self.max_states = merge, spell, max_states
+    def __init__(self, spell: dict, merge, max_states: int = 25_000, max_pairs: int = 600_000):
+        self.merge, self.spell, self.max_states, self.max_pairs = merge, spell, max_states, max_pairs
         self.base = {s[0]: t for t, s in spell.items() if len(s) == 1}
-        self.trie, self.longest = Trie(), 1
+        self.trie, self.longest = {DEPTH: 0}, 1
         for token, symbols in spell.items():
             if len(symbols) > 1 and self.plain(symbols) != [token]:
                 continue
             node = self.trie
             for c in symbols:
-                node = node.children.setdefault(c, Trie(node.depth + 1))
-            node.token, self.longest = token, max(self.longest, len(symbols))
-        self.reset()
-
-    def reset(self):
+                node = node.setdefault(c, {DEPTH: node[DEPTH] + 1})
+            node[TOKEN], self.longest = token, max(self.longest, len(symbols))
         self.pairs: dict = {}
         self.states: dict = {}
         self.start = State(((self.trie, START, 0),))
@@ -75,42 +65,54 @@ class PrefixBpe:
             tokens[best[1] : best[1] + 2] = [best[2]]
         return tokens
 
-    def valid(self, a, b) -> bool:
+    def valid(self, a: int, b: int) -> bool:
         """Whether token ``b`` can follow token ``a``."""
-        found = self.pairs.get((a, b))
+        key = a << 24 | b
+        found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 8 * self.max_states:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.plain(self.spell[a] + self.spell[b]) == [a, b]
+            found = self.pairs[key] = self.plain(self.spell[a] + self.spell[b]) == [a, b]
         return found
 
-    def _last(self, live, symbol):
-        """(token that ends the encoding with ``symbol`` added, emitted tokens less those before)."""
-        for node, last, count in live:
-            child = node.children.get(symbol)
-            if child is not None and child.token is not None and (last == START or self.valid(last, child.token)):
-                return child.token, count + 1
-        raise KeyError(symbol)
+    def walk(self, live, symbols, back: list):
+        """Read ``symbols`` from a state's ``live``; the last token of each place goes to ``back``.
+
+        Returns the new ``live`` with counts from where the old one stood.
+        Raises KeyError at a symbol without a token.
+        """
+        pairs, root = self.pairs.get, self.trie
+        for c in symbols:
+            after, token, count = [], None, 0
+            for node, last, n in live:
+                child = node.get(c)
+                if child is None:
+                    continue
+                if token is None:
+                    t = child.get(TOKEN)
+                    if t is not None:
+                        ok = True if last < 0 else pairs(last << 24 | t)
+                        if ok or (ok is None and self.valid(last, t)):
+                            token, count = t, n + 1
+                after.append((child, last, n))
+            if token is None:
+                raise KeyError(c)
+            after.append((root, token, count))
+            back.append(token)
+            live = after
+        return live
 
     def step(self, state: State, symbol):
-        """Compile the transition of ``state`` on ``symbol``."""
-        token, change = self._last(state.live, symbol)
-        live = tuple((child, last, count - change) for node, last, count in state.live if (child := node.children.get(symbol)) is not None and child.children)
-        live += ((self.trie, token, 0),)
+        """The transition of ``state`` on ``symbol``, compiled; None if there are too many states."""
+        if len(self.states) >= self.max_states:
+            return None
+        back: list = []
+        live = self.walk(state.live, (symbol,), back)
+        change = live[-1][2]
+        live = tuple((n, t, c - change) for n, t, c in live if len(n) > 1 + (TOKEN in n))
         key = tuple((id(n), t, c) for n, t, c in live)
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = State(live)
-        found = state.next[symbol] = (to, change, token)
-        return found
-
-    def end(self, state: State, symbol):
-        """Compile the last step of a word: (change, token)."""
-        token, change = self._last(state.live, symbol)
-        found = state.ends[symbol] = (change, token)
+        found = state.next[symbol] = (to, change, back[0])
         return found
-
-    def trim(self):
-        """Give up the compiled states if there are too many.  Only between words."""
-        if len(self.states) > self.max_states:
-            self.reset()

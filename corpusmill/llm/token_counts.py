@@ -41,7 +41,7 @@ class CountingTokenizer:
     pattern of the kind in ``_ANY`` and white space dropped.
     """
 
-    def __init__(self, spec: str, chunk: int = 1 << 16, max_words: int = 400_000):
+    def __init__(self, spec: str, chunk: int = 1 << 16, max_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.chunk, self.max_words, self.words = chunk, max_words, {}
@@ -68,15 +68,16 @@ class CountingTokenizer:
 
     def word(self, w: str) -> int:
         """The macro transition of one word: how many tokens it emits."""
-        data, state, n = w.encode("utf-8", "surrogatepass"), self.bpe.start, 0
-        for b in data[:-1]:
+        data, state, n = list(w.encode("utf-8", "surrogatepass")), self.bpe.start, 0
+        data[-1] += 256  # the byte that ends a word is a symbol of its own
+        for i, b in enumerate(data):
             hit = state.next.get(b) or self.bpe.step(state, b)
+            if hit is None:  # beyond the compiled states
+                n += self.bpe.walk(state.live, data[i:], [])[-1][2]
+                break
             state, n = hit[0], n + hit[1]
-        b = data[-1] + 256
-        n += (state.ends.get(b) or self.bpe.end(state, b))[0]
         if len(self.words) >= self.max_words:
             self.words.clear()
-        self.bpe.trim()
         self.words[w] = n
         return n
 
