@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licenses, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts
+from corpusmill.llm import decontamination, licenses, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op4_warc": warc.op4_warc,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_license_scan": licenses.op9_license_scan,

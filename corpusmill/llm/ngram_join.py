@@ -324,6 +324,15 @@ def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` whose key is the smallest of its class, one for each key.
+
+    Rows without a key are in no class, and stay.
+    """
+    kept = cut(ngram_classes(df, key, text, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "kept")
+    return df.join(kept, key, "left_semi").dropDuplicates([key]).union(df.where(F.col(f"`{key}`").isNull()))
+
+
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     """The contract's classes of all documents: three words, 90 percent."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

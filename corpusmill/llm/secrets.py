@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import let, settle
+from corpusmill.llm.text import free_name, let, settle
 from corpusmill.storage import cut
 
 #: Kind, pattern, group of the value, least length of the value.  In this order kinds are listed.
@@ -106,6 +106,20 @@ def redact(text: Column, secrets: Column) -> Column:
     return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(F.reverse(merged), text, lambda t, x: F.overlay(t, F.when(x["live"], "[SECRET]").otherwise("[EXAMPLE]"), x["vs"] + 1, x["e"] - x["vs"])))
 
 
+def redact_secrets(df: DataFrame, text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+    """``df`` with the secrets in ``text`` replaced; rows, order of columns and types stay.
+
+    Only texts with a candidate are joined with what the scan says of them, by
+    the hash of the text, so neither keys nor repeated rows matter.
+    """
+    has = F.size(candidates(F.col(f"`{text}`"))) > 0
+    own = free_name(df.columns, "_text_hash")
+    hit = df.where(has).withColumn(own, F.sha2(F.col(f"`{text}`"), 256))
+    found = cut(secret_scan(hit, own, text, repo, owner, max_owners).dropDuplicates([own]).withColumnRenamed("secrets", own + "s"), "found")
+    clean = hit.join(found, own).withColumn(text, redact(F.col(f"`{text}`"), F.col(own + "s")))
+    return df.where(~has).union(clean.select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def digest(secrets: Column) -> dict[str, Column]:
     """The contract's columns, from ``secrets``."""
     names = F.array(*[F.lit(k) for k, *_ in KINDS])
