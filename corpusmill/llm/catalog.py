@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontamination, licenses, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts, warc
+from corpusmill.llm import decontamination, licenses, lm_scores, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_lm_scores": lm_scores.op3_lm_scores,
         "op4_warc": warc.op4_warc,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_decontamination": decontamination.op6_decontamination,
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL; the others are tested against brute force or a round trip."""
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op3_lm_scores": lm_scores.ORACLE_SQL}
