@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,7 +48,9 @@ class PieceCodec:
         self.byte_of = {i: b for b, i in enumerate(self.bytes_)}
         normal = {pieces[i]: i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i))}
         assert not any(SPACE in p.lstrip(SPACE) or p.startswith(SPACE * 2) and p.strip(SPACE) for p in normal), "the space symbol inside a piece"
-        self.text_of = [p.replace(SPACE, " ") for p in pieces]
+        self.text_of: list = [p.replace(SPACE, " ") for p in pieces]
+        for b, i in enumerate(self.bytes_):  # a byte of ASCII is a character whatever stands by it
+            self.text_of[i] = chr(b) if b < 128 else None
         rank = {i: -lib.get_score(i) for i in normal.values()}
         spell = {i: tuple(p) for p, i in normal.items()}
         runs = {len(p) for p in normal if not p.strip(SPACE)}
@@ -61,8 +64,26 @@ class PieceCodec:
         self.bpe = PrefixBpe({i: s for i, s in spell.items() if len(s) < 2 or set(s) != {SPACE}}, merge)
         self.size = {i: len(x) for i, x in self.bpe.spell.items()}
         self.segments: dict = {}
+        self.older: dict = {}
         self.max_segments = max_segments
-        self.find = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        self.find = self._segments(normal)
+
+    @staticmethod
+    def _segments(normal: dict):
+        """A function that cuts a text where no piece can span.
+
+        That is before spaces, at line ends unless a piece holds one, and before
+        those marks that no piece has behind another kind of character.
+        """
+        pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
+        line = "" if any("\n" in p for p in normal) else "\n"
+        marks = set(string.punctuation)
+        while bad := {x[1] for x in pairs if x[1] in marks and x[0] not in marks and x[0] != SPACE}:
+            marks -= bad
+        marks = "".join(map(re.escape, sorted(marks)))
+        word = f"[^{SPACE}{marks}{line}]"
+        front = f"[{marks}]" if marks else "(?!)"
+        return re.compile(f"{SPACE}+{front}*{word}*|{front}+{word}*|{word}+" + f"|{line}" * bool(line)).findall
 
     def run(self, k: int) -> tuple:
         """The ids of ``k`` space symbols: equal scores, so the leftmost merge first."""
@@ -142,6 +163,9 @@ class PieceCodec:
 
     def segment(self, s: str) -> tuple:
         """The ids of spaces and the word behind them."""
+        if s in self.older:
+            ids = self.segments[s] = self.older[s]
+            return ids
         word = s.lstrip(SPACE)
         k = len(s) - len(word)
         tail = s[max(0, k - 1) :] if word else ""
@@ -150,8 +174,6 @@ class PieceCodec:
             bound = bool(word) and ids[0] != self.space
             ids = self.run(k - 1) + ids if bound else self.run(k) + ids[bool(word) :]
         if len(s) <= 48:
-            if len(self.segments) >= self.max_segments:
-                self.segments.clear()
             self.segments[s] = ids
         return ids
 
@@ -159,6 +181,8 @@ class PieceCodec:
         """The ids of a whole text; none for null and the empty text."""
         if not text:
             return []
+        if len(self.segments) >= self.max_segments:  # what is met again is carried over
+            self.older, self.segments = self.segments, {}
         out: list[int] = []
         get, segment, add = self.segments.get, self.segment, out.extend
         for s in self.find(SPACE + text.replace(" ", SPACE)):
@@ -168,9 +192,9 @@ class PieceCodec:
     def decode(self, ids) -> str:
         """The text of ids, without the dummy prefix; broken bytes become U+FFFD."""
         texts, byte_of = self.text_of, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([texts[i] for i in ids])
-        else:
+        try:
+            text = "".join(map(texts.__getitem__, ids))
+        except TypeError:  # a byte beyond ASCII
             parts, held = [], bytearray()
             for i in ids:
                 if i in byte_of:

@@ -94,6 +94,8 @@ class PrefixBpe:
                         ok = True if last < 0 else pairs(last << 24 | t)
                         if ok or (ok is None and self.valid(last, t)):
                             token, count = t, n + 1
+                            if len(child) == 2:  # no longer token
+                                continue
                 after.append((child, last, n))
             if token is None:
                 raise KeyError(c)
