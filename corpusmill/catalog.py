@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ()
+MODULES = ("texts", "privacy", "conversations")
 
 
 def queries() -> dict:
