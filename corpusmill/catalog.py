@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "privacy", "conversations")
+MODULES = ("texts", "privacy", "conversations", "evaluation")
 
 
 def queries() -> dict:
