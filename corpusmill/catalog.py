@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "privacy", "conversations", "evaluation")
+MODULES = ("texts", "privacy", "conversations", "evaluation", "balance")
 
 
 def queries() -> dict:

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The weights and bounds of the score gate and of grades.
-GATE = {"safety": 6.0, "relevance": 7.0, "authenticity": 6.0, "helpfulness": 6.5}
-MOST_UNCERTAIN, LEAST_OVERALL = 7.0, 6.5
 GATE_DEFAULTS = {"min_safety": 6.0, "min_relevance": 7.0, "min_authenticity": 6.0, "max_uncertainty": 7.0, "min_helpfulness": 6.0, "min_overall": 6.5}
 LEVELS = ((4.5, "A"), (3.5, "B"), (2.5, "C"))
 # End of the fixed values.
