@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The weights and bounds of the score gate and of grades.
 GATE_DEFAULTS = {"min_safety": 6.0, "min_relevance": 7.0, "min_authenticity": 6.0, "max_uncertainty": 7.0, "min_helpfulness": 6.0, "min_overall": 6.5}
-LEVELS = ((4.5, "A"), (3.5, "B"), (2.5, "C"))
+LEVELS = ((4.5, "EXCELLENT"), (3.5, "GOOD"), (2.5, "ACCEPTABLE"))
 # End of the fixed values.
 
 
@@ -60,7 +60,7 @@ def grade(values: DataFrame, checks: list[tuple[str, str, str, float]], score: s
     rows = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(b)).alias("bound"), test(c, op, b).alias("passed")) for n, c, op, b in checks]), lambda x: x["value"].isNotNull())
     level = F.lit(None).cast("string")
     if score:
-        level = F.lit("D")
+        level = F.lit("POOR")
         for bound, name in reversed(levels):
             level = F.when(F.col(score) >= bound, name).otherwise(level)
         level = F.when(F.col(score).isNotNull(), level)

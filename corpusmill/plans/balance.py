@@ -193,7 +193,7 @@ def head(spark, sf_dir):
     return docs(spark, sf_dir).where("lang = 'en'").orderBy("doc_id").limit(100).select("doc_id")
 
 
-@query("grouped_report", "SELECT event_type, date_trunc('week', ts)::DATE::VARCHAR AS week, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY event_type), 6) AS percent FROM events GROUP BY ALL")
+@query("grouped_report", "SELECT event_type, week, n, mean, round(100.0 * n / sum(n) OVER (PARTITION BY event_type), 6) AS percent FROM (SELECT event_type, date_trunc('week', ts)::DATE::VARCHAR AS week, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2)")
 def report(spark, sf_dir):
     g = table(spark, sf_dir, "events").groupBy("event_type", F.to_date(F.date_trunc("week", "ts")).cast("string").alias("week")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
     return g.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy("event_type")), 6))

@@ -122,7 +122,7 @@ def outputs(spark, sf_dir):
     return annotated(spark, sf_dir).select("doc_id", F.lit(True).alias("in_all"), F.coalesce(ok, F.lit(False)).alias("in_passed"), F.coalesce(~ok, F.lit(False)).alias("in_problem"))
 
 
-@query("model_grade", f"SELECT round(avg(overall), 6) AS score, CASE WHEN avg(overall) >= 4.5 THEN 'A' WHEN avg(overall) >= 3.5 THEN 'B' WHEN avg(overall) >= 2.5 THEN 'C' ELSE 'D' END AS level, count(*) FILTER (WHERE p)::BIGINT AS n_passed, CASE WHEN bool_and(p) THEN any_value(lv) ELSE 'FAIL' END AS overall FROM (SELECT (SELECT avg(overall) / 2 FROM ({GATED})) AS overall, unnest([(SELECT avg(toxic) FROM labels) <= 0.1, (SELECT avg((quality = 0)::INT) FROM labels) <= 0.1]) AS p, 'x' AS lv)")
+@query("model_grade", f"SELECT round(avg(overall), 6) AS score, CASE WHEN avg(overall) >= 4.5 THEN 'EXCELLENT' WHEN avg(overall) >= 3.5 THEN 'GOOD' WHEN avg(overall) >= 2.5 THEN 'ACCEPTABLE' ELSE 'POOR' END AS level, count(*) FILTER (WHERE p)::BIGINT AS n_passed, CASE WHEN bool_and(p) THEN any_value(lv) ELSE 'FAIL' END AS overall FROM (SELECT (SELECT avg(overall) / 2 FROM ({GATED})) AS overall, unnest([(SELECT avg(toxic) FROM labels) <= 0.1, (SELECT avg((quality = 0)::INT) FROM labels) <= 0.1]) AS p, 'x' AS lv)")
 def model_grade(spark, sf_dir):
     a = annotated(spark, sf_dir).withColumn("g", gate()).agg((F.avg("g.overall") / 2).alias("score"), F.avg("toxic").alias("overreach"), F.avg((F.col("quality") == 0).cast("int")).alias("hallucination"))
     g = E.grade(a, [("overreach", "overreach", "<=", 0.1), ("hallucination", "hallucination", "<=", 0.1)], "score")
