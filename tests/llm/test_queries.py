@@ -1,0 +1,54 @@
+"""The registered queries on the small tables, against SQL or their own invariants, and the pipeline."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusmill.llm import catalog, decontamination, quality_rules
+from tests.llm.test_edges import classes
+from tests.oracle import check
+
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_as_sql(spark, sf, name):
+    check(spark, sf, QUERIES[name], ORACLES[name])
+
+
+def test_one_query_for_each_operator(spark, sf):
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for name in ("op2_token_counts", "op5_secret_scan", "op7_ngram_join", "op8_sentencepiece", "op9_license_scan", "op10_quality_classifier"):
+        assert QUERIES[name](spark, sf).count() == n, name
+    assert QUERIES["op4_warc"](spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_pipeline_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in quality_rules.op1_quality_rules(spark, sf).where("kept").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept]
+    part = classes(rows, 5, 80)
+    items = [decontamination.normalise(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {i: t for i, t in rows if part[i][1] == i and not any(x in decontamination.normalise(t) for x in items)}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(out) == set(want) and all(r.round_trip for r in out.values())
+    from sentencepiece import SentencePieceProcessor
+    import public_tokenizers
+
+    lib = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [i for i, t in want.items() if not re.search(r"AKIA|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)", t)]
+    assert len(plain) > 100 and all(list(out[i].ids) == lib.encode(want[i]) for i in plain)
+    for i in set(want) - set(plain):
+        assert not re.search("AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", lib.decode(list(out[i].ids)))
+
+
+def test_stages_keep_the_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+        assert stage(spark, docs.where("doc_id < 0"), sf).count() == 0
+    same = docs.withColumn("text", F.lit(None).cast("string"))
+    assert corpus_pipeline.STAGES[3][1](spark, same, sf).count() == 30
