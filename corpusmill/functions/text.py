@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Lookup tables and word lists that results depend on.
 PUNCTUATION = {"，": ",", "。": ".", "！": "!", "？": "?", "；": ";", "：": ":", "（": "(", "）": ")", "“": '"', "”": '"', "‘": "'", "’": "'"}
@@ -74,7 +75,7 @@ def half_width(c: Column) -> Column:
     return F.translate(c, "　" + "".join(map(chr, range(0xFF01, 0xFF5F))), " " + "".join(map(chr, range(0x21, 0x7F))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, which has no built-in counterpart."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -157,7 +158,7 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(jaccard(chars(a), chars(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all, by the longest matching blocks."""
     from difflib import SequenceMatcher

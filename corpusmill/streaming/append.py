@@ -13,6 +13,11 @@ def source(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def timed(df: DataFrame, time: str, late: str) -> DataFrame:
+    """``df`` with a watermark on ``time``, which becomes a timestamp of the session's zone."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def drain(df: DataFrame, out: str, mode: str = "append") -> None:
     """Write all that is there now as Parquet, exactly once over restarts, and stop."""
     q = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(df.sparkSession, "stream-state")).trigger(availableNow=True).start()
@@ -26,15 +31,15 @@ def copy_stream(spark: SparkSession, folder: str, pattern: str, schema, out: str
 
 def first_seen(df: DataFrame, keys: list[str], time: str, late: str = "10 minutes") -> DataFrame:
     """The first row of each key within the watermark."""
-    return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return timed(df, time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def window_counts(df: DataFrame, time: str, key: str, size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Rows of each key in tumbling or sliding windows of event time."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    return df.withWatermark(time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    return timed(df, time, late).groupBy(w.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def session_counts(df: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Rows of each key in sessions that a gap ends."""
-    return df.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    return timed(df, time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")

@@ -11,7 +11,7 @@ def test_streams(spark, sf):
     src = lambda: append.source(spark, sf, "events.parquet", schema)
     out = new_path(spark, "s")
     append.drain(append.window_counts(src(), "ts", "event_type", "1 day"), out)
-    batch = spark.read.parquet(f"{sf}/events.parquet")
+    batch = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     closed = spark.read.parquet(out)
     want = batch.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
     assert closed.count() > 0 and closed.join(want, ["start", "event_type", "n"]).count() == closed.count()
