@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "privacy", "conversations", "evaluation", "balance", "retrieval", "ingest")
+MODULES = ("texts", "privacy", "conversations", "evaluation", "balance", "retrieval", "ingest", "extras")
 
 
 def queries() -> dict:
