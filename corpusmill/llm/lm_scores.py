@@ -25,24 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.ngram_join import mix
+from corpusmill.llm.text import held
 
 _U = np.uint64
 #: The key under which the number of all words is counted.
 TOTAL = _U(0)
-_words: dict = {}
 
 
 def _hashes(text: str | None) -> list[int]:
     """A hash for each word.  Words end at white space; A-Z count as a-z."""
     import xxhash
 
+    words = held("lm_words", dict)
     out = []
     for w in (text or "").encode("utf-8", "replace").lower().split():
-        h = _words.get(w)
+        h = words.get(w)
         if h is None:
-            if len(_words) >= 500_000:
-                _words.clear()
-            h = _words[w] = xxhash.xxh64_intdigest(w)
+            if len(words) >= 300_000:
+                words.clear()
+            h = words[w] = xxhash.xxh64_intdigest(w)
         out.append(h)
     return out
 
@@ -117,31 +118,30 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int
     one.
     """
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = buckets or 4 * shuffle, parts or shuffle
+    buckets, parts = buckets or 3 * shuffle, parts or max(1, shuffle // 2)
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(buckets)).cast("int").alias("bucket"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def explode(k, table):
         b = Bucket(table.column("text").to_pylist(), order, parts)
-        rows = [p for p in range(parts) if b.starts[p + 1] > b.starts[p]]
         cut = lambda x, p: x[b.starts[p] : b.starts[p + 1]].tobytes()
-        words = int(b.lengths.sum())
+        words = np.array([b.lengths.sum()], np.uint32).tobytes()
         return pa.table({
-            "part": pa.array([*rows, *range(parts)], pa.int32()), "bucket": pa.array([k[0].as_py()] * (len(rows) + parts), pa.int32()),
-            "keys": pa.array([cut(b.keys, p) for p in rows] + [TOTAL.tobytes()] * parts, pa.binary()),
-            "counts": pa.array([cut(b.counts.astype(np.uint32), p) for p in rows] + [np.array([words], np.uint32).tobytes()] * parts, pa.binary())})
+            "part": pa.array(range(parts), pa.int32()), "bucket": pa.array([k[0].as_py()] * parts, pa.int32()),
+            "keys": pa.array([TOTAL.tobytes() + cut(b.keys, p) for p in range(parts)], pa.binary()),
+            "counts": pa.array([words + cut(b.counts.astype(np.uint32), p) for p in range(parts)], pa.binary())})
 
     def count(k, table):
         keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        words = int(totals[0]) if len(distinct) and distinct[0] == TOTAL else 0
+        words = int(totals[0])  # the smallest key is that of all words
         ends = np.cumsum([len(x) for x in keys])
         narrow = lambda x: x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
-        rows = [i for i, x in enumerate(keys) if len(x) != 1 or x[0] != TOTAL]
+        rows = [i for i, x in enumerate(keys) if len(x) > 1]
         own = table.column("bucket").to_pylist()
-        back = [narrow(totals[inverse[ends[i] - len(keys[i]) : ends[i]]]) for i in rows]
+        back = [narrow(totals[inverse[ends[i] - len(keys[i]) + 1 : ends[i]]]) for i in rows]
         return pa.table({
             "bucket": pa.array([own[i] for i in rows], pa.int32()), "part": pa.array([k[0].as_py()] * len(rows), pa.int32()), "words": pa.array([words] * len(rows), pa.int64()),
             "wide": pa.array([x.itemsize for x in back], pa.int32()), "totals": pa.array([x.tobytes() for x in back], pa.binary())})

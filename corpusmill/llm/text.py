@@ -46,3 +46,14 @@ def settle(df, columns: dict):
     """
     keep = [c for c in df.columns if c.lower() not in {x.lower() for x in columns}]
     return df.select(*[F.col(f"`{c}`") for c in keep], F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps from task to task: one operator's state at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
