@@ -105,7 +105,12 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     ``components``; ``pairs`` is ``exact`` or ``minhash``.
     """
     rows = df.where(F.coalesce(F.col(text), F.lit("")) != "")
-    sets = rows.select(key, words(F.col(text)).alias("_w")).where(F.size("_w") >= least_tokens)
+    sets = rows.select(key, words(F.col(text)).alias("_w")).where(F.size("_w") >= least_tokens).select(key, F.array_sort(F.array_distinct("_w")).alias("_w"))
+    # Whatever drops the first of equal sets drops the others too, so copies never meet each other.
+    sets = cut(sets.withColumn("_h", F.sha2(F.array_join("_w", "\n"), 256)), "sets")
+    first = cut(sets.groupBy("_h").agg(F.min(key).alias(key)).select(key), "first")
+    rows = rows.join(sets.select(key).join(first, key, "left_anti"), key, "left_anti")
+    sets = sets.join(first, key, "left_semi").drop("_h")
     found = cut(near_pairs(sets, key, "_w", threshold) if pairs == "exact" else minhash_pairs(sets, key, "_w", threshold), "near")
     if mode == "greedy":
         return greedy_kept(rows, found, key)
