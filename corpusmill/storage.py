@@ -7,6 +7,7 @@ absent (tests, local mode) a folder of this machine is taken.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,9 +45,20 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files that no plan refers to any more.
+
+    Spark does so when the driver collects its garbage, which a driver with
+    little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
