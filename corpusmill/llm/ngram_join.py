@@ -12,13 +12,15 @@ A text is the set of its distinct word n-grams.  Two texts link when
    Groupings are made for size classes, and a set takes part in its own and
    the one below, so no pair is missed.  This replaces the top of the index: a
    single tree over all points can't be searched by many machines.
-3. A bucket's members are compared with its first one, exactly, and linked sets
-   become one component.  Of the buckets that still hold two components, the
-   members are indexed as points of their counts in 64 groups by an R-tree,
-   packed in blocks of bounded size; the overlap of two sets is at most the sum
-   of the coordinates' minima, for points and for a node's maxima alike.  Pairs
-   in one component already need no search.
-4. The pairs that survive are verified on the sets, and components are taken of
+3. A set is also a point: its counts in a number of groups that follows its size
+   class.  The overlap of two sets is at most the sum of the coordinates' minima.
+   A bucket's members are held against its first one, by this bound and then
+   exactly, and linked sets become one component.
+4. Of the buckets that still hold two components and more than two sets, the
+   points are indexed by an R-tree, packed in blocks of bounded size; a node's
+   maxima bound the overlap with all below it.  Pairs in one component already
+   need no search.
+5. The pairs that survive are verified on the sets, and components are taken of
    all links.  Whatever was not compared lies in one component or can't link.
 
 No all-pairs output, no cap on buckets, no collection on the driver.
@@ -34,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.text import held
 from corpusmill.operators.graph import connected_components
 from corpusmill.storage import cut
 
-DIMS, FAN, BLOCK = 64, 32, 2048
+LEAST_DIMS, FAN, BLOCK, SENT_IDS = 64, 32, 2048, 1_000_000
 _U = np.uint64
 
 
@@ -55,7 +58,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word n-grams; words are hashed once and remembered."""
 
-    def __init__(self, k: int, max_words: int = 500_000):
+    def __init__(self, k: int, max_words: int = 300_000):
         self.k, self.max_words, self.words = k, max_words, {}
 
     def word(self, w: bytes) -> int:
@@ -97,6 +100,12 @@ class Groupings:
             self.groups.append(top * (100 - self.percent) // (100 + self.percent) + 1)
             self.lo.append(hi + 1)
 
+    def dims(self, n: int) -> int:
+        """The coordinates of a point of ``n`` tokens: a power of two, about one for eight tokens of its class."""
+        self._grow(n)
+        hi = self.lo[int(np.searchsorted(self.lo, n, "right"))] - 1
+        return max(LEAST_DIMS, 1 << (hi // 8).bit_length())
+
     def of(self, n: int) -> list[tuple[int, int]]:
         """(grouping, number of groups) in which a set of ``n`` takes part; one group only meets equals."""
         self._grow(n)
@@ -113,9 +122,14 @@ def group_sums(tokens: np.ndarray, grouping: int, groups: int) -> np.ndarray:
     return mix(np.diff(sums[np.concatenate([[0], ends])]) + mix(np.arange(groups, dtype=np.uint64) * _U(1 << 20) + _U(grouping)))
 
 
-def counts(tokens: np.ndarray) -> np.ndarray:
+def counts(tokens: np.ndarray, dims: int) -> np.ndarray:
     """The point of a set: how many tokens fall into each of the groups."""
-    return np.bincount((tokens & _U(DIMS - 1)).astype(np.int64), minlength=DIMS)
+    return np.bincount((tokens & _U(dims - 1)).astype(np.int64), minlength=dims).astype(np.uint16)
+
+
+def fold(point: np.ndarray, dims: int) -> np.ndarray:
+    """The same set's point with fewer coordinates."""
+    return point if len(point) == dims else point.reshape(-1, dims).sum(0, dtype=np.uint16)
 
 
 class CountTree:
@@ -141,7 +155,7 @@ class CountTree:
         at = np.arange(len(self.levels[-1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
-            at = at[np.minimum(level[at], point).sum(1) >= need]
+            at = at[np.minimum(level[at], point).sum(1, dtype=np.int64) >= need]
             if depth and len(at):
                 at = (at[:, None] * FAN + np.arange(FAN)).ravel()
                 at = at[at < len(self.levels[depth - 1])]
@@ -149,12 +163,12 @@ class CountTree:
 
 
 def _features(docs: DataFrame, k: int, percent: int, signatures: bool) -> DataFrame:
-    """``(doc_id, n, s1, s2[, sigs])`` from ``(doc_id, text)``."""
+    """``(doc_id, n, s1, s2)`` with the ``point``, or with the signatures ``sigs``, from ``(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, s1 long, s2 long" + ", sigs array<long>" * signatures
+    schema = f"doc_id {kind}, n long, s1 long, s2 long, " + ("sigs array<long>" if signatures else "point binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, groupings = Shingler(k), Groupings(percent)
+        sets, groupings = held(("shingles", k), lambda: Shingler(k)), Groupings(percent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -164,7 +178,9 @@ def _features(docs: DataFrame, k: int, percent: int, signatures: bool) -> DataFr
                     out[0].append(len(tokens))
                     out[1].append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)))
                     out[2].append(int(mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    if signatures:
+                    if not signatures:
+                        out[3].append(counts(tokens, groupings.dims(len(tokens))).tobytes() if len(tokens) else None)
+                    else:
                         parts = [group_sums(tokens, *g) for g in groupings.of(len(tokens))] if len(tokens) else []
                         out[3].append(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
                 columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]]]
@@ -172,27 +188,28 @@ def _features(docs: DataFrame, k: int, percent: int, signatures: bool) -> DataFr
                     ends = np.array([0, *accumulate(map(len, out[3]))], np.int32)
                     flat = np.concatenate(out[3]) if out[3] else np.empty(0, np.int64)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", *["sigs"] * signatures])
+                else:
+                    columns.append(pa.array(out[3], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "sigs" if signatures else "point"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, tokens array<long>, point array<int>)`` from ``(doc_id, text)``."""
+    """``(doc_id, n, tokens array<long>)`` from ``(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingler(k)
+        sets = held(("shingles", k), lambda: Shingler(k))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 tokens = [sets(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(map(len, tokens), pa.int64()),
-                    pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64())),
-                    pa.array([counts(t).astype(np.int32) for t in tokens], pa.list_(pa.int32()))], names=["doc_id", "n", "tokens", "point"])
+                    pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, tokens array<long>, point array<int>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, tokens array<long>")
 
 
 def _buckets(rows: DataFrame, kind: str) -> DataFrame:
@@ -235,7 +252,7 @@ def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         for r in right:
             need = minimum_overlap(n[r], n[left].min(), percent)
             hit = left[tree.search(points[r], need)]
-            hit = hit[(comp[hit] != comp[r]) & (np.minimum(points[hit], points[r]).sum(1) >= minimum_overlap(n[hit], n[r], percent))]
+            hit = hit[(comp[hit] != comp[r]) & (np.minimum(points[hit], points[r]).sum(1, dtype=np.int64) >= minimum_overlap(n[hit], n[r], percent))]
             if own[0] == own[1]:
                 hit = hit[ids[hit] < ids[r]]
             if len(hit):
@@ -244,8 +261,9 @@ def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
     def group(held: list, key) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         col = lambda c: t.column(c).to_numpy()
-        points = t.column("point").combine_chunks()
-        points = points.flatten().to_numpy().reshape(-1, DIMS)
+        points = [np.frombuffer(x, np.uint16) for x in t.column("point").to_pylist()]
+        dims = min(map(len, points))
+        points = np.array([fold(x, dims) for x in points])
         found = list(pairs(col("doc_id"), col("block"), col("comp"), col("n"), points, key[1:]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -272,12 +290,38 @@ def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by their sets."""
+def sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, written; broadcast to what it joins if it has at most ``SENT_IDS`` rows, shuffled beyond."""
+    ids = cut(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, kind: str, percent: int) -> DataFrame:
+    """The pairs whose points allow a link."""
+    side = lambda x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, m, p, q = (batch.column(i).to_pylist() for i in range(6))
+            keep = []
+            for i in range(len(n)):
+                x, y = np.frombuffer(p[i], np.uint16), np.frombuffer(q[i], np.uint16)
+                dims = min(len(x), len(y))
+                keep.append(bool(np.minimum(fold(x, dims), fold(y, dims)).sum(dtype=np.int64) >= minimum_overlap(n[i], m[i], percent)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, by their sets, which are made of the documents in them alone."""
+    met = sized(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = cut(_sets(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    return cut(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
 
 
 def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -291,32 +335,34 @@ def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.where("doc_id IS NOT NULL")
     light = cut(_features(docs, k, percent, False), "light")
     reps = cut(light.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    full = _features(docs.where("doc_id IS NOT NULL"), k, percent, True).where("n > 0")
+    points = light.select("doc_id", "n", "point").where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    points = cut(points.dropDuplicates(["doc_id"]), "points")
+    full = _features(keyed, k, percent, True).where("n > 0")
     signed = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "sigs")).alias("x")).select("x.doc_id", F.explode("x.sigs").alias("sig"))
     rows = signed.select("sig", "doc_id").repartition("sig").sortWithinPartitions("sig", "doc_id")
     buckets = cut(_buckets(rows, kind), "buckets")
 
-    met = buckets.select("doc_id").union(buckets.select(F.col("leader").alias("doc_id"))).distinct()
-    sets = cut(_sets(docs.where("doc_id IS NOT NULL").join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
-    stars = cut(buckets.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = cut(_verified(stars, sets, percent), "links")
+    stars = buckets.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    links = _verified(cut(_bounded(stars, points, kind, percent), "stars"), keyed, k, percent)
     found = connected_components(links)
 
     at = lambda x, name: found.select(F.col("id").alias(x), F.col("component").alias(name))
     told = buckets.join(at("doc_id", "comp"), "doc_id", "left").join(at("leader", "lead"), "leader", "left")
     told = cut(told.select("sig", "doc_id", "leader", "place", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("lead", "leader").alias("lead")), "told")
-    mixed = told.groupBy("sig").agg(F.max("place").alias("last"), F.max(F.col("comp") != F.col("lead")).alias("mixed")).where("mixed")
+    # The pair of a bucket of two is among the stars.
+    mixed = told.groupBy("sig").agg(F.max("place").alias("last"), F.max(F.col("comp") != F.col("lead")).alias("mixed")).where("mixed AND last > 1")
     mixed = cut(mixed.select("sig", (F.col("last") / BLOCK).cast("int").alias("top")), "mixed")
     rows = told.join(mixed, "sig")
     rows = rows.select("sig", "top", "doc_id", "comp", (F.col("place") / BLOCK).cast("int").alias("block")).union(
         rows.where("place = 1").select("sig", "top", F.col("leader").alias("doc_id"), F.col("lead").alias("comp"), F.lit(0).alias("block")))
-    rows = rows.join(sets.select("doc_id", "n", "point"), "doc_id")
+    rows = rows.join(points, "doc_id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "top"))).select(
         "sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "doc_id", "block", "comp", "n", "point")
     rows = rows.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
-    more = cut(_verified(cut(_search(rows, kind, percent).distinct(), "pairs"), sets, percent), "more")
+    more = _verified(cut(_search(rows, kind, percent).distinct(), "pairs"), keyed, k, percent)
     found = connected_components(links.union(more))
 
     classes = cut(reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "classes")
@@ -329,11 +375,30 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
 
     Rows without a key are in no class, and stay.
     """
-    kept = cut(ngram_classes(df, key, text, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), "kept")
-    return df.join(kept, key, "left_semi").dropDuplicates([key]).union(df.where(F.col(f"`{key}`").isNull()))
+    found = cut(ngram_classes(df, key, text, k, percent).where("doc_id IS NOT NULL"), "found")
+    gone = sized(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
+    twice = sized(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)))
+    left = df.join(gone, key, "left_anti")
+    return left.join(twice, key, "left_anti").union(left.join(twice, key, "left_semi").dropDuplicates([key]))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     """The contract's classes of all documents: three words, 90 percent."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return ngram_classes(docs, k=3, percent=90)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w, ' ') AS g FROM t WHERE len(w) BETWEEN 1 AND 2
+    UNION ALL SELECT doc_id, unnest(list_transform(list_zip(w, w[2:], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])[:len(w) - 2]) FROM t WHERE len(w) >= 3)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)
+), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+"""
