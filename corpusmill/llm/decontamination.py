@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.text import held
+
 _words = re.compile(r"\w+").findall
 
 
@@ -133,14 +135,8 @@ class Searcher:
         return found
 
 
-_cached: dict = {}
-
-
-def _searcher(key, items, rate) -> Searcher:
-    if key not in _cached:
-        _cached.clear()
-        _cached[key] = Searcher(items, rate)
-    return _cached[key]
+def _searcher(name: str, items, rate: float) -> Searcher:
+    return held(("leaks", name, rate), lambda: Searcher(items, rate))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
@@ -169,7 +165,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str
 
     def keeper(name, sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = _searcher((name, rate), sent.value, rate).search
+            search = _searcher(name, sent.value, rate).search
             for batch in batches:
                 yield batch.filter(pa.array([not search(t) for t in batch.column(place).to_pylist()], pa.bool_()))
 
@@ -192,7 +188,7 @@ def _blocks(items: DataFrame, item: str, item_text: str, block_chars: int) -> It
 
 def _finder(name: str, sent, rate: float, key: str, item: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _searcher((name, rate), sent.value, rate).search
+        search = _searcher(name, sent.value, rate).search
         for batch in batches:
             at, idents, distances = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):

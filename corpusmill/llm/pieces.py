@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import heapq
 import re
-import string
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.prefix_bpe import DEPTH, TOKEN, PrefixBpe
+from corpusmill.llm.text import held
 
 SPACE = "▁"
 
@@ -38,7 +40,7 @@ class PieceCodec:
     white space, and the space symbol only at the front of a piece or alone.
     """
 
-    def __init__(self, model: bytes, max_segments: int = 600_000):
+    def __init__(self, model: bytes, max_segments: int = 300_000):
         from sentencepiece import SentencePieceProcessor
 
         lib = SentencePieceProcessor(model_proto=model)
@@ -67,23 +69,22 @@ class PieceCodec:
         self.older: dict = {}
         self.max_segments = max_segments
         self.find = self._segments(normal)
+        self.kind = "H" if n <= 1 << 16 else "I"
 
     @staticmethod
     def _segments(normal: dict):
-        """A function that cuts a text where no piece can span.
+        """A function that cuts a text, spaces being U+0020, where no piece can span.
 
-        That is before spaces, at line ends unless a piece holds one, and before
-        those marks that no piece has behind another kind of character.
+        That is before spaces, at line ends unless a piece holds one, and
+        between a letter and a mark that no piece has right behind a letter.
         """
         pairs = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
+        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+        letter = re.compile(f"[{letters}]")
+        marks = "".join(re.escape(m) for m in ".,!?;:" if not any(p[1] == m and letter.match(p[0]) for p in pairs))
         line = "" if any("\n" in p for p in normal) else "\n"
-        marks = set(string.punctuation)
-        while bad := {x[1] for x in pairs if x[1] in marks and x[0] not in marks and x[0] != SPACE}:
-            marks -= bad
-        marks = "".join(map(re.escape, sorted(marks)))
-        word = f"[^{SPACE}{marks}{line}]"
-        front = f"[{marks}]" if marks else "(?!)"
-        return re.compile(f"{SPACE}+{front}*{word}*|{front}+{word}*|{word}+" + f"|{line}" * bool(line)).findall
+        plain = f" *[{letters}]+(?=[{marks}])|" * bool(marks)
+        return re.compile(f"{plain} +[^ {line}]*|[^ {line}]+" + f"|{line}" * bool(line)).findall
 
     def run(self, k: int) -> tuple:
         """The ids of ``k`` space symbols: equal scores, so the leftmost merge first."""
@@ -161,11 +162,12 @@ class PieceCodec:
             p -= size[back[p - 1]]
         return tuple(out[::-1])
 
-    def segment(self, s: str) -> tuple:
-        """The ids of spaces and the word behind them."""
+    def segment(self, s: str) -> bytes:
+        """The ids of spaces and the word behind them, packed."""
         if s in self.older:
-            ids = self.segments[s] = self.older[s]
-            return ids
+            found = self.segments[s] = self.older[s]
+            return found
+        key, s = s, s.replace(" ", SPACE)
         word = s.lstrip(SPACE)
         k = len(s) - len(word)
         tail = s[max(0, k - 1) :] if word else ""
@@ -173,21 +175,23 @@ class PieceCodec:
         if k > 1 or not word:
             bound = bool(word) and ids[0] != self.space
             ids = self.run(k - 1) + ids if bound else self.run(k) + ids[bool(word) :]
+        found = array(self.kind, ids).tobytes()
         if len(s) <= 48:
-            self.segments[s] = ids
-        return ids
+            self.segments[key] = found
+        return found
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a whole text; none for null and the empty text."""
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a whole text as machine integers of ``kind``; none for null and the empty text."""
         if not text:
-            return []
+            return b""
         if len(self.segments) >= self.max_segments:  # what is met again is carried over
             self.older, self.segments = self.segments, {}
-        out: list[int] = []
-        get, segment, add = self.segments.get, self.segment, out.extend
-        for s in self.find(SPACE + text.replace(" ", SPACE)):
-            add(get(s) or segment(s))
-        return out
+        get, segment = self.segments.get, self.segment
+        return b"".join([get(s) or segment(s) for s in self.find(" " + text.replace(SPACE, " "))])
+
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text."""
+        return array(self.kind, self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         """The text of ids, without the dummy prefix; broken bytes become U+FFFD."""
@@ -208,15 +212,9 @@ class PieceCodec:
         return text.removeprefix(" ")
 
 
-_cached: dict = {}
-
-
 def codec(model: bytes) -> PieceCodec:
     """One codec for each worker process and model."""
-    if model not in _cached:
-        _cached.clear()
-        _cached[model] = PieceCodec(model)
-    return _cached[model]
+    return held(("pieces", model), lambda: PieceCodec(model))
 
 
 def encode_pieces(df: DataFrame, path: str, text: str = "text", check: bool = True, rows: int = 256) -> DataFrame:
@@ -241,10 +239,12 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", check: bool = Tr
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-                ids = [own.encode(t) for t in texts]
-                same = [own.decode(x) == t.replace(SPACE, " ") if check else None for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=names)
+                ids = [np.frombuffer(own.packed(t), own.kind) for t in texts]
+                same = [own.decode(x.tolist()) == t.replace(SPACE, " ") if check else None for x, t in zip(ids, texts, strict=True)]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                flat = np.concatenate([*ids, np.empty(0, own.kind)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes), lists, pa.array(same, pa.bool_())], names=names)
 
     return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
 

@@ -40,7 +40,7 @@ class PrefixBpe:
     compiled states, ``max_pairs`` the remembered pairs.
     """
 
-    def __init__(self, spell: dict, merge, max_states: int = 25_000, max_pairs: int = 600_000):
+    def __init__(self, spell: dict, merge, max_states: int = 25_000, max_pairs: int = 350_000):
         self.merge, self.spell, self.max_states, self.max_pairs = merge, spell, max_states, max_pairs
         self.base = {s[0]: t for t, s in spell.items() if len(s) == 1}
         self.trie, self.longest = {DEPTH: 0}, 1

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.prefix_bpe import PrefixBpe
+from corpusmill.llm.text import held
 
 #: Latin-1 has no character that composition changes, and lower case there is one to one.
 _LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
@@ -152,15 +153,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_cached: dict = {}
-
-
 def tokenizer(spec: str) -> CountingTokenizer:
     """One tokenizer for each worker process and file."""
-    if spec not in _cached:
-        _cached.clear()
-        _cached[spec] = CountingTokenizer(spec)
-    return _cached[spec]
+    return held(("token_counts", spec), lambda: CountingTokenizer(spec))
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
