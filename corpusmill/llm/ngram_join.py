@@ -352,8 +352,11 @@ def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
     at = lambda x, name: found.select(F.col("id").alias(x), F.col("component").alias(name))
     told = buckets.join(at("doc_id", "comp"), "doc_id", "left").join(at("leader", "lead"), "leader", "left")
     told = cut(told.select("sig", "doc_id", "leader", "place", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("lead", "leader").alias("lead")), "told")
-    # The pair of a bucket of two is among the stars.
-    mixed = told.groupBy("sig").agg(F.max("place").alias("last"), F.max(F.col("comp") != F.col("lead")).alias("mixed")).where("mixed AND last > 1")
+    # The pair of a bucket of two is among the stars; of buckets with the same members one is searched.
+    mixed = told.groupBy("sig").agg(
+        F.max("place").alias("last"), F.max(F.col("comp") != F.col("lead")).alias("mixed"), F.min("leader").alias("leader"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("m1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("m2")).where("mixed AND last > 1")
+    mixed = mixed.groupBy("leader", "last", "m1", "m2").agg(F.min("sig").alias("sig"))
     mixed = cut(mixed.select("sig", (F.col("last") / BLOCK).cast("int").alias("top")), "mixed")
     rows = told.join(mixed, "sig")
     rows = rows.select("sig", "top", "doc_id", "comp", (F.col("place") / BLOCK).cast("int").alias("block")).union(
