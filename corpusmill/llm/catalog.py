@@ -23,4 +23,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to SQL; the others are tested against brute force or a round trip."""
-    return {"op1_quality_rules": quality_rules.ORACLE_SQL, "op3_lm_scores": lm_scores.ORACLE_SQL}
+    return {
+        "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op3_lm_scores": lm_scores.ORACLE_SQL,
+        "op4_warc": warc.ORACLE_SQL,
+        "op5_secret_scan": secrets.ORACLE_SQL,
+        "op7_ngram_join": ngram_join.ORACLE_SQL,
+    }

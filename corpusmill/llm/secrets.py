@@ -139,3 +139,27 @@ def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = secret_scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     return found.select("doc_id", *[c.alias(k) for k, c in digest(F.col("secrets")).items()])
+
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _kind_sql(k: int, pattern: str, group: int, least: int) -> str:
+    return f"""SELECT doc_id, source, {k} AS k, m, v, sum(before) OVER w - length(m) AS s, sum(before) OVER w AS e FROM (
+      SELECT doc_id, source, m, v, length(part) + length(m) AS before, i FROM (
+        SELECT doc_id, source, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, unnest(string_split_regex(t, '{pattern}')) AS part, unnest(range(length(t) + 1)) AS i
+        FROM d WHERE regexp_matches(t, '{pattern}')) WHERE m IS NOT NULL)
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY length(v) >= {least}"""
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+c AS ({_kind_sql(0, _ASSIGN, 2, 8)} UNION ALL {_kind_sql(1, KINDS[1][1], 0, 16)} UNION ALL {_kind_sql(2, KINDS[2][1], 0, 32)}),
+o AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
+j AS (SELECT c.*, e - length(v) AS vs, CASE WHEN owners > 2 THEN 'example' WHEN len(list_distinct(string_split(v, ''))) >= 6 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS status FROM c JOIN o USING (v)),
+n AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE status = 'live') AS n_live, count(*) FILTER (WHERE status = 'example') AS n_example,
+  string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS base FROM j GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'live'][k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) AS spans FROM (SELECT doc_id, k, s, e FROM j UNION ALL SELECT DISTINCT doc_id, 3, vs, e FROM j WHERE status = 'live') GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+"""

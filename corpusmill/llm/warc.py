@@ -176,3 +176,10 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
         field("page-id").alias("page_id"), F.coalesce("response.n_payload", field("payload-length")).alias("payload_bytes"),
         F.coalesce("response.own_digest", "response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
         F.when(F.col("response.refers_to").isNotNull(), number(F.col("response.refers_to")).cast("long")).alias("refers_to"))
+
+
+_LETTERS = " || ".join(f"substr('{BASE32}', ((('0x' || substr(h, {1 + 5 * k}, 5))::INT >> {b}) & 31) + 1, 1)" for k in range(8) for b in (15, 10, 5, 0))
+ORACLE_SQL = f"""
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
