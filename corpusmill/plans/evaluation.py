@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import retrieval as R
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import ORACLES as CONV
 from corpusmill.plans.conversations import call_counts, reasons
@@ -205,10 +206,9 @@ def vitals(spark, sf_dir):
 
 @query("cosine_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < 20 AND b.vec_id < 20")
 def cosine_matrix(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 20").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("e").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("e").alias("y"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(dot(F.col("x"), F.col("y")) / (F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))), 5).alias("cosine"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), R.unit(F.col("embedding")).alias("e"))
+    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("e").alias("q"))
+    return R.dense(v, q, "e", "q").select(F.col("qid").alias("a"), F.col("doc_id").alias("b"), F.round("dense", 5).alias("cosine"))
 
 
 def generated(spark, sf_dir):

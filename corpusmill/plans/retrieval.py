@@ -36,9 +36,9 @@ def normalise(spark, sf_dir):
 
 
 def vectors(spark, sf_dir):
-    """Vectors as documents, and the first ten as queries."""
+    """Vectors as documents, and those whose id is divisible by 100 as queries."""
     v = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return v, v.where("doc_id < 10").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
+    return v, v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
 
 
 DENSE = f"SELECT q.vec_id AS qid, d.vec_id AS doc_id, {DOT.format('d.embedding', 'q.embedding')} AS dense FROM embeddings q JOIN embeddings d ON q.vec_id < 10"
@@ -102,12 +102,12 @@ def lexical(spark, sf_dir):
 
 
 def knowledge(spark, sf_dir):
-    """Documents with vectors, and ten queries of a vector, a hypothetical one and a text."""
+    """Documents with vectors, and as queries those whose id is divisible by 100: a vector, a hypothetical one (of the next query, or its own if there is none) and the whole text."""
     v = table(spark, sf_dir, "embeddings")
     d = table(spark, sf_dir, "documents", "doc_id", "text").join(v.select(F.col("vec_id").alias("doc_id"), R.unit(F.col("embedding")).alias("embedding")), "doc_id")
-    q = d.where("doc_id < 10").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"), F.substring("text", 1, 40).alias("query"))
-    h = d.where("doc_id >= 100 AND doc_id < 110").select((F.col("doc_id") - 100).alias("qid"), F.col("embedding").alias("hypothetical"))
-    return d, q.join(h, "qid")
+    q = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"), F.col("text").alias("query"))
+    h = q.select((F.col("qid") - 100).alias("qid"), F.col("vector").alias("hypothetical"))
+    return d, q.join(h, "qid", "left").withColumn("hypothetical", F.coalesce("hypothetical", "vector"))
 
 
 @query("hybrid_search")
