@@ -159,7 +159,7 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int
     return docs.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(score, f"`{key}` {kind}, n_words long, log_score double, n_backed_off long")
 
 
-def op3_lm_scores(spark, sf_dir: str, order: int = 2) -> DataFrame:
+def op3_lm_scores(spark, sf_dir: str, order: int = 3) -> DataFrame:
     """The mean logarithmic score of the words of each document, and how many were backed off."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = lm_scores(docs, order=order)
