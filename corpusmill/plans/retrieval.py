@@ -54,13 +54,13 @@ def dense_top(spark, sf_dir):
 @query("ivf_top_k", f"SELECT qid, doc_id, rank, round(dense, 4) AS dense FROM ({TOP})")
 def ivf(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.ivf_top(d, q, 5).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("dense", 4).alias("dense"))
+    return R.ivf_top(d, q, 5, nprobe=320).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("dense", 4).alias("dense"))
 
 
 @query("ivf_probed")
 def ivf_probed(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.ivf_top(d, q, 5, nlist=16, nprobe=8, flat_below=0).select("qid", "doc_id", "rank")
+    return R.ivf_top(d, q, 5, nlist=16, nprobe=12, flat_below=0).select("qid", "doc_id", "rank")
 
 
 @query("score_normalised", f"SELECT qid, doc_id, round((dense - min(dense) OVER w) / CASE WHEN max(dense) OVER w > min(dense) OVER w THEN max(dense) OVER w - min(dense) OVER w ELSE 1 END, 6) AS norm FROM ({TOP}) WINDOW w AS (PARTITION BY qid)")

@@ -32,3 +32,11 @@ def test_knowledge_queries_are_whole(spark, sf):
     check(spark, sf, QUERIES["hybrid_candidates"], sql.replace("doc_id < 10", "doc_id % 100 = 0"))
     for name in ("hybrid_search", "hyde_search"):
         assert {r.qid for r in QUERIES[name](spark, sf).collect()} == set(texts)
+
+
+@pytest.mark.parametrize("name, folder", [("ivf_probed", "sf0.001"), ("ivf_probed", "sf0.1"), ("ivf_top_k", "check_s")])
+def test_probed_searches_as_registered_find_nine_in_ten(spark, name, folder):
+    d = f"/root/testdata/{folder}"  # check_s is above the size from which ivf_top_k probes
+    flat = {(r.qid, r.doc_id) for r in QUERIES["dense_top_k"](spark, d).collect()}
+    near = {(r.qid, r.doc_id) for r in QUERIES[name](spark, d).collect()}
+    assert len(flat & near) >= 0.9 * len(flat)
