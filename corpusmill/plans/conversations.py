@@ -69,7 +69,7 @@ WITH d AS (SELECT doc_id, least(length(text), 400) AS n FROM documents),
 t AS (SELECT doc_id, unnest(range(0, n, 4)) AS b, n FROM d)
 SELECT doc_id, count(*) FILTER (WHERE (least(b + 4, n) > 10 AND b < 30) OR (least(b + 4, n) > 101 AND b < 140))::BIGINT AS kept, count(*)::BIGINT AS n FROM t GROUP BY doc_id""")
 def masked(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "doc_id", F.least(F.length("text"), F.lit(400)).alias("n")).where("n > 0")
+    d = table(spark, sf_dir, "documents", "doc_id", F.length("text").alias("n")).where("n > 0")
     offsets = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(4)), lambda b: F.struct(b.alias("start"), F.least(b + 4, F.col("n")).alias("stop")))
     s = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in ((10, 30), (101, 140))])
     m = C.loss_mask(offsets, s)

@@ -96,7 +96,7 @@ ITEMS = "(SELECT item_id AS qid, text[:60] AS query FROM benchmark)"
 
 @query("bm25_top_k", f"SELECT qid, doc_id, rank, bm25 FROM (SELECT qid, doc_id, round(bm25, 3) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, doc_id)::BIGINT AS rank FROM ({BM25.replace('{queries}', ITEMS)})) WHERE rank <= 10")
 def lexical(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("query"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     s = R.bm25(table(spark, sf_dir, "documents"), q).withColumn("rounded", F.round("bm25", 6))
     return R.top(s, 10, "rounded").select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("bm25", 3).alias("bm25"))
 

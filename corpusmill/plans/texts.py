@@ -93,8 +93,7 @@ def similarity(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     pairs = c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") + 1 == F.col("b.turn")))
     a, b = T.tokens(F.col("a.text")), T.tokens(F.col("b.text"))
-    short = lambda x: F.substring(F.regexp_replace(F.col(f"{x}.text"), "[^ -~]", ""), 1, 60)
-    return pairs.select("a.conv_id", "a.turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.cosine(F.slice(a, 1, 80), F.slice(b, 1, 80)), 6).alias("cosine"), F.round(T.edit_ratio(short("a"), short("b")), 6).alias("edit"), F.round(T.char_jaccard(short("a"), short("b")), 6).alias("chars"))
+    return pairs.select("a.conv_id", "a.turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.cosine(a, b), 6).alias("cosine"), F.round(T.edit_ratio(F.col("a.text"), F.col("b.text")), 6).alias("edit"), F.round(T.char_jaccard(F.col("a.text"), F.col("b.text")), 6).alias("chars"))
 
 
 QUERIES["text_similarity"] = similarity
@@ -113,10 +112,10 @@ FROM p LEFT JOIN n USING (conv_id, turn)
 
 
 def sequence(spark, sf_dir):
-    """Similarity by longest matching blocks of consecutive turns' first 200 characters."""
+    """Similarity by longest matching blocks of consecutive turns."""
     c = table(spark, sf_dir, "conversations")
     pairs = c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") + 1 == F.col("b.turn")))
-    return pairs.select("a.conv_id", "a.turn", F.round(T.sequence_ratio(F.substring("a.text", 1, 200), F.substring("b.text", 1, 200)), 6).alias("ratio"))
+    return pairs.select("a.conv_id", "a.turn", F.round(T.sequence_ratio(F.col("a.text"), F.col("b.text")), 6).alias("ratio"))
 
 
 QUERIES["text_sequence_ratio"] = sequence

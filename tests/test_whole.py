@@ -3,7 +3,7 @@
 import pytest
 
 from corpusmill import catalog
-from tests.oracle import check
+from tests.oracle import check, duck
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 DENSE = ["dense_top_k", "ivf_top_k", "score_normalised", "retrieval_metrics", "relevance_gate", "corpus_lookup", "dense_k_of_each_query", "rag_evaluation"]
@@ -40,3 +40,30 @@ def test_probed_searches_as_registered_find_nine_in_ten(spark, name, folder):
     flat = {(r.qid, r.doc_id) for r in QUERIES["dense_top_k"](spark, d).collect()}
     near = {(r.qid, r.doc_id) for r in QUERIES[name](spark, d).collect()}
     assert len(flat & near) >= 0.9 * len(flat)
+
+
+@pytest.mark.parametrize("name, cut, whole", [("bm25_top_k", "text[:60]", "text"), ("synonym_expansion", "text[:60]", "text"), ("loss_mask", "least(length(text), 400)", "length(text)")])
+def test_texts_are_taken_whole(spark, sf, name, cut, whole):
+    assert cut in ORACLES[name]
+    check(spark, sf, QUERIES[name], ORACLES[name].replace(cut, whole))
+
+
+def test_similarity_is_of_whole_turns(spark, sf):
+    from difflib import SequenceMatcher
+
+    sql = ORACLES["text_similarity"]
+    for x in "ab":
+        sql = sql.replace(f"regexp_replace({x}.text, '[^ -~]', '', 'g')[:60]", f"{x}.text")
+    sql = sql.replace("[:80]", "")
+    assert "[:" not in sql and "[^ -~]" not in sql
+    got = {(r.conv_id, r.turn): r for r in QUERIES["text_similarity"](spark, sf).collect()}
+    want = {(r.conv_id, r.turn): r for r in duck(sf, sql).itertuples()}
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    ratio = {(r.conv_id, r.turn): r.ratio for r in QUERIES["text_sequence_ratio"](spark, sf).collect()}
+    assert set(got) == set(want) == set(ratio)
+    for (conv, turn), r in got.items():
+        a, b = turns[conv, turn], turns[conv, turn + 1]
+        w = want[conv, turn]
+        assert (r.jaccard, r.cosine, r.chars) == pytest.approx((w.jaccard, w.cosine, w.chars), abs=2e-6)
+        assert not (a + b).isascii() or r.edit == pytest.approx(w.edit, abs=2e-6)  # the SQL counts bytes
+        assert ratio[conv, turn] == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=2e-6)
