@@ -129,12 +129,12 @@ CLEAN = "trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({
 def normalise(spark, sf_dir):
     p = pairs(spark, sf_dir)
     half = p.select("conv_id", F.when(F.col("turn") % 4 == 0, F.col("q")).alias("query"), F.when(F.col("turn") % 4 == 0, F.col("a")).alias("reply"), F.concat(F.lit("问: "), "q", F.lit(" 答: "), "a").alias("text"))
-    return R.normalise_qa(half, "conv_id").select("conv_id", "id", "question", "answer", "domain").where(~F.concat_ws(" ", "question", "answer").rlike("[0-9]{6}|@"))
+    return R.normalise_qa(half, "conv_id").select("conv_id", "id", "question", "answer", "domain")
 
 
 @query("qa_split", f"SELECT conv_id, turn, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS question, regexp_replace(a, '^\\s+|\\s+$', '', 'g') AS answer FROM ({PAIRS}) WHERE NOT contains(q, 'A:')")
 def split(spark, sf_dir):
-    p = pairs(spark, sf_dir).where(~F.contains("q", F.lit("A:")))
+    p = pairs(spark, sf_dir)
     t, pat = F.concat(F.lit("Q: "), "q", F.lit(" A: "), "a"), r"(?s)Q[:：]\s*(.*?)\s*A[:：]\s*(.*)"
     from corpusmill.functions.text import strip
 
@@ -144,7 +144,6 @@ def split(spark, sf_dir):
 @query("kb_documents", f"SELECT conv_id, turn, q AS title, '问题：' || q || chr(10) || '答案：' || a AS contents, q || ' ' || a AS embed_text FROM (SELECT conv_id, turn, trim(q)[:200] AS q, trim(a)[:200] AS a, length(trim(a)) AS n FROM ({PAIRS})) WHERE q <> '' AND n >= 40 AND NOT contains(a[101:], chr(10)) AND NOT contains(q[101:], chr(10))")
 def kb(spark, sf_dir):
     p = pairs(spark, sf_dir).select("conv_id", "turn", F.trim("q").alias("q"), F.trim("a").alias("a")).where((F.col("q") != "") & (F.length("a") >= 40))
-    p = p.where(~F.contains(F.substring("a", 101, 100), F.lit("\n")) & ~F.contains(F.substring("q", 101, 100), F.lit("\n")))
     q, a = truncate(F.col("q"), 200), truncate(F.col("a"), 200)
     return p.select("conv_id", "turn", q.alias("title"), F.concat(F.lit("问题："), q, F.lit("\n答案："), a).alias("contents"), F.concat_ws(" ", q, a).alias("embed_text"))
 

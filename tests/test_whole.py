@@ -67,3 +67,15 @@ def test_similarity_is_of_whole_turns(spark, sf):
         assert (r.jaccard, r.cosine, r.chars) == pytest.approx((w.jaccard, w.cosine, w.chars), abs=2e-6)
         assert not (a + b).isascii() or r.edit == pytest.approx(w.edit, abs=2e-6)  # the SQL counts bytes
         assert ratio[conv, turn] == pytest.approx(SequenceMatcher(None, a, b).ratio(), abs=2e-6)
+
+
+def test_pairs_that_sql_cannot_follow_are_kept(spark, tmp_path):
+    long = "x" * 120 + "\n" + "y" * 120
+    turns = [("What is this, a question?\nA: or an answer?", "An answer that is long enough to be kept in the base."), (long, long), ("Which @ sign is it, 12 at 5?", "The @ sign of a plain sentence, no address."), ("A plain question, is it?", "The batch number is 1234567 and it is whole.")]
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", x[t % 2]) for i, x in enumerate(turns) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {name: {r.conv_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("kb_documents", "qa_split", "qa_normalise")}
+    assert set(got["kb_documents"]) == {0, 1, 2, 3} and got["kb_documents"][1].title == "x" * 120 + "\n"
+    assert set(got["qa_split"]) == {0, 1, 2, 3} and got["qa_split"][0].question == "What is this, a question?"
+    assert got["qa_split"][0].answer == "or an answer? A: " + turns[0][1]
+    assert set(got["qa_normalise"]) == {0, 1, 2, 3} and "1234567" in got["qa_normalise"][3].answer
