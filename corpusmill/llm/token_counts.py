@@ -30,7 +30,7 @@ from corpusmill.llm.prefix_bpe import PrefixBpe
 from corpusmill.llm.text import held
 
 #: Latin-1 has no character that composition changes, and lower case there is one to one.
-_LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+_LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 #: Outcomes of the pattern's order: these letters after an apostrophe are taken before longer runs.
 _ANY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -119,7 +119,7 @@ class CountingTokenizer:
             return 0
         try:
             text.encode("latin-1")
-            text, find = re.sub(r"\s", " ", text.lower()), _LATIN.findall
+            text, find = re.sub(r"[\t-\r \x85\xa0]", " ", text.lower()), _LATIN.findall
         except UnicodeEncodeError:
             import regex
 

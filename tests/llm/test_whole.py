@@ -1,9 +1,11 @@
 """Operators for training data that once did a part of the job, over the whole of it."""
 
+import random
 from collections import Counter
 from math import log
 
-from corpusmill.llm import catalog
+from corpusmill.llm import catalog, token_counts
+from tests.llm.test_edges import JSON
 
 QUERIES = catalog.queries()
 
@@ -26,3 +28,14 @@ def test_lm_scores_count_three_words(spark, sf):
     got = {r.doc_id: (r.n_words, round(r.lm_score, 4), r.n_backed_off) for r in QUERIES["op3_lm_scores"](spark, sf).collect()}
     assert {i: (x[0], x[2]) for i, x in got.items()} == {i: (x[0], x[2]) for i, x in want.items()}
     assert all(abs(got[i][1] - want[i][1]) < 2e-4 for i in want)
+
+
+def test_token_counts_of_control_characters_that_are_no_white_space():
+    from tokenizers import Tokenizer
+
+    spec = open(JSON, encoding="utf-8").read()
+    lib, own = Tokenizer.from_str(spec), token_counts.CountingTokenizer(spec, chunk=7)
+    random.seed(3)
+    pool = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\x0b", "\t", " ", "'s", "é", "½", "中", "B", "the", "12", "..."]
+    texts = ["a\x1cb", "中\x1fb", *("".join(random.choice(pool) for _ in range(random.randint(0, 20))) for _ in range(2000))]
+    assert [own.count(s) for s in texts] == [len(lib.encode(s, add_special_tokens=False).ids) for s in texts]
