@@ -1,19 +1,24 @@
 """Where intermediate results live: the folder that all executors share.
 
 On a cluster ``spark.checkpoint.dir`` names it.  Only where that setting is
-absent (tests, local mode) a folder of this machine is taken.
+absent in local mode (tests) a folder of this machine is taken; a cluster without
+it is refused.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: The frames that ``cut`` returned, by identity, and their paths.
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -46,7 +53,18 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     path = new_path(spark, what)
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``cut`` has written for these, once nothing reads it any more."""
+    for df in frames:
+        held, path = _paths.pop(id(df), (lambda: None, ""))
+        if held() is df:
+            _delete(df.sparkSession, path)
+            _made[:] = [x for x in _made if x[1] != path]
 
 
 def release(spark: SparkSession) -> None:
@@ -59,11 +77,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before
             return
