@@ -4,26 +4,33 @@ A text is the set of its distinct word n-grams.  Two texts link when
 ``100 * intersection >= percent * union``; a class is a connected component.
 
 1. Equal sets are one: rows are combined by a 128-bit sum of the set before
-   anything else, so any number of copies costs one row.
+   anything else, so any number of copies costs one row.  Texts are hashed once;
+   what follows reads the written features.
 2. Tokens are hashed into groups.  Two linking sets of sizes n and m differ in
-   at most (n + m)(100 - percent)/(100 + percent) tokens.  With one group more
-   than that, one group at least holds the same tokens in both sets.  A set
+   at most d = (n + m)(100 - percent)/(100 + percent) tokens.  With d + 1 + s
+   groups, 1 + s groups at least hold the same tokens in both sets.  A set
    sends a 64-bit sum of each group; sets that share one meet in a bucket.
    Groupings are made for size classes, and a set takes part in its own and
    the one below, so no pair is missed.  This replaces the top of the index: a
    single tree over all points can't be searched by many machines.
-3. A set is also a point: its counts in a number of groups that follows its size
+3. Buckets have one global order, from few members to many, and a set leaves the
+   last s of its own in each grouping.  Of the 1 + s buckets that two linking
+   sets share, neither leaves the first, so they still meet, while passages
+   that very many texts share bring nobody together.
+4. A set is also a point: its counts in a number of groups that follows its size
    class.  The overlap of two sets is at most the sum of the coordinates' minima.
    A bucket's members are held against its first one, by this bound and then
    exactly, and linked sets become one component.
-4. Of the buckets that still hold two components and more than two sets, the
+5. Of the buckets that still hold two components and more than two sets, the
    points are indexed by an R-tree, packed in blocks of bounded size; a node's
    maxima bound the overlap with all below it.  Pairs in one component already
    need no search.
-5. The pairs that survive are verified on the sets, and components are taken of
+6. The pairs that survive are verified on the sets, and components are taken of
    all links.  Whatever was not compared lies in one component or can't link.
 
-No all-pairs output, no cap on buckets, no collection on the driver.
+Buckets are counted with a combine before the shuffle and met by a join that
+adaptive execution splits, so no signature is a task of its own.  No all-pairs
+output, no cap on buckets, no collection on the driver.
 """
 
 from __future__ import annotations
@@ -33,14 +40,16 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import held
+from corpusmill.llm.text import free_name, held
 from corpusmill.operators.graph import connected_components
-from corpusmill.storage import cut
+from corpusmill.storage import cut, discard
 
 LEAST_DIMS, FAN, BLOCK, SENT_IDS = 64, 32, 2048, 1_000_000
+#: Spare groups, percent of those needed.
+SPARE = 25
 _U = np.uint64
 
 
@@ -106,20 +115,25 @@ class Groupings:
         hi = self.lo[int(np.searchsorted(self.lo, n, "right"))] - 1
         return max(LEAST_DIMS, 1 << (hi // 8).bit_length())
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(grouping, number of groups) in which a set of ``n`` takes part; one group only meets equals."""
+    def spare(self, grouping: int) -> int:
+        """How many groups a grouping has beyond one more than two of its linking sets can differ in."""
+        return -(-(self.groups[grouping] - 1) * SPARE // 100)
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(grouping, number of groups, spare ones among them) in which a set of ``n`` takes part; one group only meets equals."""
         self._grow(n)
         c = int(np.searchsorted(self.lo, n, "right")) - 1
-        return [(g, self.groups[g]) for g in (c - 1, c) if g >= 0 and self.groups[g] > 1]
+        return [(g, self.groups[g] + self.spare(g), self.spare(g)) for g in (c - 1, c) if g >= 0 and self.groups[g] > 1]
 
 
 def group_sums(tokens: np.ndarray, grouping: int, groups: int) -> np.ndarray:
-    """A hash for each group: of its tokens, its number and the grouping."""
+    """A hash for each group: of its tokens, its number and the grouping, whose parity is the last bit."""
     group = ((tokens >> _U(17)) % _U(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + _U(grouping + 1))[order], dtype=np.uint64)])
     ends = np.cumsum(np.bincount(group, minlength=groups))
-    return mix(np.diff(sums[np.concatenate([[0], ends])]) + mix(np.arange(groups, dtype=np.uint64) * _U(1 << 20) + _U(grouping)))
+    out = mix(np.diff(sums[np.concatenate([[0], ends])]) + mix(np.arange(groups, dtype=np.uint64) * _U(1 << 20) + _U(grouping)))
+    return out & ~_U(1) | _U(grouping & 1)
 
 
 def counts(tokens: np.ndarray, dims: int) -> np.ndarray:
@@ -162,41 +176,43 @@ class CountTree:
         return self.order[at]
 
 
-def _features(docs: DataFrame, k: int, percent: int, signatures: bool) -> DataFrame:
-    """``(doc_id, n, s1, s2)`` with the ``point``, or with the signatures ``sigs``, from ``(doc_id, text)``."""
+def _features(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(doc_id, mark, n, s1, s2)``, the ``point`` and the signatures ``sigs``, from ``(doc_id, mark, text)``.
+
+    ``spare0`` and ``spare1``: the spare groups of the even and the odd grouping.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, s1 long, s2 long, " + ("sigs array<long>" if signatures else "point binary")
+    names = ["doc_id", "mark", "n", "s1", "s2", "spare0", "spare1", "point", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, groupings = held(("shingles", k), lambda: Shingler(k)), Groupings(percent)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out: list[list] = [[], [], [], []]
-                for text in batch.column(1).to_pylist():
+                out: list[list] = [[], [], [], [], [], [], []]
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     tokens = sets(text)
+                    used = groupings.of(len(tokens)) if len(tokens) and key is not None else []
+                    parts = [group_sums(tokens, g, n) for g, n, _ in used]
+                    spare = {g & 1: n for g, _, n in used}
                     out[0].append(len(tokens))
                     out[1].append(int(mix(tokens).sum(dtype=np.uint64).astype(np.int64)))
                     out[2].append(int(mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    if not signatures:
-                        out[3].append(counts(tokens, groupings.dims(len(tokens))).tobytes() if len(tokens) else None)
-                    else:
-                        parts = [group_sums(tokens, *g) for g in groupings.of(len(tokens))] if len(tokens) else []
-                        out[3].append(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
-                columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]]]
-                if signatures:
-                    ends = np.array([0, *accumulate(map(len, out[3]))], np.int32)
-                    flat = np.concatenate(out[3]) if out[3] else np.empty(0, np.int64)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-                else:
-                    columns.append(pa.array(out[3], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "sigs" if signatures else "point"])
-
-    return docs.mapInArrow(run, schema)
+                    out[3].append(spare.get(0, 0))
+                    out[4].append(spare.get(1, 0))
+                    out[5].append(counts(tokens, groupings.dims(len(tokens))).tobytes() if len(tokens) else None)
+                    out[6].append(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
+                ends = np.array([0, *accumulate(map(len, out[6]))], np.int32)
+                flat = np.concatenate(out[6]) if out[6] else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in out[:3]], *[pa.array(x, pa.int32()) for x in out[3:5]],
+                    pa.array(out[5], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, n long, s1 long, s2 long, spare0 int, spare1 int, point binary, sigs array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, tokens array<long>)`` from ``(doc_id, text)``."""
+    """``(doc_id, n, s1, s2, tokens array<long>)`` from ``(doc_id, text)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,45 +221,29 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 tokens = [sets(t) for t in batch.column(1).to_pylist()]
+                sums = [[int(mix(t ^ _U(x)).sum(dtype=np.uint64).astype(np.int64)) for t in tokens] for x in (0, 0x5851F42D4C957F2D)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(map(len, tokens), pa.int64()),
-                    pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
+                    batch.column(0), pa.array(map(len, tokens), pa.int64()), *[pa.array(x, pa.int64()) for x in sums],
+                    pa.array([t.view(np.int64) for t in tokens], pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "tokens"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, tokens array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, tokens array<long>")
 
 
-def _buckets(rows: DataFrame, kind: str) -> DataFrame:
-    """``(sig, doc_id, leader, place)`` of signatures that two sets share; rows come sorted.
+def _buckets(feat: DataFrame, points: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(sig, id, leader, size)``: the members of buckets of two sets and more, after each set has left its last ones."""
+    signed = feat.where("size(sigs) > 0").select("id", "sigs").join(copies, "id", "left_anti").select("id", F.explode("sigs").alias("sig"))
+    shared = cut(signed.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    spares = points.select("id", "spare0", "spare1")
+    last = Window.partitionBy("id", "odd").orderBy(F.desc("size"), F.desc("sig"))
+    met = signed.join(shared, "sig").join(spares, "id").withColumn("odd", F.col("sig").bitwiseAND(1)).withColumn("place", F.row_number().over(last))
+    met = cut(met.where(F.col("place") > F.when(F.col("odd") == 0, F.col("spare0")).otherwise(F.col("spare1"))).select("sig", "id"), "met")
+    still = met.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
+    out = cut(met.join(still, "sig"), "buckets")
+    discard(shared, met)
+    return out
 
-    The members of a bucket stream by: only the current signature, its first
-    member and the number of members so far are held.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = leader = None
-        place = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, d = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
-            places = np.arange(len(s)) - first[run_of]
-            leaders = d[first][run_of]
-            carried = sig is not None and s[0] == sig
-            if carried:
-                mine = run_of == 0
-                places[mine] += place
-                leaders[mine] = leader
-            sig, leader, place = s[-1], leaders[-1], int(places[-1]) + 1
-            rest = np.flatnonzero(places > 0)
-            if len(rest):
-                yield pa.RecordBatch.from_arrays([pa.array(s[rest]), pa.array(d[rest]), pa.array(leaders[rest]), pa.array(places[rest])], names=["sig", "doc_id", "leader", "place"])
-
-    return rows.mapInArrow(run, f"sig long, doc_id {kind}, leader {kind}, place long")
-
-
-def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+def _search(rows: DataFrame, percent: int) -> DataFrame:
     """``(a, b)``: pairs of two components that may link.  Rows come grouped by (sig, bi, bj)."""
 
     def pairs(ids, block, comp, n, points, own) -> Iterator[tuple]:
@@ -264,7 +264,7 @@ def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         points = [np.frombuffer(x, np.uint16) for x in t.column("point").to_pylist()]
         dims = min(map(len, points))
         points = np.array([fold(x, dims) for x in points])
-        found = list(pairs(col("doc_id"), col("block"), col("comp"), col("n"), points, key[1:]))
+        found = list(pairs(col("id"), col("block"), col("comp"), col("n"), points, key[1:]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -287,7 +287,7 @@ def _search(rows: DataFrame, kind: str, percent: int) -> DataFrame:
         if held:
             yield from group(held, last)
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def sized(ids: DataFrame) -> DataFrame:
@@ -296,9 +296,9 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, kind: str, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs whose points allow a link."""
-    side = lambda x: points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    side = lambda x: points.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,78 +311,118 @@ def _bounded(pairs: DataFrame, points: DataFrame, kind: str, percent: int) -> Da
                 keep.append(bool(np.minimum(fold(x, dims), fold(y, dims)).sum(dtype=np.int64) >= minimum_overlap(n[i], m[i], percent)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link, by their sets, which are made of the documents in them alone."""
-    met = sized(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = cut(_sets(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link, by their sets, which are made of the documents in them alone.
+
+    A set is found again by a row's key and the sums of its set, so it does not
+    matter which of equal rows is taken, nor that a key stands at several texts.
+    """
+    met = sized(reps.join(sized(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), "id", "left_semi"))
+    sets = _sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), k)
+    sets = cut(sets.join(met, ["doc_id", "n", "s1", "s2"]).select("id", "n", "tokens").dropDuplicates(["id"]), "sets")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     common = F.size(F.array_intersect("ta", "tb"))
-    return cut(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+    out = cut(both.withColumn("i", common).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+    discard(sets, met)
+    return out
 
 
-def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``df``: ``doc_id``, ``n_shingles`` and ``component_id``.
+def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc_id, mark, text)``; a row is known by its key and the mark of its text."""
+    t = F.col(f"`{text}`")
+    return df.select(F.col(f"`{key}`").alias("doc_id"), _mark(t).alias("mark"), t.alias("text"))
 
-    Defined results: null and empty texts have the empty set, which links with
-    nothing, so they are their own class; with fewer than ``k`` words the whole
-    sequence is one n-gram; a row without a key keeps none and joins no class;
-    rows that repeat a key are returned as often; other columns are not read;
-    an empty table gives an empty one.  Keys must be integers.
+
+def _mark(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(doc_id, mark, n, class, component_id)`` for each row of ``(doc_id, mark, text)``, written.
+
+    ``class`` tells classes apart that bear the same smallest key; null without words or key.
     """
-    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.where("doc_id IS NOT NULL")
-    light = cut(_features(docs, k, percent, False), "light")
-    reps = cut(light.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    points = light.select("doc_id", "n", "point").where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    points = cut(points.dropDuplicates(["doc_id"]), "points")
-    full = _features(keyed, k, percent, True).where("n > 0")
-    signed = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "sigs")).alias("x")).select("x.doc_id", F.explode("x.sigs").alias("sig"))
-    rows = signed.select("sig", "doc_id").repartition("sig").sortWithinPartitions("sig", "doc_id")
-    buckets = cut(_buckets(rows, kind), "buckets")
-
-    stars = buckets.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(cut(_bounded(stars, points, kind, percent), "stars"), keyed, k, percent)
+    feat = cut(_features(docs, k, percent).withColumn("id", F.monotonically_increasing_id()), "features")
+    light = feat.select("id", "doc_id", "mark", "n", "s1", "s2")
+    keyed = light.where("n > 0 AND doc_id IS NOT NULL")
+    reps = cut(keyed.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("id", "doc_id").alias("id")), "reps")
+    copies = sized(keyed.join(reps.select("id"), "id", "left_anti").select("id"))
+    points = cut(feat.where("n > 0 AND doc_id IS NOT NULL").select("id", "n", "spare0", "spare1", "point").join(copies, "id", "left_anti"), "points")
+    buckets = _buckets(feat, points, copies)
+
+    stars = cut(_bounded(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), points, percent), "stars")
+    links = _verified(stars, reps, docs, k, percent)
     found = connected_components(links)
 
     at = lambda x, name: found.select(F.col("id").alias(x), F.col("component").alias(name))
-    told = buckets.join(at("doc_id", "comp"), "doc_id", "left").join(at("leader", "lead"), "leader", "left")
-    told = cut(told.select("sig", "doc_id", "leader", "place", F.coalesce("comp", "doc_id").alias("comp"), F.coalesce("lead", "leader").alias("lead")), "told")
+    told = buckets.join(at("id", "comp"), "id", "left").join(at("leader", "lead"), "leader", "left")
+    told = cut(told.select("sig", "id", "leader", "size", F.coalesce("comp", "id").alias("comp"), F.coalesce("lead", "leader").alias("lead")), "told")
     # The pair of a bucket of two is among the stars; of buckets with the same members one is searched.
     mixed = told.groupBy("sig").agg(
-        F.max("place").alias("last"), F.max(F.col("comp") != F.col("lead")).alias("mixed"), F.min("leader").alias("leader"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("m1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("m2")).where("mixed AND last > 1")
-    mixed = mixed.groupBy("leader", "last", "m1", "m2").agg(F.min("sig").alias("sig"))
-    mixed = cut(mixed.select("sig", (F.col("last") / BLOCK).cast("int").alias("top")), "mixed")
-    rows = told.join(mixed, "sig")
-    rows = rows.select("sig", "top", "doc_id", "comp", (F.col("place") / BLOCK).cast("int").alias("block")).union(
-        rows.where("place = 1").select("sig", "top", F.col("leader").alias("doc_id"), F.col("lead").alias("comp"), F.lit(0).alias("block")))
-    rows = rows.join(points, "doc_id")
+        F.max("size").alias("size"), F.max(F.col("comp") != F.col("lead")).alias("mixed"), F.min("leader").alias("leader"),
+        F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("mixed AND size > 2")
+    mixed = mixed.groupBy("leader", "size", "m1", "m2").agg(F.min("sig").alias("sig"))
+    mixed = cut(mixed.select("sig", (F.col("size") / BLOCK).cast("int").alias("top")), "mixed")
+    rows = told.join(mixed, "sig").select("sig", "top", "id", "comp", F.pmod(F.xxhash64("id"), F.col("top") + 1).cast("int").alias("block"))
+    rows = rows.join(points.select("id", "n", "point"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "top"))).select(
-        "sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "doc_id", "block", "comp", "n", "point")
+        "sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "comp", "n", "point")
     rows = rows.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
-    more = _verified(cut(_search(rows, kind, percent).distinct(), "pairs"), keyed, k, percent)
+    pairs = cut(_search(rows, percent).distinct(), "pairs")
+    more = _verified(pairs, reps, docs, k, percent)
     found = connected_components(links.union(more))
 
-    classes = cut(reps.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "classes")
-    return light.join(classes, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = reps.join(found, "id", "left").select("n", "s1", "s2", "doc_id", F.coalesce("component", "id").alias("component"))
+    named = cut(named, "named")
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(smallest, "component").select("n", "s1", "s2", F.col("component").alias("class"), "component_id")
+    keyless = F.col("doc_id").isNull()
+    out = light.join(named, ["n", "s1", "s2"], "left").select(
+        "doc_id", "mark", "n", F.when(~keyless, F.col("class")).alias("class"), F.when(~keyless, F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = cut(out, "classes")
+    discard(feat, reps, copies, points, buckets, stars, links, told, mixed, pairs, more, named)
+    return out
+
+
+def ngram_classes(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``df``: ``doc_id``, ``n_shingles`` and ``component_id``.
+
+    Defined results: null and empty texts have the empty set, which links with
+    nothing, so they are their own class; with fewer than ``k`` words the whole
+    sequence is one n-gram; a row without a key keeps none and joins no class;
+    rows that repeat a key are returned as often, each in the class of its own
+    text, and a class bears the smallest key in it; very long texts are taken
+    whole; other columns are not read; an empty table gives an empty one.  Keys
+    may be of any type with an order.
+    """
+    return _classes(_marked(df, key, text), k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its class, one for each key.
+    """One row of each class: one that bears the class's smallest key.
 
-    Rows without a key are in no class, and stay.
+    Of several texts of that class at the key the one with the smallest hash
+    stays, of rows that are equal in key and text the first in the order of
+    their JSON.  Rows without a key are in no class, and stay; rows without words
+    stay, one for each key and text.  Nothing depends on how the table is laid out.
     """
-    found = cut(ngram_classes(df, key, text, k, percent).where("doc_id IS NOT NULL"), "found")
-    gone = sized(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
-    twice = sized(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)))
-    left = df.join(gone, key, "left_anti")
-    return left.join(twice, key, "left_anti").union(left.join(twice, key, "left_semi").dropDuplicates([key]))
+    found = _classes(_marked(df, key, text), k, percent).where("doc_id IS NOT NULL")
+    mark = free_name(df.columns, "mark")
+    ids = [F.col("doc_id").alias(key), F.col("mark").alias(mark)]
+    heads = found.where("doc_id = component_id AND class IS NOT NULL")
+    several = heads.groupBy("class").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least < most")
+    later = heads.join(sized(several.select("class", "least")), "class").where("mark <> least")
+    gone = sized(found.where("doc_id <> component_id").select(*ids).union(later.select(*ids)).distinct())
+    twice = sized(found.groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where("rows > 1").select(*ids))
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    left = df.withColumn(mark, _mark(F.col(f"`{text}`"))).join(gone, [key, mark], "left_anti")
+    first = F.min_by(F.struct(*whole), F.to_json(F.struct(*whole))).alias("row")
+    again = left.join(twice, [key, mark], "left_semi").groupBy(f"`{key}`", mark).agg(first)
+    return left.join(twice, [key, mark], "left_anti").select(*whole).union(again.select("row.*"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
