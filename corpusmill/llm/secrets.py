@@ -2,8 +2,8 @@
 
 Candidates are found in each text by built-in regular expressions.  The value
 of each is hashed, and over the whole corpus the distinct repositories and
-owners of each hash are counted.  A value that many owners hold is a copied
-example; one that few hold and that looks random is taken for live.
+owners of each hash are counted.  A value that many owners or repositories hold
+is a copied example; one that few hold and that looks random is taken for live.
 
 Counts of distinct owners are combined before each shuffle, so a value that
 occurs in a third of all rows costs no task more than its owners; the join of
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import free_name, let, settle
+from corpusmill.llm.text import free_name, let, running, settle
 from corpusmill.storage import cut
 
 #: Kind, pattern, group of the value, least length of the value.  In this order kinds are listed.
@@ -35,14 +35,12 @@ def _found(text: Column, k: int, pattern: str, group: int, least: int) -> Column
 
     def spans(parts: Column) -> Column:
         return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits,
-            lambda values: F.aggregate(
-                F.sequence(F.lit(0), F.size(hits) - 1),
-                F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS {CANDIDATE})").alias("out")),
-                lambda a, i: let(a["at"] + F.length(F.get(parts, i)), lambda s: let(s + F.length(F.get(hits, i)), lambda e: F.struct(
-                    e.alias("at"),
-                    F.concat(a["out"], F.array(F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), (e - F.length(F.get(values, i))).alias("vs"), F.get(values, i).alias("v")))).alias("out")))),
-                lambda a: F.filter(a["out"], lambda x: F.length(x["v"]) >= least))))
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits, lambda values: let(
+                F.transform(hits, lambda h, i: F.length(F.get(parts, i)) + F.length(h)), lambda widths: let(
+                    running(widths, F.lit(0), lambda a, x: a + x), lambda before: F.filter(F.transform(values, lambda v, i: let(
+                        F.get(before, i) + F.get(widths, i), lambda e: F.struct(
+                            (e - F.length(F.get(hits, i))).alias("s"), F.lit(k).alias("k"), e.alias("e"), (e - F.length(v)).alias("vs"), v.alias("v")))),
+                        lambda x: F.length(x["v"]) >= least)))))
 
     return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), spans)).otherwise(F.expr(f"CAST(array() AS {CANDIDATE})"))
 
@@ -59,13 +57,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return held.groupBy("h").agg(F.count("*").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
 
 
-def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repos: int = 5) -> DataFrame:
     """One row for each row of ``df``: ``key`` and ``secrets``.
 
     ``secrets``: array of (s, k, e, vs, v, status) by place, where ``k`` is the
     place of the kind in ``KINDS``, ``[s, e)`` the match, ``[vs, e)`` the value
     ``v`` in code points, and ``status`` is ``live`` (few owners and random
-    looks), ``example`` (more than ``max_owners`` owners) or ``weak``.
+    looks), ``example`` (more than ``max_owners`` owners or ``max_repos``
+    repositories) or ``weak``.
 
     ``repo`` and ``owner`` say who holds a row; by default both are unknown and
     each row stands for itself.  Defined results: null text counts as empty; a
@@ -80,7 +79,7 @@ def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", repo: Co
     known = cut(ownership(each), "owners")
     letters = F.size(F.array_distinct(F.split("v", "")))
     looks = (letters >= 6) & F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]") & ~F.col("v").rlike(PLACEHOLDER)
-    status = F.when(F.col("n_owners") > max_owners, "example").when(looks, "live").otherwise("weak")
+    status = F.when((F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos), "example").when(looks, "live").otherwise("weak")
     judged = each.join(known, "h").select("row", F.struct("s", "k", "e", "vs", "v", status.alias("status"), "n_repos", "n_owners").alias("x"))
     judged = judged.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("secrets"))
     none = F.expr("CAST(array() AS array<struct<s:int,k:int,e:int,vs:int,v:string,status:string,n_repos:bigint,n_owners:bigint>>)")
@@ -91,22 +90,35 @@ def redact(text: Column, secrets: Column) -> Column:
     """``text`` with the value of each secret replaced, overlapping ones as one.
 
     A value that is not a copied example becomes ``[SECRET]``, a copied example
-    ``[EXAMPLE]``; a null text stays null.
+    ``[EXAMPLE]``; a null text stays null.  Values are replaced in blocks, each
+    of which is cut out of the text once.
     """
-    start = F.expr("CAST(array() AS array<struct<vs:int,e:int,live:boolean>>)")
+    own = F.transform(secrets, lambda x: F.struct(x["vs"].alias("vs"), x["e"].alias("e"), (x["status"] != "example").alias("live")))
 
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        own = F.struct(x["vs"].alias("vs"), x["e"].alias("e"), (x["status"] != "example").alias("live"))
-        both = F.struct(last["vs"].alias("vs"), F.greatest(last["e"], x["e"]).alias("e"), (last["live"] | (x["status"] != "example")).alias("live"))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["e"] > x["vs"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(own)))
+    def merged(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: y["e"]), F.lit(0), lambda a, e: F.greatest(a, e))
+        first = let(ends, lambda far: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i)["vs"] >= F.get(far, i)))
+        return let(first, lambda at: F.transform(at, lambda i, g: let(
+            F.slice(x, i + 1, F.coalesce(F.get(at, g + 1), F.size(x)) - i), lambda same: F.struct(
+                F.get(same, 0)["vs"].alias("vs"), F.array_max(F.transform(same, lambda y: y["e"])).alias("e"), F.exists(same, lambda y: y["live"]).alias("live")))))
 
-    by_value = F.array_sort(secrets, lambda x, y: F.when(x["vs"] < y["vs"], -1).when(x["vs"] > y["vs"], 1).otherwise(0))
-    merged = F.aggregate(by_value, start, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["vs"].alias("vs"), x["e"].alias("e"), (x["status"] != "example").alias("live")))).otherwise(add(a, x)))
-    return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(F.reverse(merged), text, lambda t, x: F.overlay(t, F.when(x["live"], "[SECRET]").otherwise("[EXAMPLE]"), x["vs"] + 1, x["e"] - x["vs"])))
+    def written(x: Column) -> Column:
+        def block(size: Column) -> Column:
+            def one(b: Column) -> Column:
+                return let(F.slice(x, b * size + 1, size), lambda part: let(F.coalesce(F.get(x, b * size - 1)["e"], F.lit(0)), lambda at: let(
+                    F.substring(text, at + 1, F.element_at(part, -1)["e"] - at), lambda cut_out: F.array_join(F.transform(part, lambda y, j: let(
+                        F.coalesce(F.get(part, j - 1)["e"], at), lambda since: F.concat(
+                            F.substring(cut_out, since - at + 1, y["vs"] - since), F.when(y["live"], "[SECRET]").otherwise("[EXAMPLE]")))), ""))))
 
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), one), "")
 
-def redact_secrets(df: DataFrame, text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2) -> DataFrame:
+        tail = let(F.element_at(x, -1)["e"], lambda e: F.substring(text, e + 1, F.length(text)))
+        return F.concat(let(F.ceil(F.sqrt(F.size(x))).cast("int"), block), tail)
+
+    return F.when(F.size(secrets) == 0, text).otherwise(let(let(F.sort_array(own), merged), written))
+
+
+def redact_secrets(df: DataFrame, text: str = "text", repo: Column | None = None, owner: Column | None = None, max_owners: int = 2, max_repos: int = 5) -> DataFrame:
     """``df`` with the secrets in ``text`` replaced; rows, order of columns and types stay.
 
     Only texts with a candidate are joined with what the scan says of them, by
@@ -115,7 +127,7 @@ def redact_secrets(df: DataFrame, text: str = "text", repo: Column | None = None
     has = F.size(candidates(F.col(f"`{text}`"))) > 0
     own = free_name(df.columns, "_text_hash")
     hit = df.where(has).withColumn(own, F.sha2(F.col(f"`{text}`"), 256))
-    found = cut(secret_scan(hit, own, text, repo, owner, max_owners).dropDuplicates([own]).withColumnRenamed("secrets", own + "s"), "found")
+    found = cut(secret_scan(hit, own, text, repo, owner, max_owners, max_repos).dropDuplicates([own]).withColumnRenamed("secrets", own + "s"), "found")
     clean = hit.join(found, own).withColumn(text, redact(F.col(f"`{text}`"), F.col(own + "s")))
     return df.where(~has).union(clean.select(*[F.col(f"`{c}`") for c in df.columns]))
 
@@ -145,18 +157,18 @@ _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
 
 
 def _kind_sql(k: int, pattern: str, group: int, least: int) -> str:
-    return f"""SELECT doc_id, source, {k} AS k, m, v, sum(before) OVER w - length(m) AS s, sum(before) OVER w AS e FROM (
-      SELECT doc_id, source, m, v, length(part) + length(m) AS before, i FROM (
-        SELECT doc_id, source, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, unnest(string_split_regex(t, '{pattern}')) AS part, unnest(range(length(t) + 1)) AS i
+    return f"""SELECT doc_id, source, lang, {k} AS k, m, v, sum(before) OVER w - length(m) AS s, sum(before) OVER w AS e FROM (
+      SELECT doc_id, source, lang, m, v, length(part) + length(m) AS before, i FROM (
+        SELECT doc_id, source, lang, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, unnest(string_split_regex(t, '{pattern}')) AS part, unnest(range(length(t) + 1)) AS i
         FROM d WHERE regexp_matches(t, '{pattern}')) WHERE m IS NOT NULL)
     WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY length(v) >= {least}"""
 
 
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 c AS ({_kind_sql(0, _ASSIGN, 2, 8)} UNION ALL {_kind_sql(1, KINDS[1][1], 0, 16)} UNION ALL {_kind_sql(2, KINDS[2][1], 0, 32)}),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM c GROUP BY v),
-j AS (SELECT c.*, e - length(v) AS vs, CASE WHEN owners > 2 THEN 'example' WHEN len(list_distinct(string_split(v, ''))) >= 6 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS status FROM c JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT concat_ws('/', source, lang)) AS repos FROM c GROUP BY v),
+j AS (SELECT c.*, e - length(v) AS vs, CASE WHEN owners > 2 OR repos > 5 THEN 'example' WHEN len(list_distinct(string_split(v, ''))) >= 6 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{PLACEHOLDER}') THEN 'live' ELSE 'weak' END AS status FROM c JOIN o USING (v)),
 n AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE status = 'live') AS n_live, count(*) FILTER (WHERE status = 'example') AS n_example,
   string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS base FROM j GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(['assign', 'access', 'hex', 'live'][k + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k, e) AS spans FROM (SELECT doc_id, k, s, e FROM j UNION ALL SELECT DISTINCT doc_id, 3, vs, e FROM j WHERE status = 'live') GROUP BY doc_id)

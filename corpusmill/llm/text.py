@@ -19,6 +19,22 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, start: Column, step) -> Column:
+    """For each of an array's values, the fold of those before it, beginning with ``start``.
+
+    Values go in blocks of about the square root of their number, so n values
+    take n times that root steps, and no array is built by appending.
+    """
+    fold = lambda x, first: F.aggregate(x, first, step)
+
+    def blocks(size: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda b: F.slice(values, b * size + 1, size))
+        return let(cuts, lambda parts: let(F.transform(parts, lambda x: fold(x, start)), lambda sums: F.flatten(F.transform(
+            parts, lambda x, b: let(fold(F.slice(sums, F.lit(1), b), start), lambda first: F.transform(x, lambda v, j: fold(F.slice(x, F.lit(1), j), first)))))))
+
+    return F.when(F.size(values) == 0, values).otherwise(let(F.ceil(F.sqrt(F.size(values))).cast("int"), blocks))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """``part / whole`` as double; 0 where ``whole`` is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole.cast("double"))
