@@ -66,14 +66,14 @@ def measures(df: DataFrame, text: str = "text", stop_words=STOP_WORDS) -> DataFr
     for a text of n words is n log n however often words repeat.
     """
     w, lines, windows, places = (free_name(df.columns, x) for x in ("_words", "_lines", "_windows", "_places"))
-    value = F.coalesce(F.col(text), F.lit(""))
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n = F.size(w)
 
     def repeated(x: Column, i: Column) -> Column:
         same = lambda j: F.coalesce(F.get(F.col(windows), j)["w"] == x["w"], F.lit(False))
         return same(i - 1) | same(i + 1)
 
-    df = df.withColumn(w, words(F.col(text))).withColumn(lines, F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn(w, words(F.col(f"`{text}`"))).withColumn(lines, F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     window = lambda i: F.concat_ws(" ", F.get(F.col(w), i), F.get(F.col(w), i + 1), F.get(F.col(w), i + 2))
     df = df.withColumn(windows, F.when(n < 3, F.expr("array()").cast("array<struct<w:string,p:int>>")).otherwise(
         F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.struct(window(i).alias("w"), i.alias("p"))))))
@@ -115,6 +115,12 @@ def quality_rules(df: DataFrame, text: str = "text", rules=RULES, stop_words=STO
     return measures(df, text, stop_words).withColumns({"kept": kept, "failed": failed})
 
 
+def keep_good(df: DataFrame, text: str = "text", rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
+    """The rows of ``df`` that break no rule, with their own columns whatever these are called."""
+    apart = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return quality_rules(apart, "text", rules, stop_words).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of the rules over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
