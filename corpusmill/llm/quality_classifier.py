@@ -138,12 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on at most ``max_rows`` labelled rows, those of the smallest hash of ``key``.
 
     ``max_rows`` bounds what reaches the driver and what is broadcast.  Labels
-    that are null or other than 0 and 1, and labels of unknown rows, are not used.
+    that are null or other than 0 and 1, and labels of unknown rows, are not
+    used; a label that repeats counts once, and of rows that repeat a labelled
+    key the one with the smallest statistics.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label"))
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(max_rows)
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")
-    data = statistics(rows, "_text").select("_key", "_label", *STATISTICS).orderBy("_key", "_label", *STATISTICS).limit(2 * max_rows).toPandas()
+    each = statistics(rows, "_text").groupBy("_key", "_label").agg(F.min(F.struct(*STATISTICS)).alias("x"))
+    data = each.select("_key", "_label", "x.*").toPandas().sort_values(["_key", "_label"])
     return fit(data[list(STATISTICS)].to_numpy(float), data["_label"].to_numpy(int))
 
 
