@@ -11,12 +11,15 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: Seconds between two collections of the driver's garbage, and when the last was.
+RELEASE_S, _released = 5.0, [0.0]
 #: The frames that ``cut`` returned, by identity, and their paths.
 _paths: dict[int, tuple[weakref.ref, str]] = {}
 
@@ -52,7 +55,8 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    release(spark)
+    if time.monotonic() - _released[0] > RELEASE_S:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
@@ -67,14 +71,17 @@ def discard(*frames: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait_s: float = 0.0) -> None:
     """Let executors delete the shuffle files that no plan refers to any more.
 
     Spark does so when the driver collects its garbage, which a driver with
-    little to do may put off for half an hour.
+    little to do may put off for half an hour.  With ``wait_s`` the last query's
+    events are given time to pass, for until then they hold its plan.
     """
+    time.sleep(wait_s)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released[0] = time.monotonic()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
