@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.text import free_name, held
 from corpusmill.operators.graph import connected_components
-from corpusmill.storage import cut, discard
+from corpusmill.storage import cut, discard, release
 
 LEAST_DIMS, FAN, BLOCK, SENT_IDS = 64, 32, 2048, 1_000_000
 #: Spare groups, percent of those needed.
@@ -233,6 +233,7 @@ def _buckets(feat: DataFrame, points: DataFrame, copies: DataFrame) -> DataFrame
     """``(sig, id, leader, size)``: the members of buckets of two sets and more, after each set has left its last ones."""
     signed = feat.where("size(sigs) > 0").select("id", "sigs").join(copies, "id", "left_anti").select("id", F.explode("sigs").alias("sig"))
     shared = cut(signed.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    release(feat.sparkSession, 1.0)  # the counts' exchange, before the join has its own
     spares = points.select("id", "spare0", "spare1")
     last = Window.partitionBy("id", "odd").orderBy(F.desc("size"), F.desc("sig"))
     met = signed.join(shared, "sig").join(spares, "id").withColumn("odd", F.col("sig").bitwiseAND(1)).withColumn("place", F.row_number().over(last))
@@ -240,6 +241,7 @@ def _buckets(feat: DataFrame, points: DataFrame, copies: DataFrame) -> DataFrame
     still = met.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
     out = cut(met.join(still, "sig"), "buckets")
     discard(shared, met)
+    release(feat.sparkSession, 1.0)
     return out
 
 
@@ -347,12 +349,13 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ``class`` tells classes apart that bear the same smallest key; null without words or key.
     """
     feat = cut(_features(docs, k, percent).withColumn("id", F.monotonically_increasing_id()), "features")
-    light = feat.select("id", "doc_id", "mark", "n", "s1", "s2")
+    light = cut(feat.select("id", "doc_id", "mark", "n", "s1", "s2"), "light")
     keyed = light.where("n > 0 AND doc_id IS NOT NULL")
     reps = cut(keyed.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.min_by("id", "doc_id").alias("id")), "reps")
     copies = sized(keyed.join(reps.select("id"), "id", "left_anti").select("id"))
     points = cut(feat.where("n > 0 AND doc_id IS NOT NULL").select("id", "n", "spare0", "spare1", "point").join(copies, "id", "left_anti"), "points")
     buckets = _buckets(feat, points, copies)
+    discard(feat)
 
     stars = cut(_bounded(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), points, percent), "stars")
     links = _verified(stars, reps, docs, k, percent)
@@ -384,7 +387,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     out = light.join(named, ["n", "s1", "s2"], "left").select(
         "doc_id", "mark", "n", F.when(~keyless, F.col("class")).alias("class"), F.when(~keyless, F.coalesce("component_id", "doc_id")).alias("component_id"))
     out = cut(out, "classes")
-    discard(feat, reps, copies, points, buckets, stars, links, told, mixed, pairs, more, named)
+    discard(light, reps, copies, points, buckets, stars, links, told, mixed, pairs, more, named)
     return out
 
 
