@@ -24,7 +24,7 @@ A text is the set of its distinct word n-grams.  Two texts link when
 5. Of the buckets that still hold two components and more than two sets, the
    points are indexed by an R-tree, packed in blocks of bounded size; a node's
    maxima bound the overlap with all below it.  Pairs in one component already
-   need no search.
+   need no search, and a pair is sent from the first bucket alone that both are in.
 6. The pairs that survive are verified on the sets, and components are taken of
    all links.  Whatever was not compared lies in one component or can't link.
 
@@ -246,14 +246,30 @@ def _buckets(feat: DataFrame, points: DataFrame, copies: DataFrame) -> DataFrame
 
 
 def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: pairs of two components that may link.  Rows come grouped by (sig, bi, bj)."""
+    """``(a, b)``: pairs of two components that may link, each from the first bucket that both are in.
 
-    def pairs(ids, block, comp, n, points, own) -> Iterator[tuple]:
+    Rows come grouped by (sig, bi, bj); ``earlier`` has the searched buckets of a
+    set that come before this one.
+    """
+
+    def shared(earlier: pa.ChunkedArray) -> np.ndarray:
+        """For each row a bit for each earlier bucket that two rows are in."""
+        lists = earlier.combine_chunks()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        _, at, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1
+        row, at = row[times[at] > 1], place[at[times[at] > 1]]
+        bits = np.zeros((len(lists), at.max(initial=-1) // 8 + 1), np.uint8)
+        np.bitwise_or.at(bits, (row, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+        return bits
+
+    def pairs(ids, block, comp, n, points, met, own) -> Iterator[tuple]:
         left, right = np.flatnonzero(block == own[0]), np.flatnonzero(block == own[1])
         tree = CountTree(points[left])
         for r in right:
             need = minimum_overlap(n[r], n[left].min(), percent)
             hit = left[tree.search(points[r], need)]
+            hit = hit[~(met[hit] & met[r]).any(1)]
             hit = hit[(comp[hit] != comp[r]) & (np.minimum(points[hit], points[r]).sum(1, dtype=np.int64) >= minimum_overlap(n[hit], n[r], percent))]
             if own[0] == own[1]:
                 hit = hit[ids[hit] < ids[r]]
@@ -266,7 +282,7 @@ def _search(rows: DataFrame, percent: int) -> DataFrame:
         points = [np.frombuffer(x, np.uint16) for x in t.column("point").to_pylist()]
         dims = min(map(len, points))
         points = np.array([fold(x, dims) for x in points])
-        found = list(pairs(col("id"), col("block"), col("comp"), col("n"), points, key[1:]))
+        found = list(pairs(col("id"), col("block"), col("comp"), col("n"), points, shared(t.column("earlier")), key[1:]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -371,11 +387,12 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     mixed = mixed.groupBy("leader", "size", "m1", "m2").agg(F.min("sig").alias("sig"))
     mixed = cut(mixed.select("sig", (F.col("size") / BLOCK).cast("int").alias("top")), "mixed")
     rows = told.join(mixed, "sig").select("sig", "top", "id", "comp", F.pmod(F.xxhash64("id"), F.col("top") + 1).cast("int").alias("block"))
-    rows = rows.join(points.select("id", "n", "point"), "id")
+    searched = rows.groupBy("id").agg(F.collect_list("sig").alias("sigs"))
+    rows = rows.join(points.select("id", "n", "point").join(searched, "id"), "id").withColumn("earlier", F.expr("filter(sigs, x -> x < sig)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "top"))).select(
-        "sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "comp", "n", "point")
+        "sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "comp", "n", "point", "earlier")
     rows = rows.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
-    pairs = cut(_search(rows, percent).distinct(), "pairs")
+    pairs = cut(_search(rows, percent), "pairs")
     more = _verified(pairs, reps, docs, k, percent)
     found = connected_components(links.union(more))
 
