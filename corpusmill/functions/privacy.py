@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +35,11 @@ class Detector:
     level: str = "critical"
     any_case: bool = False
 
+    @property
+    def chinese(self) -> bool:
+        """Whether every match holds a Chinese character."""
+        return self.key in ("insurance", "address", "name_title", "full_name", "record", "lab_report", "visit")
+
 
 DETECTORS = (
     Detector("id_card", "身份证号", r"\b[1-9]\d{5}(18|19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\d{3}[\dxX]\b"),
@@ -59,8 +66,17 @@ def pattern(d: Detector) -> str:
     return ("(?Ui)" if d.any_case else "(?U)") + d.pattern
 
 
+def has_chinese(c: Column) -> Column:
+    """A cheap test that spares texts without Chinese characters the costly patterns."""
+    return c.rlike(r"[\x{4e00}-\x{9fff}]")
+
+
 def mask(c: Column, d: Detector, by: str = MASK) -> Column:
     """All matches of one detector masked."""
+    return F.when(has_chinese(c), _masked(c, d, by)).otherwise(c) if d.chinese else _masked(c, d, by)
+
+
+def _masked(c: Column, d: Detector, by: str) -> Column:
     if d.keep == "colon":
         left = lambda m: F.concat(F.substring(F.element_at(F.split(m, "[:：]"), -1), 1, 2), F.lit(by))
         hits = F.transform(F.regexp_extract_all(c, F.lit(pattern(d)), F.lit(0)), left)
@@ -94,8 +110,6 @@ def report(c: Column) -> Column:
 
 def has_privacy(c: Column, strict: bool = True) -> Column:
     """Whether a critical detector matches, or in strict mode one of names."""
-    tests = [c.rlike(pattern(d)) for d in DETECTORS if d.level == "critical" or strict and d.level == "strict"]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return F.coalesce(out, F.lit(False))
+    used = [d for d in DETECTORS if d.level == "critical" or strict and d.level == "strict"]
+    either = lambda chinese: reduce(or_, [c.rlike(pattern(d)) for d in used if d.chinese == chinese])
+    return F.coalesce(either(False) | has_chinese(c) & either(True), F.lit(False))

@@ -179,7 +179,7 @@ def ordered_distinct(spark, sf_dir):
 SYNONYMS = [(0, "the", "der"), (1, "der", "the"), (2, "les", "los")]
 
 
-@query("synonym_expansion", "SELECT doc_id, q || coalesce(' ' || s, '') AS expanded FROM (SELECT doc_id, q, CASE WHEN contains(q, 'the') THEN CASE WHEN contains(q, 'der') THEN NULL ELSE 'der' END WHEN contains(q, 'der') THEN 'the' WHEN contains(q, 'les') THEN CASE WHEN contains(q, 'los') THEN NULL ELSE 'los' END END AS s FROM (SELECT doc_id, text[:60] AS q FROM documents))")
+@query("synonym_expansion", "SELECT doc_id, q || coalesce(' ' || s, '') AS expanded FROM (SELECT doc_id, q, CASE WHEN contains(q, 'the') THEN CASE WHEN contains(q, 'der') THEN NULL ELSE 'der' END WHEN contains(q, 'der') THEN 'the' WHEN contains(q, 'les') THEN CASE WHEN contains(q, 'los') THEN NULL ELSE 'los' END END AS s FROM (SELECT doc_id, text AS q FROM documents))")
 def synonyms(spark, sf_dir):
     t = spark.createDataFrame(SYNONYMS, "rank int, term string, synonym string")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("q"))

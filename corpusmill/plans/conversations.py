@@ -65,7 +65,7 @@ def spans(spark, sf_dir):
 
 
 @query("loss_mask", """
-WITH d AS (SELECT doc_id, least(length(text), 400) AS n FROM documents),
+WITH d AS (SELECT doc_id, length(text) AS n FROM documents),
 t AS (SELECT doc_id, unnest(range(0, n, 4)) AS b, n FROM d)
 SELECT doc_id, count(*) FILTER (WHERE (least(b + 4, n) > 10 AND b < 30) OR (least(b + 4, n) > 101 AND b < 140))::BIGINT AS kept, count(*)::BIGINT AS n FROM t GROUP BY doc_id""")
 def masked(spark, sf_dir):

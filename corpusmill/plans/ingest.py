@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.privacy import DETECTORS
 from corpusmill.functions.text import clean, tokens, truncate
 from corpusmill.operators import dedup as D
 from corpusmill.operators.evaluation import score_gate
@@ -121,18 +122,26 @@ def batch(spark, sf_dir):
     return c.select("conv_id", F.coalesce(R.first_of(c, "question", "query", "instruction"), first_question(F.col("messages"))).alias("question")).where("question IS NOT NULL")
 
 
+def cut_sql(text: str, n: int) -> str:
+    """A text cut to ``n`` characters, in its second half behind the last of the first of these marks that occurs there."""
+    half = f"({text})[{n // 2 + 1}:{n}]"
+    marks = "".join(f" WHEN contains({half}, {m}) THEN ({text})[:{n + 1} - instr(reverse({half}), {m})]" for m in ("'。'", "'？'", "'！'", "'；'", "chr(10)"))
+    return f"CASE WHEN length({text}) <= {n} THEN {text}{marks} ELSE ({text})[:{n}] END"
+
+
 QA = "concat('Q: ', q, ' A: ', a)"
+PERSONAL = "|".join(d.pattern for d in DETECTORS if d.key in ("id_card", "passport", "mobile", "landline", "email", "bank_card"))
 CLEAN = "trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({}, '<[^>]+>', '', 'g'), 'https?://\\S+|www\\.\\S+', '', 'g'), '\\s+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s.,?!;:()*]', '', 'g'))"
 
 
-@query("qa_normalise", f"SELECT conv_id, md5(question || answer) AS id, question, answer, 'medical' AS domain FROM (SELECT conv_id, {CLEAN.format('q')} AS question, {CLEAN.format('a')} AS answer FROM ({PAIRS})) WHERE length(question) >= 5 AND length(answer) >= 10 AND NOT regexp_matches(question || ' ' || answer, '[0-9]{{6}}|@')")
+@query("qa_normalise", f"SELECT conv_id, md5(question || answer) AS id, question, answer, 'medical' AS domain FROM (SELECT conv_id, {CLEAN.format('q')} AS question, {CLEAN.format('a')} AS answer FROM ({PAIRS})) WHERE length(question) >= 5 AND length(answer) >= 10 AND NOT regexp_matches(question || ' ' || answer, '{PERSONAL}')")
 def normalise(spark, sf_dir):
     p = pairs(spark, sf_dir)
     half = p.select("conv_id", F.when(F.col("turn") % 4 == 0, F.col("q")).alias("query"), F.when(F.col("turn") % 4 == 0, F.col("a")).alias("reply"), F.concat(F.lit("问: "), "q", F.lit(" 答: "), "a").alias("text"))
     return R.normalise_qa(half, "conv_id").select("conv_id", "id", "question", "answer", "domain")
 
 
-@query("qa_split", f"SELECT conv_id, turn, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS question, regexp_replace(a, '^\\s+|\\s+$', '', 'g') AS answer FROM ({PAIRS}) WHERE NOT contains(q, 'A:')")
+@query("qa_split", f"SELECT conv_id, turn, regexp_replace(regexp_extract({QA}, '(?s)Q[:：]\\s*(.*?)\\s*A[:：]\\s*(.*)', 1), '^\\s+|\\s+$', '', 'g') AS question, regexp_replace(regexp_extract({QA}, '(?s)Q[:：]\\s*(.*?)\\s*A[:：]\\s*(.*)', 2), '^\\s+|\\s+$', '', 'g') AS answer FROM ({PAIRS})")
 def split(spark, sf_dir):
     p = pairs(spark, sf_dir)
     t, pat = F.concat(F.lit("Q: "), "q", F.lit(" A: "), "a"), r"(?s)Q[:：]\s*(.*?)\s*A[:：]\s*(.*)"
@@ -141,7 +150,7 @@ def split(spark, sf_dir):
     return p.select("conv_id", "turn", strip(F.regexp_extract(t, pat, 1)).alias("question"), strip(F.regexp_extract(t, pat, 2)).alias("answer"))
 
 
-@query("kb_documents", f"SELECT conv_id, turn, q AS title, '问题：' || q || chr(10) || '答案：' || a AS contents, q || ' ' || a AS embed_text FROM (SELECT conv_id, turn, trim(q)[:200] AS q, trim(a)[:200] AS a, length(trim(a)) AS n FROM ({PAIRS})) WHERE q <> '' AND n >= 40 AND NOT contains(a[101:], chr(10)) AND NOT contains(q[101:], chr(10))")
+@query("kb_documents", f"SELECT conv_id, turn, q AS title, '问题：' || q || chr(10) || '答案：' || a AS contents, q || ' ' || a AS embed_text FROM (SELECT conv_id, turn, {cut_sql('trim(q)', 200)} AS q, {cut_sql('trim(a)', 200)} AS a, length(trim(a)) AS n FROM ({PAIRS})) WHERE q <> '' AND n >= 40")
 def kb(spark, sf_dir):
     p = pairs(spark, sf_dir).select("conv_id", "turn", F.trim("q").alias("q"), F.trim("a").alias("a")).where((F.col("q") != "") & (F.length("a") >= 40))
     q, a = truncate(F.col("q"), 200), truncate(F.col("a"), 200)

@@ -41,7 +41,7 @@ def vectors(spark, sf_dir):
     return v, v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("qlabel"))
 
 
-DENSE = f"SELECT q.vec_id AS qid, d.vec_id AS doc_id, {DOT.format('d.embedding', 'q.embedding')} AS dense FROM embeddings q JOIN embeddings d ON q.vec_id < 10"
+DENSE = f"SELECT q.vec_id AS qid, d.vec_id AS doc_id, {DOT.format('d.embedding', 'q.embedding')} AS dense FROM embeddings q JOIN embeddings d ON q.vec_id % 100 = 0"
 TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id)::BIGINT AS rank FROM ({DENSE})) WHERE rank <= 5"
 
 
@@ -70,7 +70,7 @@ def norm(spark, sf_dir):
 
 
 @query("retrieval_metrics", f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rank FROM ({DENSE})) WHERE rank <= 10),
-rel AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id < 10),
+rel AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id % 100 = 0),
 n AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY qid),
 m AS (SELECT h.qid, rank, r.doc_id IS NOT NULL AS hit, n_rel FROM h LEFT JOIN rel r ON r.qid = h.qid AND r.doc_id = h.doc_id JOIN n ON n.qid = h.qid),
 g AS (SELECT qid, {", ".join(f"count(*) FILTER (WHERE hit AND rank <= {k}) / {k} AS p{k}, count(*) FILTER (WHERE hit AND rank <= {k}) / any_value(n_rel) AS r{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= {k}), 0) / list_sum(list_transform(range(1, least({k}, any_value(n_rel)) + 1), lambda i: 1 / log2(i + 1))) AS g{k}" for k in (1, 3, 5, 10))} FROM m GROUP BY qid)
@@ -91,7 +91,7 @@ BM25 = f"""SELECT qid, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) *
 (SELECT term, doc_id, any_value(dl) AS dl, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)) GROUP BY term, doc_id) p
 JOIN (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({WORDS.format('query')}) AS term FROM {{queries}}) GROUP BY ALL) q USING (term)
 CROSS JOIN (SELECT count(*) AS n, avg(len({WORDS.format('text')})) AS avgdl FROM documents) GROUP BY qid, doc_id"""
-ITEMS = "(SELECT item_id AS qid, text[:60] AS query FROM benchmark)"
+ITEMS = "(SELECT item_id AS qid, text AS query FROM benchmark)"
 
 
 @query("bm25_top_k", f"SELECT qid, doc_id, rank, bm25 FROM (SELECT qid, doc_id, round(bm25, 3) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, doc_id)::BIGINT AS rank FROM ({BM25.replace('{queries}', ITEMS)})) WHERE rank <= 10")
@@ -125,7 +125,7 @@ def hyde(spark, sf_dir):
 KB = f"SELECT d.doc_id, d.text, list_transform(v.embedding, lambda x: x::DOUBLE) AS e, sqrt({DOT.format('v.embedding', 'v.embedding')}) AS n FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id"
 
 
-@query("hybrid_candidates", f"""WITH kb AS ({KB}), q AS (SELECT doc_id AS qid, e, n, text[:40] AS query FROM kb WHERE doc_id < 10),
+@query("hybrid_candidates", f"""WITH kb AS ({KB}), q AS (SELECT doc_id AS qid, e, n, text AS query FROM kb WHERE doc_id % 100 = 0),
 s AS (SELECT qid, k.doc_id, {DOT.format('k.e', 'q.e')} / (k.n * q.n) AS dense FROM q CROSS JOIN kb k),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS r FROM s) WHERE r <= 15)
 SELECT qid, count(*)::BIGINT AS n, round(min(dense), 5) AS low, round(max(dense), 5) AS high FROM t GROUP BY qid""")

@@ -97,18 +97,21 @@ def similarity(spark, sf_dir):
 
 
 QUERIES["text_similarity"] = similarity
+#: DuckDB's edit distance counts bytes, so the SQL writes the letters beyond ASCII as control characters, one for one.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+CONTROLS = "".join(map(chr, [*range(1, 9), *range(14, 27)]))
 ORACLES["text_similarity"] = """
-WITH p AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(a.text, '\\s+'), lambda x: x <> '') AS x, list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '') AS y, regexp_replace(a.text, '[^ -~]', '', 'g')[:60] AS s, regexp_replace(b.text, '[^ -~]', '', 'g')[:60] AS u
+WITH p AS (SELECT a.conv_id, a.turn, list_filter(string_split_regex(a.text, '\\s+'), lambda x: x <> '') AS x, list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '') AS y, translate(a.text, '{LETTERS}', '{CONTROLS}') AS s, translate(b.text, '{LETTERS}', '{CONTROLS}') AS u
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
 n AS (SELECT conv_id, turn, sum(i * j) AS xy, sum(i * i) AS xx, sum(j * j) AS yy FROM (
   SELECT conv_id, turn, w, count(*) FILTER (WHERE side = 'x') AS i, count(*) FILTER (WHERE side = 'y') AS j FROM (
-    SELECT conv_id, turn, unnest(x[:80]) AS w, 'x' AS side FROM p UNION ALL SELECT conv_id, turn, unnest(y[:80]), 'y' FROM p) GROUP BY ALL) GROUP BY ALL)
+    SELECT conv_id, turn, unnest(x) AS w, 'x' AS side FROM p UNION ALL SELECT conv_id, turn, unnest(y), 'y' FROM p) GROUP BY ALL) GROUP BY ALL)
 SELECT p.conv_id, p.turn, round(CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard,
   round(CASE WHEN xx * yy = 0 THEN 0 ELSE xy / (sqrt(xx) * sqrt(yy)) END, 6) AS cosine,
   round(CASE WHEN greatest(length(s), length(u)) = 0 THEN 1.0 ELSE 1 - levenshtein(s, u) / greatest(length(s), length(u)) END, 6) AS edit,
   round(CASE WHEN s = '' OR u = '' THEN 0.0 ELSE len(list_intersect(string_split(s, ''), string_split(u, ''))) / len(list_distinct(list_concat(string_split(s, ''), string_split(u, '')))) END, 6) AS chars
 FROM p LEFT JOIN n USING (conv_id, turn)
-"""
+""".replace("{LETTERS}", LETTERS).replace("{CONTROLS}", CONTROLS)
 
 
 def sequence(spark, sf_dir):

@@ -130,6 +130,7 @@ def normalise_qa(df: DataFrame, key: str | None = None, least_question: int = 5,
     and is masked otherwise.
     """
     from corpusmill.functions import privacy, text
+    from corpusmill.functions.columns import settle
 
     q = first_of(df, "question", "query", "q", "title", "problem")
     a = first_of(df, "answer", "response", "a", "content", "solution", "reply")
@@ -142,12 +143,12 @@ def normalise_qa(df: DataFrame, key: str | None = None, least_question: int = 5,
             hit = F.col("text").rlike(p)
             nq, na = F.when(hit, text.strip(F.regexp_extract("text", p, 1))).otherwise(nq), F.when(hit, text.strip(F.regexp_extract("text", p, 2))).otherwise(na)
         x = x.withColumns({"_nq": F.when(need, nq).otherwise(F.col("_q")), "_na": F.when(need, na).otherwise(F.col("_a"))}).drop("_q", "_a").withColumnsRenamed({"_nq": "_q", "_na": "_a"})
-    x = x.where("_q IS NOT NULL AND _a IS NOT NULL AND _q <> '' AND _a <> ''")
+    x = settle(x, {"_q": F.col("_q"), "_a": F.col("_a")}).where("_q IS NOT NULL AND _a IS NOT NULL AND _q <> '' AND _a <> ''")
     if strict:
         x = x.where(~privacy.has_privacy(F.col("_q")) & ~privacy.has_privacy(F.col("_a")))
     for c in ("_q", "_a"):
         x = privacy.mask_all(x, c, c + "m", c + "t").drop(c + "t")
-    x = x.withColumns({"question": text.clean(F.col("_qm")), "answer": text.clean(F.col("_am"))}).where((F.length("question") >= least_question) & (F.length("answer") >= least_answer))
+    x = settle(x.drop("question", "answer"), {"question": text.clean(F.col("_qm")), "answer": text.clean(F.col("_am"))}).where((F.length("question") >= least_question) & (F.length("answer") >= least_answer))
     known = [c for c in ("category", "source", "tags", "difficulty") if c in df.columns]
     dom = F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit(domain)) if "domain" in df.columns else F.lit(domain)
     return x.select(*([key] if key else []), F.md5(F.concat("question", "answer").cast("binary")).alias("id"), "question", "answer", dom.alias("domain"), *known)
