@@ -172,20 +172,22 @@ WITH w AS (
   SELECT doc_id, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS p
   FROM (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda y: y <> '') AS x FROM documents)
 ), g AS (
-  SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM w
+  SELECT doc_id, p, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY p)
 ), c AS (
-  SELECT doc_id, v, w, count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
+  SELECT doc_id, p, u, v,
+         count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) AS c3,
+         count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) AS c2,
          count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
          count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
   FROM g
-), u AS (
-  SELECT v, d, sum(k) OVER (PARTITION BY v) - k AS context
-  FROM (SELECT w AS v, doc_id AS d, count(*) AS k FROM w GROUP BY ALL)
+), k AS (
+  SELECT *, lag(c1) OVER d AS context1, lag(c2) OVER d AS context2 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY p)
 ), s AS (
-  SELECT c.doc_id, CASE WHEN c.v IS NOT NULL AND c2 > 0 THEN ln(c2 / context)
-                        ELSE ln(greatest(c1, 0.5) / greatest(n, 1)) + CASE WHEN c.v IS NULL THEN 0 ELSE ln(0.4) END END AS x,
-         c.v IS NOT NULL AND c2 = 0 AS b
-  FROM c LEFT JOIN u ON u.v = c.v AND u.d = c.doc_id
+  SELECT doc_id, CASE WHEN u IS NOT NULL AND c3 > 0 THEN ln(c3 / context2)
+                      WHEN v IS NOT NULL AND c2 > 0 THEN ln(c2 / context1) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+                      ELSE ln(greatest(c1, 0.5) / greatest(n, 1)) + CASE WHEN v IS NULL THEN 0 WHEN u IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS x,
+         CASE WHEN v IS NULL THEN false WHEN u IS NULL THEN c2 = 0 ELSE c3 = 0 END AS b
+  FROM k
 )
 SELECT d.doc_id, count(x)::BIGINT AS n_words, round(coalesce(avg(x), 0.0), 6) AS lm_score, count(*) FILTER (WHERE b)::BIGINT AS n_backed_off
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
