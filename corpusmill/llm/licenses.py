@@ -1,11 +1,11 @@
 """License scans: a positional index of rare template words.
 
 The words of license templates that are not function words form a fixed
-vocabulary.  A file's words from it are looked up with their places, the ones
-of the highest inverse document frequency over the whole corpus are taken as
-anchors, and each anchor votes, through the postings of the templates, for the
-place at which a template would begin.  Votes for one place, together with
-the template's mandatory phrase at its place there, make a label.
+vocabulary, with postings: template and place in it.  In each file that holds a
+template's mandatory phrases, the file's words of the highest inverse document
+frequency over the whole corpus that the template has too are its anchors; each
+votes, through the postings, for the place at which the template would begin.
+Enough votes for the place where the mandatory phrases stand make a label.
 
 Frequencies are counted over all documents; the table has at most one row for
 each vocabulary word, a fixed number.  Votes are grouped by document, template
@@ -15,11 +15,12 @@ and place, so no document's hits are held together.  Texts are not shuffled.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import free_name, settle
+from corpusmill.llm.text import free_name, lower_ascii, settle
 from corpusmill.storage import cut
 
 #: What separates words, once A-Z are a-z: the other ASCII characters.
@@ -33,36 +34,85 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Label, mandatory phrase, and the notice's words (from the licenses' own texts).
+#: Label, mandatory phrases, and the notice or license (from the licenses' own texts).
 TEMPLATES = (
-    ("gpl-3.0", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-notice", "gnu general public license", "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("apache-2.0", "apache license", "licensed under the apache license version 2 0"),
-    ("mit", "mit license", "released under the mit license"),
-    ("mit-grant", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("cc-by-nc-4.0", "cc by nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "cc by sa", "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
-    ("cc-by-long", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl-3.0", ("gnu general public license",), "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-notice", ("gnu general public license", "free software foundation"),
+     "is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-warranty", ("without even the implied warranty of", "gnu general public license"),
+     "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+     "See the GNU General Public License for more details."),
+    ("lgpl", ("gnu lesser general public license",), "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", ("gnu affero general public license",), "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("apache-2.0", ("apache license",), "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0-header", ("apache license", "you may not use this file except in compliance", "without warranties or conditions of any kind"),
+     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mit", ("mit license",), "Released under the MIT License"),
+    ("mit-grant", ("permission is hereby granted free of charge",),
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-text", ("permission is hereby granted free of charge", "the above copyright notice and this permission notice", "the software is provided as is"),
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+     "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+     "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+     "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+     "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", ("permission to use copy modify and or distribute this software", "the software is provided as is"),
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+     "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+     "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("bsd", ("redistribution and use in source and binary forms",),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce", "this software is provided by the copyright holders"),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+     "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+     "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+     "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("bsd-3-clause", ("redistribution and use in source and binary forms", "neither the name of the copyright holder", "this software is provided by the copyright holders"),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+     "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+     "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+     "contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+     "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("zlib", ("this software is provided as is without any express or implied warranty", "must not be misrepresented"),
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+     "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("unlicense", ("released into the public domain",),
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+     "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("boost-1.0", ("boost software license",), "Distributed under the Boost Software License, Version 1.0"),
+    ("mpl-2.0", ("mozilla public license",), "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("cc0-1.0", ("cc0 1 0 universal",), "CC0 1.0 Universal public domain dedication"),
+    ("cc-by-nc-4.0", ("cc by nc",), "licensed under CC BY-NC 4.0"),
+    ("cc-by-sa-4.0", ("cc by sa",), "licensed under CC BY-SA 4.0"),
+    ("cc-by-4.0", ("cc by 4 0",), "licensed under CC BY 4.0"),
+    ("cc-by-long", ("creative commons attribution",), "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 )
 #: Words too frequent to anchor anything.
-COMMON = frozenset("a an and any are as at by can for in is it of on or that the this to under use with you without v 0 2 3 4 sa nc".split())
+COMMON = frozenset("a all an and any are as at be but by can do for from if in is it may no not of on or out other that the this to under use with you without v 0 1 2 3 4 sa nc".split())
 
-ANCHORS, LEAST_SHARE = 6, 0.6
+#: Anchors of a template in a file at most; the share of them that must agree on a place; words by which later phrases may be shifted.
+ANCHORS, LEAST_SHARE, SLACK = 8, 0.6, 8
+
+
+def norm(text: str) -> list[str]:
+    """A template's words by the same rule as a file's."""
+    return [w for w in re.split(BREAK, text.translate({c: c + 32 for c in range(65, 91)})) if w]
 
 
 def template_words(templates=TEMPLATES, phrases=PHRASES) -> list[str]:
     """The vocabulary: words of templates and phrases that can anchor them."""
-    texts = [*phrases, *(p for _, p, _ in templates), *(w for *_, w in templates)]
-    return sorted({w for t in texts for w in t.split() if w not in COMMON})
+    texts = [*phrases, *(p for _, must, _ in templates for p in must), *(t for *_, t in templates)]
+    return sorted({w for t in texts for w in norm(t) if w not in COMMON})
 
 
 def find_words(text: Column) -> Column:
     """The words of a text; null has none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
 
 def _places(phrase: str, words: Column, hits: Column) -> Column:
@@ -85,53 +135,69 @@ def license_scan(df: DataFrame, key: str = "doc_id", text: str = "text", templat
 
     ``n_words``; ``places`` (map from each phrase's label to its places);
     ``matches``: array of (label, place, share), the templates found by their
-    anchors and verified by their mandatory phrase, ``share`` being the part of
-    a template's anchors that voted for the place.
-
-    Defined results: null text counts as empty, and has no words; rows that
-    repeat are scanned one by one; a key may be null; other columns are not
-    read; an empty table gives an empty one.
+    anchors and verified by their mandatory phrases, ``share`` being the part of
+    ``anchors`` (or of the template's words, if these are fewer) that voted for
+    the place.
+
+    Defined results: null text counts as empty, and has no words; very long
+    texts are scanned whole; rows that repeat are scanned one by one, and rows
+    of one label at several places give it as often; a key may be null or
+    repeat; other columns are not read; an empty table gives an empty one.
     """
     vocabulary = template_words(templates, phrases)
-    w, hits = free_name([key], "_words"), free_name([key], "_hits")
-    lower = df.select(F.col(f"`{key}`").alias(key), find_words(F.col(f"`{text}`")).alias(w))
-    # The places only of files with a vocabulary word; the test is a pass without copies.
-    near = F.when(F.exists(w, lambda x: x.isin(vocabulary)), F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("p"))), lambda x: x["w"].isin(vocabulary)))
-    rows = lower.withColumn(hits, F.coalesce(near, F.expr("CAST(array() AS array<struct<w:string,p:int>>)")))
-    needed = [p for p in dict.fromkeys([*phrases, *(p for _, p, _ in templates)])]
-    found = F.array(*[_places(p, F.col(w), F.col(hits)) for p in needed])
-    rows = cut(settle(rows, {"n_words": F.size(w).cast("long"), "hits": F.col(hits), "found": found}).drop(w, hits).withColumn("row", F.monotonically_increasing_id()), "licenses")
-
-    seen = rows.where("size(hits) > 0").select("row", "hits", "found")
+    needed = list(dict.fromkeys([*phrases, *(p for _, must, _ in templates for p in must)]))
+    leads = sorted({next(x for x in p.split() if x not in COMMON) for p in needed})
+    w, hits, found = (free_name([key], x) for x in ("_words", "_hits", "_found"))
+    rows = df.select(F.col(f"`{key}`").alias(key), find_words(F.col(f"`{text}`")).alias(w))
+    # The places only of files with a word of that kind; the test is a pass without copies.
+    placed = lambda words: F.when(F.exists(w, lambda x: x.isin(words)), F.filter(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("p"))), lambda h: h["w"].isin(words)))
+    some = lambda c: F.coalesce(c, F.expr("CAST(array() AS array<struct<w:string,p:int>>)"))
+    rows = settle(rows, {hits: some(placed(leads)), w: F.col(w)})
+    rows = settle(rows, {found: F.array(*[_places(p, F.col(w), F.col(hits)) for p in needed]), w: F.col(w)}).drop(hits)
+    complete = [F.forall(F.array(*[F.size(F.get(found, needed.index(p))) > 0 for p in must]), lambda x: x) for must in dict.fromkeys(must for _, must, _ in templates)]
+    marked = F.exists(F.array(*complete), lambda x: x)
+    rows = cut(settle(rows, {
+        "n_words": F.size(w).cast("long"), "found": F.col(found), "has": F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary))),
+        "hits": some(F.when(marked, placed(vocabulary)))}).drop(w, found).withColumn("row", F.monotonically_increasing_id()), "licenses")
+
     total = rows.count()
-    frequency = {r["w"]: r["n"] for r in seen.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    frequency = {r["w"]: r["n"] for r in rows.select(F.explode("has").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     idf = {x: math.log((total + 1) / (frequency.get(x, 0) + 1)) + 1 for x in vocabulary}
     rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (-idf[x], x)))}
-
-    #: The postings: word, template, place in it.  The first ``anchors`` words by frequency of each template.
-    postings, size = [], {}
-    for t, (_, _, words) in enumerate(templates):
-        at = {x: i for i, x in reversed(list(enumerate(words.split()))) if x in rank}
-        chosen = sorted(at, key=rank.get)[:anchors]
-        size[t] = len(chosen)
-        postings += [(x, t, at[x]) for x in chosen]
-    must = [(needed.index(p), t, words.split(), p.split()) for t, (_, p, words) in enumerate(templates)]
-    must = [(i, t, next(j for j in range(len(a)) if a[j : j + len(b)] == b)) for i, t, a, b in must]
-
-    lit = lambda items, names: F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x, strict=True)]) for x in items])
-    by_word = F.create_map(*[c for x in rank for c in (F.lit(x), lit([(t, p) for y, t, p in postings if y == x], ("t", "q")) if any(y == x for y, *_ in postings) else F.expr("CAST(array() AS array<struct<t:int,q:int>>)"))])
-    votes = seen.select("row", F.explode("hits").alias("h")).select("row", F.col("h.w").alias("w"), F.col("h.p").alias("p"), F.explode(F.element_at(by_word, F.col("h.w"))).alias("x"))
-    votes = votes.select("row", F.col("x.t").alias("t"), (F.col("p") - F.col("x.q")).alias("place"), F.lit(1).alias("vote"), F.lit(0).alias("must"))
-    at_template = lambda t, q: lambda p: F.struct(F.lit(t).alias("t"), (p - q).alias("place"))
-    marks = seen.select("row", F.explode(F.array(*[F.transform(F.get(F.col("found"), i), at_template(t, q)) for i, t, q in must])).alias("m"))
-    marks = marks.select("row", F.explode("m").alias("m")).select("row", "m.t", "m.place", F.lit(0).alias("vote"), F.lit(1).alias("must"))
-    share = F.col("votes") / F.element_at(F.create_map(*[c for t, n in size.items() for c in (F.lit(t), F.lit(n))]), F.col("t"))
-    label = F.get(F.array(*[F.lit(x) for x, *_ in templates]), F.col("t"))
-    good = votes.union(marks).groupBy("row", "t", "place").agg(F.sum("vote").alias("votes"), F.max("must").alias("must")).where("must = 1")
-    good = good.select("row", F.struct(label.alias("label"), "place", F.least(share, F.lit(1.0)).alias("share")).alias("x")).where(F.col("x.share") >= least_share)
+    words = [norm(t) for *_, t in templates]
+    ranked = [sorted({x for x in t if x in rank}, key=rank.get) for t in words]
+    postings = {(t, x): [q for q, y in enumerate(words[t]) if y == x] for t, r in enumerate(ranked) for x in r}
+
+    strings = lambda xs: F.array(*[F.lit(x) for x in xs])
+    seen = rows.where("size(hits) > 0")
+    # The file's own rarest words among those of each template whose phrases it holds.
+    def anchored(t: int) -> Column:
+        chosen = F.slice(F.array_intersect(strings(ranked[t]), F.col("has")), 1, anchors)
+        mine = F.filter("hits", lambda h: F.array_contains(chosen, h["w"]))
+        held = F.forall(F.array(*[F.size(F.get("found", needed.index(p))) > 0 for p in templates[t][1]]), lambda x: x)
+        return F.when(held, F.transform(mine, lambda h: F.struct(F.lit(t).alias("t"), h["w"].alias("w"), h["p"].alias("p")))).otherwise(F.expr("CAST(array() AS array<struct<t:int,w:string,p:int>>)"))
+
+    by_word = F.create_map(*[c for (t, x), at in postings.items() for c in (F.lit(f"{t}:{x}"), F.array(*[F.lit(q) for q in at]))])
+    votes = seen.select("row", F.explode(F.flatten(F.array(*[anchored(t) for t in range(len(templates))]))).alias("v")).select("row", "v.*")
+    votes = votes.select("row", "t", "w", "p", F.explode(F.element_at(by_word, F.concat(F.col("t").cast("string"), F.lit(":"), F.col("w")))).alias("q"))
+    votes = votes.select("row", "t", (F.col("p") - F.col("q")).alias("place"), "w", F.lit(0).alias("must"))
+
+    def verified(t: int) -> Column:
+        at = [(needed.index(p), next(j for j in range(len(words[t])) if words[t][j : j + len(p.split())] == p.split())) for p in templates[t][1]]
+        first, begin = at[0]
+        near = lambda i, q, place: F.exists(F.get("found", i), lambda y: F.abs(y - q - place) <= SLACK)
+        ok = lambda place: F.forall(F.array(F.lit(True), *[near(i, q, place) for i, q in at[1:]]), lambda x: x)
+        return F.transform(F.filter(F.get("found", first), lambda x: ok(x - begin)), lambda x: F.struct(F.lit(t).alias("t"), (x - begin).alias("place")))
+
+    marks = seen.select("row", F.explode(F.flatten(F.array(*[verified(t) for t in range(len(templates))]))).alias("m"))
+    marks = marks.select("row", "m.t", "m.place", F.lit(None).cast("string").alias("w"), F.lit(1).alias("must"))
+    size = F.element_at(F.create_map(*[c for t, r in enumerate(ranked) for c in (F.lit(t), F.lit(min(anchors, len(r))))]), F.col("t"))
+    label = F.get(strings([x for x, *_ in templates]), F.col("t"))
+    good = votes.union(marks).groupBy("row", "t", "place").agg(F.count_distinct("w").alias("votes"), F.max("must").alias("must")).where("must = 1")
+    good = good.select("row", F.struct(label.alias("label"), "place", (F.col("votes") / size).alias("share")).alias("x")).where(F.col("x.share") >= least_share)
     good = good.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("matches"))
     out = rows.select("row", key, "n_words", "found").join(good, "row", "left")
-    places = F.map_from_arrays(F.array(*[F.lit(x) for x in phrases.values()]), F.slice("found", 1, len(phrases)))
+    places = F.map_from_arrays(strings(phrases.values()), F.slice("found", 1, len(phrases)))
     none = F.expr("CAST(array() AS array<struct<label:string,place:int,share:double>>)")
     return out.select(key, "n_words", places.alias("places"), F.coalesce("matches", none).alias("matches"))
 

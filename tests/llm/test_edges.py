@@ -329,15 +329,57 @@ def test_pieces_equal_library():
     assert own.encode("the quick brown fox " + s) == lib.encode("the quick brown fox " + s)
 
 
-def test_licenses_equal_brute_force(spark, docs):
-    texts = ["This work is licensed under the GNU General Public License, version 3.", "MIT license mit LICENSE", "Licensed under CC BY-NC 4.0.", "mit", None, "", "cc\x00by é apache", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "gnu general public"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
-    for i, t in enumerate(texts):
-        w = [x for x in re.split(licenses.BREAK, (t or "").lower()) if x]
-        want = {label: [j for j in range(len(w)) if w[j : j + len(p.split())] == p.split()] for p, label in licenses.PHRASES.items()}
-        assert got[i].n_words == len(w) and got[i].places == want, t
-    assert [m.label for m in got[0].matches] == ["gpl-3.0"] and [m.label for m in got[7].matches] == ["mit-grant"] and [m.label for m in got[2].matches] == ["cc-by-nc-4.0"] and got[8].matches == []
+def brute_licenses(rows):
+    """Every column of the license query, by plain loops; ``rows`` are (doc_id, text)."""
+    from math import log
+
+    L = licenses
+    words = {i: L.norm(t or "") for i, t in rows}
+    vocabulary = set(L.template_words())
+    spots = lambda w, p: [j for j in range(len(w)) if w[j : j + len(p)] == p]
+    df = {x: sum(x in set(w) for w in words.values()) for x in vocabulary}
+    rank = sorted(vocabulary, key=lambda x: (-(log((len(rows) + 1) / (df[x] + 1)) + 1), x))
+    out = {}
+    for i, w in words.items():
+        base = [(j, label) for p, label in L.PHRASES.items() for j in spots(w, p.split())]
+        found = []
+        for label, must, text in L.TEMPLATES:
+            t = L.norm(text)
+            mine = [x for x in rank if x in t]
+            chosen = [x for x in mine if x in w][: L.ANCHORS]
+            offset = [spots(t, p.split())[0] for p in must]
+            for j in spots(w, must[0].split()):
+                place = j - offset[0]
+                if all(any(abs(y - q - place) <= L.SLACK for y in spots(w, p.split())) for p, q in zip(must[1:], offset[1:], strict=True)):
+                    votes = sum(any(t[q] == x and 0 <= place + q < len(w) and w[place + q] == x for q in range(len(t))) for x in chosen)
+                    if votes / min(L.ANCHORS, len(mine)) >= L.LEAST_SHARE:
+                        found.append((label, place, votes / min(L.ANCHORS, len(mine))))
+        labels = sorted({x for _, x in base})
+        at = [j for j, _ in base]
+        score = max([0.5 if base else 0.0, *(x for *_, x in found)])
+        out[i] = (len(w), len(base), min(at, default=None), max(at, default=None), ",".join(labels), ",".join(sorted({*labels, *(x for x, *_ in found)})), round(score, 6))
+    return out
+
+
+def test_licenses_equal_brute_force(spark, docs, sf, tmp_path):
+    random.seed(4)
+    full = {x: t for x, _, t in licenses.TEMPLATES}
+    texts = ["This work is licensed under the GNU General Public License, version 3.", "MIT license mit LICENSE", "Licensed under CC BY-NC 4.0.", "mit", None, "", "cc\x00by é apache", "gnu general public", "\u212aMIT \u212a license mit license",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"]
+    texts += [f"Header of {x}.\n{t}\nand more" for x, t in full.items()] + ["intro " + full["mit-text"] + " and then " + full["apache-2.0-header"], full["mit-text"][:200] + full["mit-text"][400:]]
+    for _ in range(60):  # damaged templates
+        w = random.choice(list(full.values())).split()
+        for _ in range(random.randrange(6)):
+            w[random.randrange(len(w))] = random.choice(["x", "license", "y z", ""])
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
+    of = lambda rows: {r.doc_id: (*(r[c] for c in columns), round(r.score, 6)) for r in rows}
+    assert of(licenses.op9_license_scan(spark, str(tmp_path)).collect()) == (want := brute_licenses(list(enumerate(texts))))
+    assert all(x in want[10 + i][5].split(",") for i, x in enumerate(full)) and "mit-text" not in want[9][5] and {"mit-text", "apache-2.0-header"} <= set(want[10 + len(full)][5].split(","))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert of(licenses.op9_license_scan(spark, sf).collect()) == brute_licenses(rows)
     assert licenses.license_scan(docs).count() == 11 and licenses.license_scan(none_of(docs)).count() == 0
 
 
