@@ -1,24 +1,32 @@
 """Stupid-backoff scores of documents against the n-gram counts of all others.
 
 The relations are n-grams exploded from documents, count tables partitioned by
-hash, and their join, summed per document.  They are kept packed:
-
-1. Documents are grouped into buckets by a hash.  A bucket explodes its n-grams
-   of all orders, combines equal ones, and sends each hash partition one row of
-   sorted 64-bit hashes and counts.
-2. A hash partition adds up the counts of equal n-grams over all buckets, which
-   is its part of the count tables, and joins them to the rows it was sent: each
-   bucket gets the totals of its n-grams back.
-3. A bucket scores its documents: the document's own n-grams are taken off the
+hash, and their join, summed per document.  They are kept packed, so that an
+n-gram costs few bytes on its way:
+
+1. Documents are packed as they come into chunks of bounded size, a written
+   table.  Equal or null rows need no grouping, so none of them meet.
+2. A chunk explodes its n-grams of one order, combines equal ones, and sends
+   each hash partition one row: sorted 64-bit hashes, as differences, and counts.
+3. A hash partition adds up the counts of equal n-grams over all chunks, which
+   is its part of the count table, and joins them to the rows it was sent: each
+   chunk gets the totals of its n-grams back.  This is done for the short
+   orders first and for the longest one by itself, so only one of the large
+   exchanges is on disk at a time.
+4. A chunk scores its documents: the document's own n-grams are taken off the
    totals, so that nothing vouches for itself, and logarithms are summed.
 
-An n-gram that occurs everywhere costs each bucket one entry, so frequent words
-make no task larger.  Buckets and partitions follow the number of shuffle
-partitions; nothing reaches the driver.
+An n-gram that occurs everywhere costs each chunk one entry, so frequent words
+make no task larger.  A chunk has a bounded size, and partitions follow the
+number of shuffle partitions, so neither a task's memory nor the number of its
+rows grows with the corpus; nothing reaches the driver.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,85 +34,173 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.ngram_join import mix
 from corpusmill.llm.text import held
+from corpusmill.storage import cut, discard, release
 
 _U = np.uint64
-#: The key under which the number of all words is counted.
-TOTAL = _U(0)
+#: Bytes of text after which a chunk is closed.
+CHUNK_BYTES = 8 << 20
 
 
-def _hashes(text: str | None) -> list[int]:
+def _hashes(text: bytes) -> list[int]:
     """A hash for each word.  Words end at white space; A-Z count as a-z."""
     import xxhash
 
     words = held("lm_words", dict)
+    if len(words) > 300_000:
+        words.clear()
     out = []
-    for w in (text or "").encode("utf-8", "replace").lower().split():
+    for w in text.lower().split():
         h = words.get(w)
         if h is None:
-            if len(words) >= 300_000:
-                words.clear()
             h = words[w] = xxhash.xxh64_intdigest(w)
         out.append(h)
     return out
 
 
-class Bucket:
-    """The n-grams of some documents.
-
-    ``grams[k]``: the hash of the (k + 1)-gram that ends at each word, and
-    ``whole[k]`` whether it lies in one document; ``keys``, ``counts``: distinct
-    n-grams of the bucket in the order of their partitions.
-    """
+class Chunk:
+    """The words of some documents, and the n-grams that end at them."""
 
-    def __init__(self, texts: list, order: int, parts: int):
-        each = [_hashes(t) for t in texts]
+    def __init__(self, lengths, blob: bytes):
+        data, at, each = zlib.decompress(blob), 0, []
+        for n in lengths:
+            each.append(np.array(_hashes(data[at : at + n]), np.uint64))
+            at += n
         self.lengths = np.array([len(x) for x in each], np.int64)
-        h = np.array([v for x in each for v in x], np.uint64)
-        self.doc = np.repeat(np.arange(len(each)), self.lengths)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        self.grams, self.whole = [mix(h + _U(1))], [np.ones(len(h), bool)]
+        self.words = np.concatenate([*each, np.empty(0, np.uint64)])
+        self.doc = np.repeat(np.arange(len(each), dtype=np.int32), self.lengths)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words at which an n-gram of this order ends, and its hash."""
+        at = np.flatnonzero(self.place >= order - 1)
+        g = mix(self.words + _U(1))[at]
         for k in range(1, order):
-            before = np.concatenate([np.zeros(min(k, len(h)), np.uint64), h[: max(0, len(h) - k)]])
-            self.grams.append(mix(self.grams[-1] * _U(0x9E3779B97F4A7C15) + mix(before + _U(k + 1))))
-            self.whole.append(place >= k)
-        every = np.concatenate([g[w] for g, w in zip(self.grams, self.whole, strict=True)])
-        keys, self.counts = np.unique(every, return_counts=True)
-        part = keys % _U(parts)
-        rank = np.argsort(part, kind="stable")
-        self.keys, self.counts, part = keys[rank], self.counts[rank], part[rank]
-        self.sorted = np.argsort(self.keys, kind="stable")
-        self.starts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Places in ``keys`` of n-grams of the bucket."""
-        return self.sorted[np.searchsorted(self.keys, grams, sorter=self.sorted)]
-
-    def scores(self, totals: np.ndarray, words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+            g = mix(g * _U(0x9E3779B97F4A7C15) + mix(self.words[at - k] + _U(k + 1)))
+        return at, g
+
+    def elsewhere(self, order: int, totals: np.ndarray) -> np.ndarray:
+        """For each word the count of the n-gram that ends at it in all other documents; 0 where there is none."""
+        at, g = self.grams(order)
+        by = np.argsort(g, kind="stable")  # documents stay in order, so a document's equal n-grams are neighbours
+        g, doc = g[by], self.doc[at][by]
+        key = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+        run = np.flatnonzero(key | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(g)])
+        own = np.diff(np.append(run, len(g)))
+        out = np.zeros(len(self.words), np.int64)
+        out[at[by]] = totals[np.cumsum(key) - 1] - np.repeat(own, own)
+        return out
+
+    def scores(self, totals: list[np.ndarray], words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """Sum of logarithms, and number of words scored by a shorter n-gram than they have, per document."""
-        m = len(self.keys) + 1
-        known = []  # by order: the count of the n-gram that ends at each word in all other documents
-        for g, w in zip(self.grams, self.whole, strict=True):
-            at = self.find(g[w])
-            _, inverse, own = np.unique(self.doc[w] * m + at, return_inverse=True, return_counts=True)
-            c = np.zeros(len(g), np.int64)
-            c[w] = totals[at] - own[inverse]
-            known.append(c)
-        others = np.maximum(words - self.lengths, 1)[self.doc]
-        out = np.log(np.maximum(known[0], 0.5) / others)
-        longest = np.zeros(len(out), np.int64)
+        shorter = self.elsewhere(1, totals[0])
+        out = np.log(np.maximum(shorter, 0.5) / np.maximum(words - self.lengths, 1)[self.doc])
         used = np.zeros(len(out), np.int64)
-        for k in range(1, len(known)):
-            longest += self.whole[k]
-            context = np.concatenate([np.zeros(1, np.int64), known[k - 1][:-1]]) if len(out) else known[k - 1]
-            hit = self.whole[k] & (known[k] > 0)
-            out[hit] = np.log(known[k][hit] / context[hit])
-            used[hit] = k
+        for k in range(2, len(totals) + 1):
+            known = self.elsewhere(k, totals[k - 1])
+            hit = np.flatnonzero(known > 0)
+            out[hit] = np.log(known[hit] / shorter[hit - 1])
+            used[hit] = k - 1
+            shorter = known
+        longest = np.minimum(self.place, len(totals) - 1)
         out += (longest - used) * np.log(alpha)
         n = len(self.lengths)
         return np.bincount(self.doc, out, n), np.bincount(self.doc, used < longest, n)
 
 
-def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, buckets: int | None = None, parts: int | None = None) -> DataFrame:
+def packed_keys(keys: np.ndarray) -> tuple[int, bytes]:
+    """Sorted hashes as their first and the differences, in as few bytes as all of these need."""
+    if not len(keys):
+        return 8, b""
+    steps = np.diff(keys)
+    width = next(w for w in (5, 6, 7, 8) if w == 8 or not len(steps) or int(steps.max()) < 1 << 8 * w)
+    return width, keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(width: int, data: bytes) -> np.ndarray:
+    """What ``packed_keys`` was given."""
+    if not data:
+        return np.empty(0, np.uint64)
+    steps = np.frombuffer(data, np.uint8, offset=8).reshape(-1, width)
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8)
+    wide[1:, :width] = steps
+    return np.cumsum(wide.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _narrow(x: np.ndarray) -> tuple[int, bytes]:
+    """Counts in as few bytes as the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    return width, x.astype(f"<u{width}").tobytes()
+
+
+def _packed(df: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
+    """``(chunk, docs, lengths, blob)``: documents as they come, in chunks of about so many bytes."""
+    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, size = [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            each = pa.concat_arrays(keys)
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            blob = zlib.compress(b"".join(texts), 1)
+            return pa.RecordBatch.from_arrays([whole(each), whole(pa.array(map(len, texts), pa.int32())), pa.array([blob], pa.binary())], names=["docs", "lengths", "blob"])
+
+        for batch in batches:
+            own, rows = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            since = 0
+            for i, t in enumerate(rows):
+                texts.append(t or b"")
+                size += len(texts[-1])
+                if size >= chunk_bytes:
+                    keys.append(own.slice(since, i + 1 - since))
+                    yield closed()
+                    keys, texts, size, since = [], [], 0, i + 1
+            if since < len(rows):
+                keys.append(own.slice(since))
+        if texts:
+            yield closed()
+
+    return docs.mapInArrow(run, f"docs array<{kind}>, lengths array<int>, blob binary").withColumn("chunk", F.monotonically_increasing_id())
+
+
+def _totals(packed: DataFrame, orders: list[int], parts: int) -> DataFrame:
+    """``(chunk, n, part, words, width, totals)``: of each chunk's n-grams of these orders the counts in all chunks, in the order of their hashes."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row["lengths"], row["blob"])
+                for n in orders:
+                    keys, times = np.unique(c.grams(n)[1], return_counts=True)
+                    ends = np.searchsorted(keys >> _U(32), (np.arange(parts + 1, dtype=np.uint64) << _U(32)) // _U(parts))
+                    ends[-1] = len(keys)
+                    cuts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    k, t = [packed_keys(keys[x]) for x in cuts], [_narrow(times[x]) for x in cuts]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(parts, n, np.int32)), pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, row["chunk"], np.int64)), pa.array(np.full(parts, len(c.words), np.int64)),
+                        pa.array([x for x, _ in k], pa.int32()), pa.array([x for _, x in k], pa.binary()), pa.array([x for x, _ in t], pa.int32()), pa.array([x for _, x in t], pa.binary())],
+                        names=["n", "part", "chunk", "words", "kw", "keys", "cw", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_pylist()
+        keys = [unpacked_keys(w, x) for w, x in zip(col("kw"), col("keys"), strict=True)]
+        counts = [np.frombuffer(x, f"<u{w}") for w, x in zip(col("cw"), col("counts"), strict=True)]
+        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+        ends = np.cumsum([0, *map(len, keys)])
+        back = [_narrow(totals[inverse[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        words = table.column("words")
+        every = pa.array(np.full(table.num_rows, words.to_numpy().sum(), np.int64))
+        return pa.table({"chunk": table.column("chunk"), "n": table.column("n"), "part": table.column("part"), "words": every,
+                         "width": pa.array([w for w, _ in back], pa.int32()), "totals": pa.array([x for _, x in back], pa.binary())})
+
+    sent = packed.select("chunk", "lengths", "blob").mapInArrow(explode, "n int, part int, chunk long, words long, kw int, keys binary, cw int, counts binary")
+    return sent.groupBy("n", "part").applyInArrow(count, "chunk long, n int, part int, words long, width int, totals binary")
+
+
+def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, chunk_bytes: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
     """One row for each row of ``df``: ``key``, ``n_words``, ``log_score`` and ``n_backed_off``.
 
     ``log_score`` (double) sums ``ln S`` over words, where S is the count of the
@@ -113,50 +209,36 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int
     none) over all words elsewhere.
 
     Defined results: null and empty texts have no words and a sum of 0; rows
-    that repeat are documents of their own, and vouch for each other; a key may
-    be null or repeat; other columns are not read; an empty table gives an empty
-    one.
+    that repeat are documents of their own, and vouch for each other; a very
+    long text is a chunk by itself, and taken whole; a key may be null or
+    repeat; other columns are not read; an empty table gives an empty one.
     """
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, parts = buckets or 3 * shuffle, parts or max(1, shuffle // 2)
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(buckets)).cast("int").alias("bucket"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-
-    def explode(k, table):
-        b = Bucket(table.column("text").to_pylist(), order, parts)
-        cut = lambda x, p: x[b.starts[p] : b.starts[p + 1]].tobytes()
-        words = np.array([b.lengths.sum()], np.uint32).tobytes()
-        return pa.table({
-            "part": pa.array(range(parts), pa.int32()), "bucket": pa.array([k[0].as_py()] * parts, pa.int32()),
-            "keys": pa.array([TOTAL.tobytes() + cut(b.keys, p) for p in range(parts)], pa.binary()),
-            "counts": pa.array([words + cut(b.counts.astype(np.uint32), p) for p in range(parts)], pa.binary())})
-
-    def count(k, table):
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
-        words = int(totals[0])  # the smallest key is that of all words
-        ends = np.cumsum([len(x) for x in keys])
-        narrow = lambda x: x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
-        rows = [i for i, x in enumerate(keys) if len(x) > 1]
-        own = table.column("bucket").to_pylist()
-        back = [narrow(totals[inverse[ends[i] - len(keys[i]) + 1 : ends[i]]]) for i in rows]
-        return pa.table({
-            "bucket": pa.array([own[i] for i in rows], pa.int32()), "part": pa.array([k[0].as_py()] * len(rows), pa.int32()), "words": pa.array([words] * len(rows), pa.int64()),
-            "wide": pa.array([x.itemsize for x in back], pa.int32()), "totals": pa.array([x.tobytes() for x in back], pa.binary())})
+    packed = cut(_packed(df, key, text, chunk_bytes), "chunks")
+    tables = []
+    for orders in [x for x in ([n for n in (1, 2) if n <= order], *[[n] for n in range(3, order + 1)]) if x]:
+        tables.append(cut(_totals(packed, orders, parts), "totals"))
+        release(spark, 1.0)  # this pass's exchange, before the next one has its own
 
     def score(k, left, right):
-        b = Bucket(left.column("text").to_pylist(), order, parts)
-        right = right.sort_by("part")
-        totals = [np.frombuffer(x, np.uint64 if n == 8 else np.uint32).astype(np.int64) for x, n in zip(right.column("totals").to_pylist(), right.column("wide").to_pylist(), strict=True)]
-        words = right.column("words")[0].as_py() if right.num_rows else 0
-        total, backed = b.scores(np.concatenate([*totals, np.empty(0, np.int64)]), words, alpha)
-        return pa.table({key: left.column("key"), "n_words": pa.array(b.lengths, pa.int64()), "log_score": pa.array(total, pa.float64()), "n_backed_off": pa.array(backed.astype(np.int64), pa.int64())})
-
-    sent = docs.groupBy("bucket").applyInArrow(explode, "part int, bucket int, keys binary, counts binary")
-    tables = sent.groupBy("part").applyInArrow(count, "bucket int, part int, words long, wide int, totals binary")
-    return docs.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(score, f"`{key}` {kind}, n_words long, log_score double, n_backed_off long")
+        row = left.to_pylist()[0]
+        c = Chunk(row["lengths"], row["blob"])
+        right = right.sort_by([("n", "ascending"), ("part", "ascending")]).to_pydict()
+        of = [[np.empty(0, np.int64)] for _ in range(order)]
+        for n, w, x in zip(right["n"], right["width"], right["totals"], strict=True):
+            of[n - 1].append(np.frombuffer(x, f"<u{w}").astype(np.int64))
+        total, backed = c.scores([np.concatenate(x) for x in of], max(right["words"], default=0), alpha)
+        return pa.table({key: left.column("docs").combine_chunks().flatten(), "n_words": pa.array(c.lengths, pa.int64()), "log_score": pa.array(total, pa.float64()), "n_backed_off": pa.array(backed.astype(np.int64), pa.int64())})
+
+    back = tables[0]
+    for more in tables[1:]:
+        back = back.union(more)
+    scored = packed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, f"`{key}` {kind}, n_words long, log_score double, n_backed_off long")
+    out = cut(scored, "scores")
+    discard(packed, *tables)
+    return out
 
 
 def op3_lm_scores(spark, sf_dir: str, order: int = 3) -> DataFrame:

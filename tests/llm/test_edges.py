@@ -87,7 +87,7 @@ def test_lm_scores_equal_brute_force(spark, docs):
     from collections import Counter
     from math import log
 
-    out = [r for r in lm_scores.lm_scores(docs, order=3, buckets=3, parts=2).collect()]
+    out = [r for r in lm_scores.lm_scores(docs, order=3, chunk_bytes=100, parts=3).collect()]
     assert len(out) == 11 and lm_scores.lm_scores(none_of(docs)).count() == 0
     texts = [*TEXTS, "a text without a key", TEXTS[8]]
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode()) for t in texts]
@@ -110,6 +110,27 @@ WARC_ROWS = [(5, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (9, N
              (None, "w", "alone"), (None, "w", "alone"), (None, "w2", "<p>é</p>"), (2, "http://b2/", "<p>é</p>"), (2, "http://b2/", "<p>é</p>"), (5, "http://a/", "another text at the id"), (8, "z", "x" * 300000)]
 
 
+def test_packed_keys_round_trip():
+    import numpy as np
+
+    random.seed(6)
+    for bits in (3, 20, 39, 40, 41, 48, 56, 64):
+        for n in (0, 1, 2, 500):
+            keys = np.unique(np.array([random.getrandbits(bits) for _ in range(n)], np.uint64))
+            assert (lm_scores.unpacked_keys(*lm_scores.packed_keys(keys)) == keys).all()
+    keys = np.array([0, 2**64 - 1], np.uint64)
+    assert (lm_scores.unpacked_keys(*lm_scores.packed_keys(keys)) == keys).all()
+
+
+def test_lm_scores_of_other_orders_and_keys(spark):
+    rows = [("a", "x y z"), ("b", "x y w"), (None, "x y z"), ("a", None)]
+    df = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    one = {(r.name, r.n_words): r.n_backed_off for r in lm_scores.lm_scores(df, key="name", order=1).collect()}
+    assert one == {("a", 3): 0, ("b", 3): 0, (None, 3): 0, ("a", 0): 0}
+    four = {(r.name, r.n_words): r.n_backed_off for r in lm_scores.lm_scores(df, key="name", order=4).collect()}
+    assert four == {("a", 3): 0, ("b", 3): 1, (None, 3): 0, ("a", 0): 0}
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(*r, "extra") for r in WARC_ROWS], "page_id long, url string, html string, Payload string").repartition(3)
     path = new_path(spark, "w")
