@@ -158,6 +158,23 @@ def char_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(jaccard(chars(a), chars(b)))
 
 
+def simhash(words: Column) -> Column:
+    """64 votes of the words' hashes, repeats counted, as a decimal number; 0 without words.
+
+    A word's hash is the second half of its MD5, so hashes agree with those of
+    the usual library.
+    """
+    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 17, 16), 16, -10).cast("long"))
+    bit = lambda h, b: F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1).cast("long"))
+
+    def votes(h: Column) -> Column:
+        ones = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + bit(x, b)) * 2 > F.size(h))
+        low_first = F.array_join(F.transform(F.reverse(ones), lambda v: v.cast("int").cast("string")), "")
+        return F.conv(low_first, 2, 10)
+
+    return F.element_at(F.transform(F.array(hashes), votes), 1)
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all, by the longest matching blocks."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,6 +128,22 @@ def bleu(df: DataFrame, key: str, guess: str, truth: str, most: int = 4, epsilon
     return out.select(key, *[F.round(score(k), 6).alias(f"bleu_{k}") for k in range(1, most + 1)])
 
 
+def mean_bleu(scores: DataFrame) -> DataFrame:
+    """One row: the mean of each score over all rows, a missing one counting 0."""
+    return scores.agg(*[F.round(F.avg(F.coalesce(c, F.lit(0.0))), 5).alias(c) for c in scores.columns if c.startswith("bleu_")])
+
+
+def corpus_bleu(df: DataFrame, key: str, guess: str, truth: str, most: int = 4) -> DataFrame:
+    """One row, ``bleu_most``: matches and lengths are summed over the corpus before ratios are taken; 0 without a match of some order."""
+    total = df.agg(F.sum(F.size(guess)).alias("lg"), F.sum(F.size(truth)).alias("lt"))
+    for n in range(1, most + 1):  # single rows
+        total = total.join(F.broadcast(overlap(df, key, guess, truth, n).agg(F.sum("hit").alias(f"h{n}"), F.sum("n_guess").alias(f"n{n}"))))
+    short = F.when(F.col("lg") > F.col("lt"), 1.0).otherwise(F.exp(1 - F.col("lt") / F.greatest(F.col("lg"), F.lit(1))))
+    some = reduce(and_, [F.col(f"h{n}") > 0 for n in range(1, most + 1)])
+    mean = sum((F.log(F.col(f"h{n}") / F.col(f"n{n}")) for n in range(1, most + 1)), F.lit(0.0)) / most
+    return total.select(F.round(F.when(some, short * F.exp(mean)).otherwise(0.0), 6).alias(f"bleu_{most}"))
+
+
 def rouge(df: DataFrame, key: str, guess: str, truth: str, n: int) -> DataFrame:
     """``(key, rouge_n)``: F1 of n-gram overlap; 0 where nothing overlaps."""
     o = overlap(df, key, guess, truth, n)

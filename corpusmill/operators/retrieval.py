@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions.synonyms import expand
 from corpusmill.functions.text import char_jaccard, words_and_cjk
 
 K1, B = 1.5, 0.75
@@ -69,6 +74,51 @@ def dense(docs: DataFrame, queries: DataFrame, vector: str = "embedding", query:
     return out
 
 
+def nearest(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query: str = "vector", block_bytes: int = 16 << 20) -> DataFrame:
+    """``(qid, doc_id, dense, rank)``: the ``k`` documents of the largest inner product with each query; ties by doc_id.
+
+    Queries are held against all rows in blocks of at most ``block_bytes`` of
+    numbers, so what is sent to the tasks has a bound; a block is a pass.  A task
+    multiplies batches of rows with the block, keeps ``k`` for each query, and
+    sends no more than these.
+    """
+    q = queries.select("qid", F.col(query).cast("array<double>").alias("_q"))
+    n, size = q.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(1))).first()
+    blocks = max(1, -(-n * size * 8 // block_bytes))
+    types = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, dense double"
+    part = docs.select("doc_id", F.col(vector).cast("array<double>").alias("_d")).where("doc_id IS NOT NULL AND _d IS NOT NULL")
+    found = [part.mapInArrow(_kept(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect(), k), types) for i in range(blocks)]
+    return top(reduce(DataFrame.union, found), k, "dense")
+
+
+def _kept(block: list, k: int):
+    """What a task does with its rows: batches of them against the block's queries."""
+    ids = [r["qid"] for r in block]
+    asked = np.array([r["_q"] for r in block], float)
+
+    def run(batches):
+        best_id = [np.empty(0, object)] * len(ids)
+        best = [np.empty(0)] * len(ids)
+        kind = None
+        for batch in batches:
+            if not batch.num_rows or not ids:
+                continue
+            kind = batch.column(0).type
+            own = np.array(batch.column(0).to_pylist(), object)
+            scores = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) @ asked.T
+            for j in range(len(ids)):
+                s = scores[:, j]
+                hit = np.flatnonzero(s >= (np.partition(s, -k)[-k] if len(s) > k else -np.inf))
+                value, name = np.concatenate([best[j], s[hit]]), np.concatenate([best_id[j], own[hit]])
+                order = sorted(range(len(value)), key=lambda i, v=value, m=name: (-v[i], m[i]))[:k]
+                best[j], best_id[j] = value[order], name[order]
+        for j, x in enumerate(ids):
+            if len(best[j]):
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(best[j])), pa.array(list(best_id[j]), kind), pa.array(best[j])], names=["qid", "doc_id", "dense"])
+
+    return run
+
+
 def ivf_top(docs: DataFrame, queries: DataFrame, k: int, nlist: int = 707, nprobe: int = 64, vector: str = "embedding", query: str = "vector", seed: int = 42, flat_below: int = 10_000, sample: int = 200_000) -> DataFrame:
     """Top ``k`` by probing the ``nprobe`` nearest of ``nlist`` clusters; all rows below ``flat_below``.
 
@@ -76,7 +126,7 @@ def ivf_top(docs: DataFrame, queries: DataFrame, k: int, nlist: int = 707, nprob
     """
     n = docs.count()
     if n < flat_below:
-        return top(dense(docs, queries, vector, query), k, "dense")
+        return nearest(docs, queries, k, vector, query)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -119,24 +169,24 @@ def fuse(candidates: DataFrame, docs: DataFrame, k: int, title: Column, gate: fl
     return distinct_titles(x.join(docs.select("doc_id", title.alias("title")), "doc_id"), k)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text") -> DataFrame:
-    """Dense candidates, the best lexical ones besides, fused: ``(qid, rank, doc_id, title, score)``."""
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text", synonyms: bool = True) -> DataFrame:
+    """The lexical search takes each query with its synonyms.  Dense candidates, the best lexical ones besides, fused: ``(qid, rank, doc_id, title, score)``."""
     fetch = 3 * k
-    near = normalised(top(dense(docs, queries, vector), fetch, "dense").drop("rank"), "dense", "dense_norm")
-    lex = bm25(docs, queries, text)
+    near = normalised(nearest(docs, queries, fetch, vector).drop("rank"), "dense", "dense_norm")
+    lex = bm25(docs, queries.withColumn("query", expand(F.col("query"))) if synonyms else queries, text)
     most = lex.groupBy("qid").agg(F.max("bm25").alias("bm25_max"))
     best = top(lex, fetch, "bm25").select("qid", "doc_id", F.lit(True).alias("_l"))
     both = near.join(best, ["qid", "doc_id"], "full_outer").drop("_l").join(lex, ["qid", "doc_id"], "left").join(most, "qid", "left")
     return fuse(both.na.fill(0.0, ["dense", "dense_norm", "bm25", "bm25_max"]), docs, k, title)
 
 
-def hyde(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text", weight: float = HYPOTHETICAL) -> DataFrame:
+def hyde(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text", weight: float = HYPOTHETICAL, synonyms: bool = True) -> DataFrame:
     """As ``hybrid``, with a second vector for each query whose scores count ``weight``, and no lexical candidates."""
     fetch = 3 * k
-    a = top(dense(docs, queries, vector), fetch, "dense").select("qid", "doc_id", "dense")
-    b = top(dense(docs, queries.drop("vector").withColumnRenamed("hypothetical", "vector"), vector), fetch, "dense").select("qid", "doc_id", (weight * F.col("dense")).alias("dense"))
+    a = nearest(docs, queries, fetch, vector).select("qid", "doc_id", "dense")
+    b = nearest(docs, queries, fetch, vector, "hypothetical").select("qid", "doc_id", (weight * F.col("dense")).alias("dense"))
     near = normalised(a.union(b).groupBy("qid", "doc_id").agg(F.max("dense").alias("dense")), "dense", "dense_norm")
-    lex = bm25(docs, queries, text)
+    lex = bm25(docs, queries.withColumn("query", expand(F.col("query"))) if synonyms else queries, text)
     most = lex.groupBy("qid").agg(F.max("bm25").alias("bm25_max"))
     both = near.join(lex, ["qid", "doc_id"], "left").join(most, "qid", "left")
     return fuse(both.na.fill(0.0, ["bm25", "bm25_max"]), docs, k, title)

@@ -176,18 +176,6 @@ def ordered_distinct(spark, sf_dir):
     return c.select("conv_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("roles"))
 
 
-SYNONYMS = [(0, "the", "der"), (1, "der", "the"), (2, "les", "los")]
-
-
-@query("synonym_expansion", "SELECT doc_id, q || coalesce(' ' || s, '') AS expanded FROM (SELECT doc_id, q, CASE WHEN contains(q, 'the') THEN CASE WHEN contains(q, 'der') THEN NULL ELSE 'der' END WHEN contains(q, 'der') THEN 'the' WHEN contains(q, 'les') THEN CASE WHEN contains(q, 'los') THEN NULL ELSE 'los' END END AS s FROM (SELECT doc_id, text AS q FROM documents))")
-def synonyms(spark, sf_dir):
-    t = spark.createDataFrame(SYNONYMS, "rank int, term string, synonym string")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("q"))
-    hit = d.join(F.broadcast(t), F.contains(F.col("q"), F.col("term")), "left")
-    best = hit.groupBy("doc_id", "q").agg(F.min_by("synonym", "rank").alias("s"))
-    return best.select("doc_id", F.when(F.col("s").isNotNull() & ~F.contains("q", F.col("s")), F.concat_ws(" ", "q", "s")).otherwise(F.col("q")).alias("expanded"))
-
-
 @query("head_cap", "SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100")
 def head(spark, sf_dir):
     return docs(spark, sf_dir).where("lang = 'en'").orderBy("doc_id").limit(100).select("doc_id")

@@ -221,9 +221,9 @@ def generated(spark, sf_dir):
 _GEN = f"SELECT conv_id || '-' || turn AS id, list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '') AS g, list_filter(string_split_regex(a, '\\s+'), lambda x: x <> '') AS t FROM ({CONV['qa_pairs']})"
 
 
-def _overlap_sql(n):
-    gram = lambda c: "unnest(" + c + ")" if n == 1 else f"unnest(list_transform(list_zip({c}, {c}[2:]), lambda x: x[1] || ' ' || x[2])[:len({c}) - 1])"
-    side = lambda c: f"(SELECT id, w, count(*) AS k FROM (SELECT id, {gram(c)} AS w FROM gen) WHERE w IS NOT NULL GROUP BY id, w)"
+def _overlap_sql(n, gen="gen"):
+    gram = lambda c: f"unnest(list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' ')))"
+    side = lambda c: f"(SELECT id, w, count(*) AS k FROM (SELECT id, {gram(c)} AS w FROM {gen}) WHERE w IS NOT NULL GROUP BY id, w)"
     return f"(SELECT id, sum(least(coalesce(x.k, 0), coalesce(y.k, 0))) AS hit FROM {side('g')} x FULL JOIN {side('t')} y USING (id, w) GROUP BY id)"
 
 
@@ -232,6 +232,49 @@ for _n in (1, 2):
     ORACLES[f"rouge_{_n}"] = f"WITH gen AS ({_GEN}) SELECT gen.id, round(CASE WHEN coalesce(hit, 0) > 0 THEN 2 * hit / (greatest(len(g) - {_n - 1}, 0) + greatest(len(t) - {_n - 1}, 0)) ELSE 0 END, 6) AS rouge_{_n} FROM gen LEFT JOIN {_overlap_sql(_n)} o ON o.id = gen.id"
 
 QUERIES["rouge_l"] = lambda spark, sf_dir: E.rouge_l(generated(spark, sf_dir), "id", "g", "t")
+_FOUR = ", ".join(f"CASE WHEN h{n} > 0 THEN h{n} ELSE 0.1 END / greatest(lg - {n - 1}, 1) AS p{n}" for n in (1, 2, 3, 4))
+
+
+def bleu_sql(gen):
+    """SQL of the four sentence scores of ``gen`` (id, g, t)."""
+    hits = " ".join(f"LEFT JOIN {_overlap_sql(n)} o{n} ON o{n}.id = gen.id" for n in (1, 2, 3, 4))
+    score = ", ".join(f"round(CASE WHEN lg = 0 OR h1 = 0 THEN 0 ELSE bp * exp(({' + '.join(f'ln(p{i})' for i in range(1, n + 1))}) / {n}) END, 6) AS bleu_{n}" for n in (1, 2, 3, 4))
+    return f"""WITH gen AS ({gen}), p AS (SELECT gen.id, len(g) AS lg, len(t) AS lt, {", ".join(f"coalesce(o{n}.hit, 0) AS h{n}" for n in (1, 2, 3, 4))} FROM gen {hits}),
+s AS (SELECT *, CASE WHEN lg = 0 THEN 0 WHEN lg > lt THEN 1 ELSE exp(1 - lt / lg) END AS bp, {_FOUR} FROM p) SELECT id, {score} FROM s"""
+
+
+QUERIES["bleu_4"] = lambda spark, sf_dir: E.bleu(generated(spark, sf_dir), "id", "g", "t")
+ORACLES["bleu_4"] = bleu_sql(_GEN)
+
+
+def segmented_bleu(spark, sf_dir):
+    """Means of the four scores over segmented turns, a blank one taken as a placeholder."""
+    from corpusmill.functions.text import words_and_cjk
+    from corpusmill.plans.conversations import pairs
+
+    words = lambda c: F.when(F.trim(c) == "", F.array(F.lit("空"))).otherwise(words_and_cjk(F.col(c)))
+    p = pairs(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("id"), words("q").alias("g"), words("a").alias("t"))
+    return E.mean_bleu(E.bleu(p, "id", "g", "t"))
+
+
+_SEGMENTED = f"SELECT conv_id || '-' || turn AS id, {{q}} AS g, {{a}} AS t FROM ({CONV['qa_pairs']})".format(**{c: f"CASE WHEN trim({c}) = '' THEN ['空'] ELSE regexp_extract_all(lower({c}), '[\\p{{{{L}}}}\\p{{{{M}}}}\\p{{{{Nd}}}}\\p{{{{Pc}}}}]+') END".replace("{{", "{").replace("}}", "}") for c in "qa"})
+QUERIES["bleu_segmented"] = segmented_bleu
+ORACLES["bleu_segmented"] = f"SELECT {', '.join(f'round(avg(bleu_{n}), 5) AS bleu_{n}' for n in (1, 2, 3, 4))} FROM ({bleu_sql(_SEGMENTED)})"
+
+
+def characters(spark, sf_dir):
+    """The turns as characters, white space left out."""
+    chars = lambda c: F.filter(F.split(F.array_join(c, ""), ""), lambda x: x != "")
+    return generated(spark, sf_dir).select("id", chars("g").alias("g"), chars("t").alias("t"))
+
+
+_CHARS = f"SELECT id, list_filter(string_split(array_to_string(g, ''), ''), lambda x: x <> '') AS g, list_filter(string_split(array_to_string(t, ''), ''), lambda x: x <> '') AS t FROM ({_GEN})"
+QUERIES["rouge_characters_2"] = lambda spark, sf_dir: E.rouge(characters(spark, sf_dir), "id", "g", "t", 2)
+ORACLES["rouge_characters_2"] = f"WITH gen AS ({_CHARS}) SELECT gen.id, round(CASE WHEN coalesce(hit, 0) > 0 THEN 2 * hit / (greatest(len(g) - 1, 0) + greatest(len(t) - 1, 0)) ELSE 0 END, 6) AS rouge_2 FROM gen LEFT JOIN {_overlap_sql(2)} o ON o.id = gen.id"
+QUERIES["rouge_characters_l"] = lambda spark, sf_dir: E.rouge_l(characters(spark, sf_dir), "id", "g", "t")
+QUERIES["bleu_corpus_characters"] = lambda spark, sf_dir: E.corpus_bleu(characters(spark, sf_dir), "id", "g", "t")
+ORACLES["bleu_corpus_characters"] = f"""WITH gen AS ({_CHARS}), n AS (SELECT sum(len(g)) AS lg, sum(len(t)) AS lt, {", ".join(f"sum(greatest(len(g) - {n - 1}, 0)) AS n{n}" for n in (1, 2, 3, 4))} FROM gen)
+SELECT round(CASE WHEN lg > lt THEN 1 ELSE exp(1 - lt / lg) END * exp(({" + ".join(f"ln((SELECT sum(hit) FROM {_overlap_sql(n)}) / n{n})" for n in (1, 2, 3, 4))}) / 4), 6) AS bleu_4 FROM n"""
 QUERIES["bleu"] = lambda spark, sf_dir: E.bleu(generated(spark, sf_dir), "id", "g", "t", 2)
 ORACLES["bleu"] = f"""WITH gen AS ({_GEN}), p AS (SELECT gen.id, len(g) AS lg, len(t) AS lt, coalesce(a.hit, 0) AS h1, coalesce(b.hit, 0) AS h2 FROM gen LEFT JOIN {_overlap_sql(1)} a ON a.id = gen.id LEFT JOIN {_overlap_sql(2)} b ON b.id = gen.id),
 s AS (SELECT *, CASE WHEN lg = 0 THEN 0 WHEN lg > lt THEN 1 ELSE exp(1 - lt / lg) END AS bp, CASE WHEN h1 > 0 THEN h1 ELSE 0.1 END / greatest(lg, 1) AS p1, CASE WHEN h2 > 0 THEN h2 ELSE 0.1 END / greatest(lg - 1, 1) AS p2 FROM p)

@@ -83,13 +83,13 @@ def char_rouge(spark, sf_dir):
 @query("dense_k_of_each_query", f"SELECT qid, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id)::BIGINT AS rank FROM ({DENSE})) WHERE rank <= qid // 100 % 4 + 1")
 def own_k(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.top(R.dense(d, q), 4, "dense").where(F.col("rank") <= F.floor(F.col("qid") / 100) % 4 + 1).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return R.nearest(d, q, 4).where(F.col("rank") <= F.floor(F.col("qid") / 100) % 4 + 1).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("rag_evaluation", f"SELECT round(avg(rr), 6) AS reciprocal_rank FROM (SELECT qid, 1 / min(rank) AS rr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rank FROM ({DENSE})) h JOIN embeddings a ON a.vec_id = h.qid JOIN embeddings b ON b.vec_id = h.doc_id AND a.label = b.label WHERE rank <= 10 GROUP BY qid)")
 def rag(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    hits = R.top(R.dense(d, q), 10, "dense").join(q.select("qid", "qlabel"), "qid").join(d.select("doc_id", "label"), "doc_id").where("label = qlabel")
+    hits = R.nearest(d, q, 10).join(q.select("qid", "qlabel"), "qid").join(d.select("doc_id", "label"), "doc_id").where("label = qlabel")
     return hits.groupBy("qid").agg((1 / F.min("rank")).alias("rr")).agg(F.round(F.avg("rr"), 6).alias("reciprocal_rank"))
 
 

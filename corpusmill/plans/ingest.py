@@ -80,16 +80,6 @@ def csv(spark, sf_dir):
     return R.csv(spark, path, "doc_id long, text string, lang string")
 
 
-@query("scan_folder", "SELECT 'json' AS kind, count(*)::BIGINT AS n FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'text', count(*) FROM documents WHERE doc_id % 2 = 1")
-def scan(spark, sf_dir):
-    path = new_path(spark, "scan")
-    d = table(spark, sf_dir, "documents")
-    d.where("doc_id % 2 = 0").select(F.expr(LINE).alias("value")).write.text(f"{path}/a")
-    d.where("doc_id % 2 = 1").select(F.concat(F.lit("plain "), "doc_id").alias("value")).write.text(f"{path}/b")
-    x = R.text_lines(spark, f"{path}/a").unionByName(R.text_lines(spark, f"{path}/b"))
-    return x.groupBy(F.when(F.col("question").isNotNull(), "json").otherwise("text").alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("load_truncated", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 50")
 def truncated(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").orderBy("doc_id").limit(50)
@@ -206,10 +196,11 @@ def minhash(spark, sf_dir):
 
 
 @query("near_pairs", """WITH s AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w FROM documents),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w)))
-SELECT a, b FROM p WHERE i >= 0.8 * (x + y - i)""")
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS x, len(b.w) AS y FROM s a JOIN s b ON a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.8 * greatest(len(a.w), len(b.w))),
+l AS (SELECT a, b FROM p WHERE i >= 0.8 * (x + y - i)), n AS (SELECT a AS doc_id, count(*) AS n FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY 1)
+SELECT s.doc_id, CASE WHEN len(w) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(w)) END AS same_as, coalesce(n, 0)::BIGINT AS n_links FROM s LEFT JOIN n USING (doc_id)""")
 def near(spark, sf_dir):
-    return D.near_pairs(table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", "w", 0.8)
+    return D.near_classes(table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("w")), "doc_id", "w", 0.8)
 
 
 MASKED = "text"

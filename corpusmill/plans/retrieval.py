@@ -48,7 +48,7 @@ TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY de
 @query("dense_top_k", f"SELECT qid, doc_id, rank, round(dense, 4) AS dense FROM ({TOP})")
 def dense_top(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.top(R.dense(d, q), 5, "dense").select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("dense", 4).alias("dense"))
+    return R.nearest(d, q, 5).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("dense", 4).alias("dense"))
 
 
 @query("ivf_top_k", f"SELECT qid, doc_id, rank, round(dense, 4) AS dense FROM ({TOP})")
@@ -66,7 +66,7 @@ def ivf_probed(spark, sf_dir):
 @query("score_normalised", f"SELECT qid, doc_id, round((dense - min(dense) OVER w) / CASE WHEN max(dense) OVER w > min(dense) OVER w THEN max(dense) OVER w - min(dense) OVER w ELSE 1 END, 6) AS norm FROM ({TOP}) WINDOW w AS (PARTITION BY qid)")
 def norm(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.normalised(R.top(R.dense(d, q), 5, "dense"), "dense", "norm").select("qid", "doc_id", F.round("norm", 6).alias("norm"))
+    return R.normalised(R.nearest(d, q, 5), "dense", "norm").select("qid", "doc_id", F.round("norm", 6).alias("norm"))
 
 
 @query("retrieval_metrics", f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rank FROM ({DENSE})) WHERE rank <= 10),
@@ -78,7 +78,7 @@ SELECT {", ".join(f"round(avg(p{k}), 6) AS precision_{k}, round(avg(r{k}), 6) AS
 def metrics(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
     rel = q.join(d.select("doc_id", "label"), q["qlabel"] == d["label"]).select("qid", "doc_id", F.lit(1).alias("rel"))
-    return E.retrieval_metrics(R.top(R.dense(d, q), 10, "dense").select("qid", "doc_id", "rank"), rel)
+    return E.retrieval_metrics(R.nearest(d, q, 10).select("qid", "doc_id", "rank"), rel)
 
 
 @query("corpus_statistics", f"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -131,19 +131,19 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dens
 SELECT qid, count(*)::BIGINT AS n, round(min(dense), 5) AS low, round(max(dense), 5) AS high FROM t GROUP BY qid""")
 def candidates(spark, sf_dir):
     d, q = knowledge(spark, sf_dir)
-    return R.top(R.dense(d, q), 15, "dense").groupBy("qid").agg(F.count("*").alias("n"), F.round(F.min("dense"), 5).alias("low"), F.round(F.max("dense"), 5).alias("high"))
+    return R.nearest(d, q, 15).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.min("dense"), 5).alias("low"), F.round(F.max("dense"), 5).alias("high"))
 
 
 @query("relevance_gate", f"SELECT qid, doc_id FROM ({TOP}) WHERE NOT (dense < 0.5 AND doc_id % 3 = 0)")
 def gate(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.top(R.dense(d, q), 5, "dense").where(~((F.col("dense") < 0.5) & (F.col("doc_id") % 3 == 0))).select("qid", "doc_id")
+    return R.nearest(d, q, 5).where(~((F.col("dense") < 0.5) & (F.col("doc_id") % 3 == 0))).select("qid", "doc_id")
 
 
 @query("corpus_lookup", f"SELECT h.qid, h.doc_id, d.text[:50] AS title FROM ({TOP}) h JOIN documents d ON d.doc_id = h.doc_id")
 def lookup(spark, sf_dir):
     d, q = vectors(spark, sf_dir)
-    return R.top(R.dense(d, q), 5, "dense").join(table(spark, sf_dir, "documents", "doc_id", F.substring("text", 1, 50).alias("title")), "doc_id").select("qid", "doc_id", "title")
+    return R.nearest(d, q, 5).join(table(spark, sf_dir, "documents", "doc_id", F.substring("text", 1, 50).alias("title")), "doc_id").select("qid", "doc_id", "title")
 
 
 #: Candidates from line items, one question for each order.

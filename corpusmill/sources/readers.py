@@ -80,20 +80,72 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     return READERS[kind](spark, path)
 
 
-def scan(spark: SparkSession, path: str, kinds=("jsonl", "txt", "csv")) -> DataFrame:
-    """All files of some kinds below a folder, with their columns united."""
+def _tables(files, path: str, names: list[str]) -> DataFrame | None:
+    """CSV files, which may differ in their columns: files of one header line are read together."""
+    head = F.regexp_extract(F.decode(F.substring("content", 1, 65536), "UTF-8"), r"^[^\r\n]*", 0)
+    heads = files.format("binaryFile").load(path).where("length > 0").groupBy(head.alias("head")).agg(F.collect_list("path").alias("paths")).collect()
+    out = None
+    for row in sorted(heads, key=lambda r: r["head"]):
+        whole = files.csv(row["paths"])
+        part = whole.select(*[F.col(f"`{c}`").cast("string") for c in whole.columns if c in names])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _workbooks(files: DataFrame, schema: str) -> DataFrame:
+    """The first sheet of each workbook; needs a reader that pandas knows where a file is found."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                sheet = pd.read_excel(io.BytesIO(content)).reindex(columns=names).astype(object)
+                yield sheet.where(sheet.notna(), None)
+
+    return files.select("content").mapInPandas(run, schema)
+
+
+#: What ``scan`` reads.
+KINDS = ("json", "jsonl", "csv", "txt", "xlsx", "xls")
+
+
+def scan(spark: SparkSession, path: str, kinds=KINDS, schema: str = RAW) -> DataFrame:
+    """All files of some kinds below a folder, with their columns united.
+
+    A ``.json`` file is one array, or an object with the rows under ``data``, or
+    a record a line, whatever its first character says; broken records are left
+    out.  Columns that a CSV file or a workbook has besides those of ``schema``
+    are not read.
+    """
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    kind_of = _struct(schema)
     out = None
     for kind in kinds:
-        base = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}")
         if kind == "csv":
-            part = base.option("header", True).csv(path)
+            part = _tables(files.option("header", True).option("multiLine", True).option("escape", '"'), path, names)
+        elif kind in ("xlsx", "xls"):
+            part = _workbooks(files.format("binaryFile").load(path), schema)
+        elif kind == "json":
+            first = F.substring(F.ltrim("value"), 1, 1)
+            array = lambda c: F.from_json(c, f"array<struct<{kind_of}>>")
+            wrapped = F.get_json_object("value", "$.data")
+            lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD}))
+            good = F.transform(F.filter(lines, lambda r: r[BAD].isNull()), lambda r: F.struct(*[r[n].alias(n) for n in names]))
+            rows = F.when(first == "[", array(F.col("value"))).when(F.substring(F.ltrim(wrapped), 1, 1) == "[", array(wrapped)).otherwise(good)
+            part = files.option("wholetext", True).text(path).select(F.explode(rows).alias("r")).select("r.*")
         else:
-            lines = base.text(path).where(F.trim("value") != "")
-            row = F.from_json("value", f"{RAW}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
-            x = lines.select("value", row.alias("r"))
-            ok = F.col(f"r.{BAD}").isNull()
-            part = x.where(ok).select("r.*").drop(BAD) if kind == "jsonl" else x.select(F.when(ok, F.col("r.text")).otherwise(F.trim("value")).alias("text"), F.when(ok, F.col("r.question")).alias("question"), F.when(ok, F.col("r.answer")).alias("answer"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+            lines = files.text(path).where(F.trim("value") != "")
+            x = lines.select("value", F.from_json("value", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+            ok = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()
+            plain = lambda n: F.when(ok, F.col(f"r.{n}")).otherwise(F.trim("value")) if n == "text" else F.when(ok, F.col(f"r.{n}"))
+            part = x.where(ok).select(*[F.col(f"r.{n}") for n in names]) if kind == "jsonl" else x.select(*[plain(n).alias(n) for n in names])
+        if part is not None:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.storage import new_path
-
-
 def source(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
     """Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
@@ -18,15 +15,19 @@ def timed(df: DataFrame, time: str, late: str) -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
-def drain(df: DataFrame, out: str, mode: str = "append") -> None:
-    """Write all that is there now as Parquet, exactly once over restarts, and stop."""
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(df.sparkSession, "stream-state")).trigger(availableNow=True).start()
+def drain(df: DataFrame, out: str, mode: str = "append", state: str | None = None) -> None:
+    """Write all that is there now as Parquet, exactly once over restarts, and stop.
+
+    What was done is kept in ``state``, a folder that lasts: beside ``out`` if none
+    is named.  A later call with the same folders takes only what is new.
+    """
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", state or out.rstrip("/") + "-state").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def copy_stream(spark: SparkSession, folder: str, pattern: str, schema, out: str) -> None:
-    """Append the files that have arrived to ``out``."""
-    drain(source(spark, folder, pattern, schema), out)
+def copy_stream(spark: SparkSession, folder: str, pattern: str, schema, out: str, state: str | None = None) -> None:
+    """Append the files that have arrived since the last call to ``out``."""
+    drain(source(spark, folder, pattern, schema), out, state=state)
 
 
 def first_seen(df: DataFrame, keys: list[str], time: str, late: str = "10 minutes") -> DataFrame:

@@ -13,9 +13,10 @@ def test_same_as_sql(spark, sf, name):
     check(spark, sf, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_queries_without_sql_are_tested_elsewhere():
+    tested = {"text_sequence_ratio", "ivf_probed"}  # test_whole.py
+    tested |= {"rouge_l", "rouge_characters_l", "hybrid_search", "hyde_search", "near_dedup_greedy", "near_dedup_components", "near_dedup_minhash", "keywords_text_rank"}  # test_brute.py
+    assert set(QUERIES) - set(ORACLES) == tested
 
 
 def test_entry(spark):
