@@ -6,12 +6,13 @@ word and annotates each transition with the number of tokens that it emits
 (``PrefixBpe``).  Whole words are memoised as one macro transition.
 
 A text is cut into chunks of ``chunk`` characters.  A chunk is summed up by its
-state map: white space brings every state to the start state, so the map is
-``(head, count, tail)``: the characters before the first white space, which
-the incoming state still has to read, the tokens emitted from there to the last
-white space, and the characters after it, which are the outgoing state.
-Without white space the map is a head alone.  Maps compose associatively, and
-are composed by a prefix scan in a logarithmic number of rounds.
+state map: white space brings every state to the start state, so the map is the
+place of the first white space, up to which the incoming state still has to
+read, the tokens emitted from there to the last white space, and the place of
+that, from which the characters are the outgoing state.  Without white space
+the map is its ends alone.  Maps compose associatively, and are composed by a
+prefix scan in a logarithmic number of rounds; they hold places and no copies,
+so a text's maps take no more room than its chunks are many.
 
 No shuffle: a document is counted in the task that reads it.
 """
@@ -42,7 +43,7 @@ class CountingTokenizer:
     pattern of the kind in ``_ANY`` and white space dropped.
     """
 
-    def __init__(self, spec: str, chunk: int = 1 << 16, max_words: int = 800_000):
+    def __init__(self, spec: str, chunk: int = 1 << 12, max_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.chunk, self.max_words, self.words = chunk, max_words, {}
@@ -89,27 +90,27 @@ class CountingTokenizer:
             n += get(w) or word(w)
         return n
 
-    def state_map(self, text: str, find) -> tuple:
-        """(head, count, tail) of a chunk; (head, None, None) if every character depends on what precedes."""
-        first = text.find(" ")
+    def state_map(self, text: str, start: int, end: int, find) -> tuple:
+        """(start, first, count, last, end) of a chunk, as places in the text; first, count and last are null without white space."""
+        first = text.find(" ", start, end)
         if first < 0:
-            return text, None, None
-        last = text.rfind(" ")
-        return text[:first], self.run(text[first:last], find), text[last:]
+            return start, None, None, None, end
+        last = text.rfind(" ", start, end)
+        return start, first, self.run(text[first:last], find), last, end
 
-    def compose(self, x: tuple, y: tuple, find) -> tuple:
-        """The map of two chunks, one after the other."""
+    def compose(self, text: str, x: tuple, y: tuple, find) -> tuple:
+        """The map of two neighbouring pieces; only what lies between their white space is still to be read."""
         if x[1] is None:
-            return x[0] + y[0], y[1], y[2]
+            return x[0], *y[1:]
         if y[1] is None:
-            return x[0], x[1], x[2] + y[0]
-        return x[0], x[1] + self.run(x[2] + y[0], find) + y[1], y[2]
+            return *x[:4], y[4]
+        return x[0], x[1], x[2] + self.run(text[x[3] : y[1]], find) + y[2], y[3], y[4]
 
-    def scan(self, maps: list, find) -> list:
-        """All prefix compositions, in a logarithmic number of rounds."""
+    def scan(self, text: str, maps: list, find) -> list:
+        """All prefix compositions, in a logarithmic number of rounds, each of which is independent piece by piece."""
         step = 1
         while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i], find) for i in range(step, len(maps))]
+            maps = maps[:step] + [self.compose(text, maps[i - step], maps[i], find) for i in range(step, len(maps))]
             step *= 2
         return maps
 
@@ -124,17 +125,11 @@ class CountingTokenizer:
             import regex
 
             text, find = self.normalize(text), regex.compile(_ANY).findall
-        if len(text) <= self.chunk:
+        maps = [self.state_map(text, i, min(i + self.chunk, len(text)), find) for i in range(0, len(text), self.chunk)]
+        start, first, count, last, end = self.scan(text, maps, find)[-1] if maps else (0, None, None, None, 0)
+        if first is None:
             return self.run(text, find)
-        maps = [self.state_map(text[i : i + self.chunk], find) for i in range(0, len(text), self.chunk)]
-        head, count, tail = self.total(maps, find)
-        return self.run(head, find) + (0 if count is None else count + self.run(tail, find))
-
-    def total(self, maps: list, find) -> tuple:
-        """The last prefix composition, by the scan's tree alone."""
-        while len(maps) > 1:
-            maps = [self.compose(maps[i], maps[i + 1], find) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+        return self.run(text[start:first], find) + count + self.run(text[last:end], find)
 
     def count(self, text: str | None) -> int:
         """Tokens of a text; a special string is one token."""
