@@ -78,9 +78,35 @@ def test_token_counts_of_chunks_and_prefix_scan():
         s = "".join(random.choice(pool) for _ in range(random.randint(0, 20)))
         assert own.count(s) == len(lib.encode(s, add_special_tokens=False).ids), s
     find = token_counts._LATIN.findall
-    maps = [own.state_map(c, find) for c in ("one tw", "o three", "fourfive", " six")]
-    head, count, tail = own.scan(maps, find)[-1]
-    assert own.scan(maps, find)[-1] == own.total(maps, find) and own.run(head, find) + count + own.run(tail, find) == own.count("one two threefourfive six")
+    text = "one two threefourfive six"
+    maps = [own.state_map(text, i, min(i + 6, len(text)), find) for i in range(0, len(text), 6)]
+    for i, (start, first, count, last, end) in enumerate(own.scan(text, maps, find)):
+        assert (start, end) == (0, min(6 * i + 6, len(text)))
+        assert own.run(text[:first], find) + count + own.run(text[last:end], find) == own.count(text[:end])
+    s = "ab" * 20_000 + " x " + "yz" * 9000
+    assert own.count(s) == len(lib.encode(s, add_special_tokens=False).ids)
+
+
+def test_token_counts_of_every_character_of_the_basic_plane():
+    from tokenizers import Tokenizer
+
+    spec = open(JSON, encoding="utf-8").read()
+    lib, own = Tokenizer.from_str(spec), token_counts.CountingTokenizer(spec)
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for s in ("a{}b", "{}", "中1{} '{}s"):
+        texts = [s.replace("{}", c) for c in chars]
+        got, want = [own.count(t) for t in texts], [len(x.ids) for x in lib.encode_batch(texts, add_special_tokens=False)]
+        assert [c for c, g, w in zip(chars, got, want, strict=True) if g != w] == []
+
+
+def test_results_replace_columns_of_their_names(spark):
+    rows = [(1, "a b", "old", 7.5, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Tokens string, n_bytes double, ids boolean")
+    r = token_counts.token_counts(df, JSON).collect()[0].asDict()
+    assert {k.lower() for k in r} == {"doc_id", "ids", "n_bytes", "n_tokens"} and (r["n_bytes"], r["n_tokens"], r["ids"]) == (3, 2, True)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string, Round_trip double, ids boolean")
+    r = pieces.encode_pieces(df, MODEL).collect()[0]
+    assert r.n_ids == len(r.ids) > 0 and r.round_trip is True and len(r) == 4
 
 
 def test_lm_scores_equal_brute_force(spark, docs):
