@@ -28,7 +28,7 @@ CATEGORIES = {
 MEDICINES = ["阿司匹林", "布洛芬", "对乙酰氨基酚", "奥美拉唑", "二甲双胍", "利尿酸", "辛伐他汀", "氨氯地平", "氯沙坦", "甲状腺素", "胰岛素", "地塞米松", "西药", "中药", "抗生素", "消炎药", "止痛药", "退烧药", "血压药"]
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}]+"
 #: With the wide last range, which also takes CJK, kana and hangul.
-EMOJI_WIDE = EMOJI[:-2] + r"\x{24C2}-\x{1F251}]+"
+EMOJI_WIDE = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
 URL = r"https?://\S+|www\.\S+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 DATES = (
@@ -140,10 +140,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Similarity of two word lists by counts; 0 if one is empty."""
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w)).cast("double")
-    dot = lambda xs, ys: F.aggregate(F.array_distinct(xs), F.lit(0.0), lambda s, w: s + count(xs, w) * count(ys, w))
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / F.when(norm == 0, 1.0).otherwise(norm))
+    count = lambda xs, w: (F.size(xs) - F.size(F.array_remove(xs, w))).cast("double")
+    dot = lambda xs, ys: F.aggregate(F.array_intersect(xs, ys), F.lit(0.0), lambda s, w: s + count(xs, w) * count(ys, w))
+    made = lambda p: F.struct(dot(p["a"], p["b"]).alias("ab"), (F.sqrt(dot(p["a"], p["a"])) * F.sqrt(dot(p["b"], p["b"]))).alias("norm"))
+    # Bound once: inside a lambda an expression would be evaluated again for each word.
+    return F.element_at(F.transform(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), made), lambda r: F.when(r["norm"] == 0, 0.0).otherwise(r["ab"] / F.when(r["norm"] == 0, 1.0).otherwise(r["norm"]))), 1)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
