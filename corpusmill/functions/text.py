@@ -78,7 +78,7 @@ def half_width(c: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, which has no built-in counterpart."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 def normalise(c: Column, lowercase=True, tags=True, urls=True, emoji=False, unicode=True, spaces=True, punct=False, width=False) -> Column:

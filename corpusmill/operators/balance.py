@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.storage import cut
+
 
 def hash_order(key: str | Column, seed: int = 42) -> Column:
     """The order that stands for a seeded shuffle."""
@@ -35,6 +37,22 @@ def place(df: DataFrame, label: str | None, order: Column, tie: str, out: str =
     return joined.select("d.*", "b._before").withColumn(out, (F.col("_k") + F.col("_before")).cast("long")).drop("_o", "_r", "_k", "_before")
 
 
+def ranked(df: DataFrame, label: str | None, key: str, out: str = "place") -> DataFrame:
+    """``df`` with the rank from 1 of each row in its class by ``key`` itself.
+
+    Rows are dealt by ranges of (class, key), as many as there are shuffle
+    partitions, so neither a large class nor crowded keys make one task.
+    """
+    part = [F.col(label)] if label else []
+    df = cut(df.repartitionByRange(*part, F.col(key)).withColumn("_r", F.spark_partition_id()), "ranged")
+    sizes = df.groupBy(*part, "_r").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*(part or [F.lit(1)])).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    keys = ([label] if label else []) + ["_r"]
+    x = df.withColumn("_k", F.row_number().over(W.partitionBy(*part, "_r").orderBy(key))).alias("d")
+    x = x.join(before.drop("_n").alias("b"), [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return x.select("d.*", "b._before").withColumn(out, (F.col("_k") + F.col("_before")).cast("long")).drop("_r", "_k", "_before")
+
+
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement."""
     return df.orderBy(hash_order(key, seed), key).limit(n)
@@ -51,7 +69,7 @@ def resample(df: DataFrame, label: str, key: str, targets: DataFrame, strategy:
     if strategy not in ("oversample", "undersample", "smart"):
         raise ValueError(f"unknown strategy: {strategy}")
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_size")).join(targets.select(F.col(label).alias("_l"), F.col("target").alias("_target")), "_l", "left")
-    x = place(place(df, label, hash_order(key, seed), key, "_hash"), label, F.lpad(F.hex(F.col(key).cast("long") + (1 << 40)), 16, "0"), key, "_first", 1) if strategy == "oversample" else place(df, label, hash_order(key, seed), key, "_hash").withColumn("_first", F.col("_hash"))
+    x = ranked(place(df, label, hash_order(key, seed), key, "_hash"), label, key, "_first") if strategy == "oversample" else place(df, label, hash_order(key, seed), key, "_hash").withColumn("_first", F.col("_hash"))
     x = x.join(F.broadcast(sizes), x[label] == sizes["_l"])
     even = F.floor(F.col("_target") / F.col("_size")) + (F.col("_hash") <= F.col("_target") % F.col("_size")).cast("int")
     down = (F.col("_hash") <= F.col("_target")).cast("int")

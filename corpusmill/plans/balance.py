@@ -157,9 +157,8 @@ def unused_index(spark, sf_dir):
 
 @query("positional_zip", "SELECT d.doc_id, e.label FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) d JOIN (SELECT label, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings) e USING (r)")
 def zipped(spark, sf_dir):
-    order = lambda c: F.lpad(F.hex(F.col(c) + (1 << 40)), 16, "0")
-    d = B.place(table(spark, sf_dir, "documents", "doc_id"), None, order("doc_id"), "doc_id", "r", 16**14)
-    e = B.place(table(spark, sf_dir, "embeddings", "vec_id", "label"), None, order("vec_id"), "vec_id", "r", 16**14)
+    d = B.ranked(table(spark, sf_dir, "documents", "doc_id"), None, "doc_id", "r")
+    e = B.ranked(table(spark, sf_dir, "embeddings", "vec_id", "label"), None, "vec_id", "r")
     return d.join(e, "r").select("doc_id", "label")
 
 

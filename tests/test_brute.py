@@ -220,3 +220,22 @@ def test_nearest_in_blocks(spark):
             got.setdefault(r.qid, []).append(r.doc_id)
         assert got == want
     assert nearest(d, q.where("qid < 0"), 4).count() == 0 and nearest(d.where("doc_id < 0"), q, 4).count() == 0
+
+
+def test_ranks_by_key_in_a_large_class(spark):
+    from corpusmill.operators.balance import ranked
+
+    data = [(i * 7 % 1000, "a" if i % 10 else None) for i in range(1000)]
+    got = {r.k: r.place for r in ranked(spark.createDataFrame(data, "k long, c string").repartition(6), "c", "k").collect()}
+    for c in ("a", None):
+        assert [got[k] for k in sorted(k for k, x in data if x == c)] == list(range(1, 1 + sum(x == c for _, x in data)))
+
+
+def test_conversations_as_instructions(spark, tmp_path):
+    from corpusmill.sources import writers
+
+    df = spark.createDataFrame([([("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")], 3)], "messages array<struct<role:string,content:string>>, _meta int")
+    writers.conversations(df, str(tmp_path / "x"), alpaca=True)
+    assert json.loads(next((tmp_path / "x").glob("part-*.json")).read_text()) == {"instruction": "u1", "input": "", "output": "a2", "_meta": 3}
+    writers.conversations(df, str(tmp_path / "y"), meta=False)
+    assert set(json.loads(next((tmp_path / "y").glob("part-*.json")).read_text())) == {"messages"}
