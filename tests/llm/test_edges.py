@@ -443,3 +443,31 @@ def test_classifier(spark, docs, sf):
     assert quality_classifier.classify(none_of(docs), model).count() == 0
     assert quality_classifier.fit(np.zeros((0, 10)), np.zeros(0, int)).rules == [] and quality_classifier.fit(np.ones((3, 10)), np.ones(3, int)).rules == []
     assert quality_classifier.train(d, labels.where("doc_id < 0")).rules == []
+
+
+def test_compiled_rules_equal_their_plain_evaluation(spark, docs):
+    from math import exp
+
+    C = quality_classifier.Condition
+    model = quality_classifier.RuleEnsemble([((C("n_words", True, 4.5), C("distinct_ratio", False, 0.5)), 1.25), ((C("n_words", False, 3.0),), -0.5), ((C("upper_ratio", True, 0.0),), 0.75)], 0.125)
+    rows = quality_classifier.classify(docs, model, threshold=0.6).collect()
+    assert len({r.score for r in rows}) > 2
+    for r in rows:
+        total = 0.125
+        for rule, weight in model.rules:
+            if all((r[c.statistic] <= c.bound) == c.below for c in rule):
+                total += weight
+        assert r.score == pytest.approx(1 / (1 + exp(-total)), abs=1e-12) and r.predicted == int(r.score >= 0.6)
+
+
+def test_sample_is_bounded_however_often_keys_repeat(spark):
+    d = spark.createDataFrame([(i % 10, f"word {i} " * (i % 7)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 10, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fit, quality_classifier.fit = quality_classifier.fit, lambda x, y, **k: seen.append(len(y))
+    try:
+        quality_classifier.train(d, labels, max_rows=4)
+        quality_classifier.train(d, labels, max_rows=100)
+    finally:
+        quality_classifier.fit = fit
+    assert seen == [4, 10]
