@@ -234,8 +234,9 @@ def test_ranks_by_key_in_a_large_class(spark):
 def test_conversations_as_instructions(spark, tmp_path):
     from corpusmill.sources import writers
 
+    written = lambda name: json.loads("".join(x.read_text() for x in (tmp_path / name).glob("part-*.json")))
     df = spark.createDataFrame([([("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")], 3)], "messages array<struct<role:string,content:string>>, _meta int")
     writers.conversations(df, str(tmp_path / "x"), alpaca=True)
-    assert json.loads(next((tmp_path / "x").glob("part-*.json")).read_text()) == {"instruction": "u1", "input": "", "output": "a2", "_meta": 3}
+    assert written("x") == {"instruction": "u1", "input": "", "output": "a2", "_meta": 3}
     writers.conversations(df, str(tmp_path / "y"), meta=False)
-    assert set(json.loads(next((tmp_path / "y").glob("part-*.json")).read_text())) == {"messages"}
+    assert set(written("y")) == {"messages"}
