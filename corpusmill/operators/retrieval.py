@@ -57,34 +57,35 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "
     return x.groupBy("qid", "doc_id").agg(F.sum(part * F.col("times")).alias("bm25"))
 
 
-def dense(docs: DataFrame, queries: DataFrame, vector: str = "embedding", query: str = "vector", max_queries: int = 100_000) -> DataFrame:
+def dense(docs: DataFrame, queries: DataFrame, vector: str = "embedding", query: str = "vector", block_bytes: int = 16 << 20) -> DataFrame:
     """``(qid, doc_id, dense)``: inner products of all queries and documents.
 
-    Queries are held against all rows in blocks; a block is broadcast, and its
-    size is checked against ``max_queries``.
+    Queries are held against all rows in blocks of about ``block_bytes`` of
+    numbers; a block is broadcast, and is a pass.
     """
     q = queries.select("qid", F.col(query).alias("_q"))
-    n = q.count()
-    blocks = -(-n // max_queries) if n else 1
-    out = None
-    for i in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        part = docs.select("doc_id", F.col(vector).alias("_d")).join(F.broadcast(block)).select("qid", "doc_id", dot(F.col("_d"), F.col("_q")).alias("dense"))
-        out = part if out is None else out.union(part)
-    return out
+    blocks = _blocks(q, block_bytes)
+    rows = docs.select("doc_id", F.col(vector).alias("_d"))
+    block = lambda i: F.broadcast(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+    return reduce(DataFrame.union, [rows.join(block(i)).select("qid", "doc_id", dot(F.col("_d"), F.col("_q")).alias("dense")) for i in range(blocks)])
+
+
+def _blocks(queries: DataFrame, block_bytes: int) -> int:
+    """The number of blocks in which queries ``(qid, _q)`` take about so many bytes of doubles each."""
+    n, size = queries.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(1))).first()
+    return max(1, -(-n * size * 8 // block_bytes))
 
 
 def nearest(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", query: str = "vector", block_bytes: int = 16 << 20) -> DataFrame:
     """``(qid, doc_id, dense, rank)``: the ``k`` documents of the largest inner product with each query; ties by doc_id.
 
-    Queries are held against all rows in blocks of at most ``block_bytes`` of
+    Queries are held against all rows in blocks of about ``block_bytes`` of
     numbers, so what is sent to the tasks has a bound; a block is a pass.  A task
     multiplies batches of rows with the block, keeps ``k`` for each query, and
     sends no more than these.
     """
     q = queries.select("qid", F.col(query).cast("array<double>").alias("_q"))
-    n, size = q.agg(F.count("*"), F.coalesce(F.max(F.size("_q")), F.lit(1))).first()
-    blocks = max(1, -(-n * size * 8 // block_bytes))
+    blocks = _blocks(q, block_bytes)
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, dense double"
     part = docs.select("doc_id", F.col(vector).cast("array<double>").alias("_d")).where("doc_id IS NOT NULL AND _d IS NOT NULL")
     found = [part.mapInArrow(_kept(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect(), k), types) for i in range(blocks)]
