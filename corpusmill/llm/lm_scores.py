@@ -7,7 +7,8 @@ n-gram costs few bytes on its way:
 1. Documents are packed as they come into chunks of bounded size, a written
    table.  Equal or null rows need no grouping, so none of them meet.
 2. A chunk explodes its n-grams of one order, combines equal ones, and sends
-   each hash partition one row: sorted 64-bit hashes, as differences, and counts.
+   each hash partition that has one of them a row: sorted 64-bit hashes, as
+   differences, and counts.
 3. A hash partition adds up the counts of equal n-grams over all chunks, which
    is its part of the count table, and joins them to the rows it was sent: each
    chunk gets the totals of its n-grams back.  This is done for the short
@@ -17,9 +18,10 @@ n-gram costs few bytes on its way:
    totals, so that nothing vouches for itself, and logarithms are summed.
 
 An n-gram that occurs everywhere costs each chunk one entry, so frequent words
-make no task larger.  A chunk has a bounded size, and partitions follow the
-number of shuffle partitions, so neither a task's memory nor the number of its
-rows grows with the corpus; nothing reaches the driver.
+make no task larger.  A chunk has a bounded size, and the number of partitions
+follows the bytes of the corpus, so no task's memory grows with it, whatever the
+session's settings.  Rows are at most one for each n-gram of a chunk, however
+many chunks and partitions there are.  Only the number of words reaches the driver.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ from corpusmill.storage import cut, discard, release
 _U = np.uint64
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 8 << 20
+#: Bytes of the corpus for each hash partition, at most; a partition of one order is held at once.
+PART_BYTES = 32 << 20
 
 
 def _hashes(text: bytes) -> list[int]:
@@ -134,7 +138,7 @@ def _narrow(x: np.ndarray) -> tuple[int, bytes]:
 
 
 def _packed(df: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
-    """``(chunk, docs, lengths, blob)``: documents as they come, in chunks of about so many bytes."""
+    """``(chunk, docs, lengths, size, blob)``: documents as they come, in chunks of about so many bytes."""
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -145,7 +149,7 @@ def _packed(df: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
             each = pa.concat_arrays(keys)
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             blob = zlib.compress(b"".join(texts), 1)
-            return pa.RecordBatch.from_arrays([whole(each), whole(pa.array(map(len, texts), pa.int32())), pa.array([blob], pa.binary())], names=["docs", "lengths", "blob"])
+            return pa.RecordBatch.from_arrays([whole(each), whole(pa.array(map(len, texts), pa.int32())), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["docs", "lengths", "size", "blob"])
 
         for batch in batches:
             own, rows = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
@@ -162,11 +166,14 @@ def _packed(df: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
         if texts:
             yield closed()
 
-    return docs.mapInArrow(run, f"docs array<{kind}>, lengths array<int>, blob binary").withColumn("chunk", F.monotonically_increasing_id())
+    return docs.mapInArrow(run, f"docs array<{kind}>, lengths array<int>, size long, blob binary").withColumn("chunk", F.monotonically_increasing_id())
 
 
 def _totals(packed: DataFrame, orders: list[int], parts: int) -> DataFrame:
-    """``(chunk, n, part, words, width, totals)``: of each chunk's n-grams of these orders the counts in all chunks, in the order of their hashes."""
+    """``(chunk, n, part, own, width, totals)``: of each chunk's n-grams of these orders the counts in all chunks, in the order of their hashes.
+
+    ``own`` is how many n-grams the chunk itself has in the row.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +183,13 @@ def _totals(packed: DataFrame, orders: list[int], parts: int) -> DataFrame:
                     keys, times = np.unique(c.grams(n)[1], return_counts=True)
                     ends = np.searchsorted(keys >> _U(32), (np.arange(parts + 1, dtype=np.uint64) << _U(32)) // _U(parts))
                     ends[-1] = len(keys)
-                    cuts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    some = np.flatnonzero(np.diff(ends))
+                    cuts = [slice(ends[i], ends[i + 1]) for i in some]
                     k, t = [packed_keys(keys[x]) for x in cuts], [_narrow(times[x]) for x in cuts]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(parts, n, np.int32)), pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, row["chunk"], np.int64)), pa.array(np.full(parts, len(c.words), np.int64)),
+                        pa.array(np.full(len(some), n, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.full(len(some), row["chunk"], np.int64)),
                         pa.array([x for x, _ in k], pa.int32()), pa.array([x for _, x in k], pa.binary()), pa.array([x for x, _ in t], pa.int32()), pa.array([x for _, x in t], pa.binary())],
-                        names=["n", "part", "chunk", "words", "kw", "keys", "cw", "counts"])
+                        names=["n", "part", "chunk", "kw", "keys", "cw", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_pylist()
@@ -191,13 +199,11 @@ def _totals(packed: DataFrame, orders: list[int], parts: int) -> DataFrame:
         totals = np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
         ends = np.cumsum([0, *map(len, keys)])
         back = [_narrow(totals[inverse[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        words = table.column("words")
-        every = pa.array(np.full(table.num_rows, words.to_numpy().sum(), np.int64))
-        return pa.table({"chunk": table.column("chunk"), "n": table.column("n"), "part": table.column("part"), "words": every,
+        return pa.table({"chunk": table.column("chunk"), "n": table.column("n"), "part": table.column("part"), "own": pa.array([int(x.sum()) for x in counts], pa.int64()),
                          "width": pa.array([w for w, _ in back], pa.int32()), "totals": pa.array([x for _, x in back], pa.binary())})
 
-    sent = packed.select("chunk", "lengths", "blob").mapInArrow(explode, "n int, part int, chunk long, words long, kw int, keys binary, cw int, counts binary")
-    return sent.groupBy("n", "part").applyInArrow(count, "chunk long, n int, part int, words long, width int, totals binary")
+    sent = packed.select("chunk", "lengths", "blob").mapInArrow(explode, "n int, part int, chunk long, kw int, keys binary, cw int, counts binary")
+    return sent.repartition(parts, "n", "part").groupBy("n", "part").applyInArrow(count, "chunk long, n int, part int, own long, width int, totals binary")
 
 
 def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3, alpha: float = 0.4, chunk_bytes: int = CHUNK_BYTES, parts: int | None = None) -> DataFrame:
@@ -214,13 +220,16 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int
     repeat; other columns are not read; an empty table gives an empty one.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[key].dataType.simpleString()
     packed = cut(_packed(df, key, text, chunk_bytes), "chunks")
+    if parts is None:
+        size = packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     tables = []
     for orders in [x for x in ([n for n in (1, 2) if n <= order], *[[n] for n in range(3, order + 1)]) if x]:
         tables.append(cut(_totals(packed, orders, parts), "totals"))
         release(spark, 1.0)  # this pass's exchange, before the next one has its own
+    words = tables[0].where("n = 1").agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
 
     def score(k, left, right):
         row = left.to_pylist()[0]
@@ -229,7 +238,7 @@ def lm_scores(df: DataFrame, key: str = "doc_id", text: str = "text", order: int
         of = [[np.empty(0, np.int64)] for _ in range(order)]
         for n, w, x in zip(right["n"], right["width"], right["totals"], strict=True):
             of[n - 1].append(np.frombuffer(x, f"<u{w}").astype(np.int64))
-        total, backed = c.scores([np.concatenate(x) for x in of], max(right["words"], default=0), alpha)
+        total, backed = c.scores([np.concatenate(x) for x in of], words, alpha)
         return pa.table({key: left.column("docs").combine_chunks().flatten(), "n_words": pa.array(c.lengths, pa.int64()), "log_score": pa.array(total, pa.float64()), "n_backed_off": pa.array(backed.astype(np.int64), pa.int64())})
 
     back = tables[0]

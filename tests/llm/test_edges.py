@@ -109,11 +109,13 @@ def test_results_replace_columns_of_their_names(spark):
     assert r.n_ids == len(r.ids) > 0 and r.round_trip is True and len(r) == 4
 
 
-def test_lm_scores_equal_brute_force(spark, docs):
+@pytest.mark.parametrize("parts, part_bytes", [(3, 1), (300, 1), (None, 2000)])
+def test_lm_scores_equal_brute_force(spark, docs, monkeypatch, parts, part_bytes):
     from collections import Counter
     from math import log
 
-    out = [r for r in lm_scores.lm_scores(docs, order=3, chunk_bytes=100, parts=3).collect()]
+    monkeypatch.setattr(lm_scores, "PART_BYTES", part_bytes)
+    out = [r for r in lm_scores.lm_scores(docs, order=3, chunk_bytes=100, parts=parts).collect()]
     assert len(out) == 11 and lm_scores.lm_scores(none_of(docs)).count() == 0
     texts = [*TEXTS, "a text without a key", TEXTS[8]]
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode()) for t in texts]
@@ -148,6 +150,14 @@ def test_packed_keys_round_trip():
     assert (lm_scores.unpacked_keys(*lm_scores.packed_keys(keys)) == keys).all()
 
 
+def test_lm_scores_send_no_empty_rows(spark):
+    texts = spark.createDataFrame([(1, "a b a b"), (2, "c"), (3, None)], "doc_id long, text string").coalesce(1)
+    packed = lm_scores._packed(texts, "doc_id", "text", 1)
+    assert sorted(r.size for r in packed.collect()) == [0, 1, 7]
+    rows = lm_scores._totals(packed, [1, 2], 1000).collect()
+    assert sorted((r.n, r.own) for r in rows) == [(1, 1), (1, 2), (1, 2), (2, 1), (2, 2)]
+
+
 def test_lm_scores_of_other_orders_and_keys(spark):
     rows = [("a", "x y z"), ("b", "x y w"), (None, "x y z"), ("a", None)]
     df = spark.createDataFrame(rows, "name string, text string").repartition(3)
