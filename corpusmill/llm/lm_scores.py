@@ -40,7 +40,7 @@ from corpusmill.storage import cut, discard, release
 
 _U = np.uint64
 #: Bytes of text after which a chunk is closed.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of the corpus for each hash partition, at most; a partition of one order is held at once.
 PART_BYTES = 32 << 20
 
@@ -177,7 +177,8 @@ def _totals(packed: DataFrame, orders: list[int], parts: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 c = Chunk(row["lengths"], row["blob"])
                 for n in orders:
                     keys, times = np.unique(c.grams(n)[1], return_counts=True)
