@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("texts", "privacy", "conversations", "evaluation", "balance", "retrieval", "ingest", "extras", "construction")
+MODULES = ("texts", "privacy", "conversations", "evaluation", "balance", "retrieval", "ingest", "extras", "construction", "judges")
 
 
 def queries() -> dict:

@@ -37,7 +37,8 @@ def call(df: DataFrame, hook: Callable[[list[dict]], list[dict]], schema: str, b
                         break
                     except Exception as e:
                         time.sleep(wait * 2**n if limit_error is not None and isinstance(e, limit_error) else wait)
-                made = pd.DataFrame(found if found is not None else [{}] * len(part), index=part.index).reindex(columns=names)
+                rows = found if found is not None else [{}] * len(part)
+                made = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], part.index, object) for n in names})
                 yield pd.concat([part, made], axis=1)
 
     df = df.select(*keep)
