@@ -8,6 +8,7 @@ from corpusmill.functions.privacy import DETECTORS
 from corpusmill.functions.text import clean, tokens, truncate
 from corpusmill.operators import dedup as D
 from corpusmill.operators.evaluation import score_gate
+from corpusmill.operators.knowledge import knowledge_rows
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import PAIRS, pairs
 from corpusmill.sources import readers as R
@@ -147,6 +148,56 @@ def kb(spark, sf_dir):
     return p.select("conv_id", "turn", q.alias("title"), F.concat(F.lit("问题："), q, F.lit("\n答案："), a).alias("contents"), F.concat_ws(" ", q, a).alias("embed_text"))
 
 
+TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+def kb_twin(embed, tail=""):
+    return f"""SELECT doc_id, q AS title, '问题：' || q || chr(10) || '答案：' || a AS contents, {embed} AS embed_text
+FROM (SELECT doc_id, q, {cut_sql('t', 300)} AS a, length(t) AS n FROM (SELECT doc_id, source || ' ' || doc_id AS q, {TRIM} AS t FROM documents WHERE text IS NOT NULL)) WHERE n >= 40 {tail}"""
+
+
+def kb_rows(spark, sf_dir, **how):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" "), "doc_id").alias("instruction"), F.col("text").alias("output"))
+    return knowledge_rows(d, "doc_id", longest=300, least_answer=40, **how)
+
+
+@query("kb_embed_question", kb_twin("q"))
+def kb_question(spark, sf_dir):
+    return kb_rows(spark, sf_dir, embed="question")
+
+
+@query("kb_embed_answer", kb_twin("a"))
+def kb_answer(spark, sf_dir):
+    return kb_rows(spark, sf_dir, embed="answer")
+
+
+@query("kb_first_rows", kb_twin("q || ' ' || a", "ORDER BY doc_id LIMIT 100"))
+def kb_first(spark, sf_dir):
+    return kb_rows(spark, sf_dir, embed="question_answer", most=100)
+
+
+@query("load_by_extension", """SELECT kind, n_name AS question, n_nationkey::VARCHAR AS id FROM nation, (SELECT unnest(['csv', 'json', 'jsonl', 'txt']) AS kind)""")
+def load_kinds(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("question"), F.col("n_nationkey").cast("string").alias("id"))
+    out = None
+    for kind in ("csv", "json", "jsonl", "txt"):
+        path = f"{new_path(spark, 'load')}/rows.{kind}"
+        if kind == "csv":
+            rows.write.option("header", True).csv(path)
+        else:
+            rows.write.json(path)
+        part = R.load(spark, path).select(F.lit(kind).alias("kind"), "question", "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("read_json_first", "SELECT count(*)::BIGINT AS n, 1000 AS lines FROM (SELECT * FROM documents LIMIT 20)")
+def read_first(spark, sf_dir):
+    line = F.to_json(F.struct(F.concat(F.lit("q"), "id").alias("question")))
+    path = written(spark.range(1000).select(line.alias("value")), "first")
+    return R.sniffed(spark, path, most=20).agg(F.count("question").alias("n"), F.lit(1000).alias("lines"))
+
+
 @query("write_splits", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def splits(spark, sf_dir):
     path = new_path(spark, "splits")

@@ -30,10 +30,11 @@ def _struct(schema: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in schema.split(", ")))
 
 
-def sniffed(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
-    """A JSON array if the first character that isn't blank opens one, else JSON lines."""
+def sniffed(spark: SparkSession, path: str, schema: str = RAW, most: int | None = None) -> DataFrame:
+    """A JSON array if the first character that isn't blank opens one, else JSON lines; at most ``most`` rows, beyond which lines are not read."""
     first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return json_array(spark, path, schema) if first and first[0][0].lstrip()[:1] == "[" else jsonl(spark, path, schema)
+    rows = json_array(spark, path, schema) if first and first[0][0].lstrip()[:1] == "[" else jsonl(spark, path, schema)
+    return rows if most is None else rows.limit(most)
 
 
 def text_lines(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame:
