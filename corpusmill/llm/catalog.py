@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import conversations, decontamination, exact_dedup, licenses, lm_scores, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts, warc
+from corpusmill.llm import collocations, conversations, decontamination, exact_dedup, licenses, lm_scores, ngram_join, pieces, quality_classifier, quality_rules, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_collocations": collocations.op11_collocations,
         "op12_conversation_repair": conversations.op12_conversation_repair,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE_SQL,
         "op5_secret_scan": secrets.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
         "op12_conversation_repair": conversations.ORACLE_SQL,
         "op13_exact_dedup": exact_dedup.ORACLE_SQL,
     }
