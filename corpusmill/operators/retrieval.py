@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.synonyms import expand
 from corpusmill.functions.text import char_jaccard, words_and_cjk
+from corpusmill.storage import cut
 
 K1, B = 1.5, 0.75
 DENSE_WEIGHT, LEXICAL_WEIGHT, GATE, SAME_TITLE, HYPOTHETICAL = 0.7, 0.3, 0.35, 0.85, 0.4
@@ -88,8 +89,13 @@ def nearest(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embeddin
     blocks = _blocks(q, block_bytes)
     types = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, dense double"
     part = docs.select("doc_id", F.col(vector).cast("array<double>").alias("_d")).where("doc_id IS NOT NULL AND _d IS NOT NULL")
-    found = [part.mapInArrow(_kept(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect(), k), types) for i in range(blocks)]
-    return top(reduce(DataFrame.union, found), k, "dense")
+    if blocks == 1:
+        return top(part.mapInArrow(_kept(q.collect(), k), types), k, "dense")
+    found = None
+    for i in range(blocks):  # the driver holds one block at a time
+        some = cut(part.mapInArrow(_kept(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).collect(), k), types), "nearest")
+        found = some if found is None else found.union(some)
+    return top(found, k, "dense")
 
 
 def _kept(block: list, k: int):
@@ -98,24 +104,27 @@ def _kept(block: list, k: int):
     asked = np.array([r["_q"] for r in block], float)
 
     def run(batches):
-        best_id = [np.empty(0, object)] * len(ids)
-        best = [np.empty(0)] * len(ids)
+        best: list[list] = [[] for _ in ids]
+        least = np.full(len(ids), -np.inf)
         kind = None
         for batch in batches:
             if not batch.num_rows or not ids:
                 continue
             kind = batch.column(0).type
-            own = np.array(batch.column(0).to_pylist(), object)
-            scores = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) @ asked.T
-            for j in range(len(ids)):
-                s = scores[:, j]
-                hit = np.flatnonzero(s >= (np.partition(s, -k)[-k] if len(s) > k else -np.inf))
-                value, name = np.concatenate([best[j], s[hit]]), np.concatenate([best_id[j], own[hit]])
-                order = sorted(range(len(value)), key=lambda i, v=value, m=name: (-v[i], m[i]))[:k]
-                best[j], best_id[j] = value[order], name[order]
-        for j, x in enumerate(ids):
-            if len(best[j]):
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(best[j])), pa.array(list(best_id[j]), kind), pa.array(best[j])], names=["qid", "doc_id", "dense"])
+            own = batch.column(0)
+            scores = asked @ np.stack(batch.column(1).to_numpy(zero_copy_only=False)).T
+            n = scores.shape[1]
+            bound = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k]) if n > k else least
+            j, i = np.nonzero(scores >= bound[:, None])
+            cuts = np.searchsorted(j, np.arange(len(ids) + 1))
+            for x in np.flatnonzero(np.diff(cuts)).tolist():
+                at = i[cuts[x] : cuts[x + 1]]
+                best[x] = sorted(best[x] + list(zip((-scores[x, at]).tolist(), own.take(pa.array(at)).to_pylist(), strict=True)))[:k]
+                if len(best[x]) == k:
+                    least[x] = -best[x][-1][0]
+        for x, held in zip(ids, best, strict=True):
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(held)), pa.array([d for _, d in held], kind), pa.array([-s for s, _ in held])], names=["qid", "doc_id", "dense"])
 
     return run
 
@@ -172,22 +181,34 @@ def fuse(candidates: DataFrame, docs: DataFrame, k: int, title: Column, gate: fl
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text", synonyms: bool = True) -> DataFrame:
     """The lexical search takes each query with its synonyms.  Dense candidates, the best lexical ones besides, fused: ``(qid, rank, doc_id, title, score)``."""
+    from corpusmill.operators import lexical
+
     fetch = 3 * k
-    near = normalised(nearest(docs, queries, fetch, vector).drop("rank"), "dense", "dense_norm")
-    lex = bm25(docs, queries.withColumn("query", expand(F.col("query"))) if synonyms else queries, text)
-    most = lex.groupBy("qid").agg(F.max("bm25").alias("bm25_max"))
-    best = top(lex, fetch, "bm25").select("qid", "doc_id", F.lit(True).alias("_l"))
-    both = near.join(best, ["qid", "doc_id"], "full_outer").drop("_l").join(lex, ["qid", "doc_id"], "left").join(most, "qid", "left")
+    near = cut(normalised(nearest(docs, queries, fetch, vector).drop("rank"), "dense", "dense_norm"), "near")
+    found = lexical.search(lexical.build(docs, text), _asking(queries, near, synonyms), fetch, wanted="_wanted")
+    best = lexical.best(found, fetch)
+    most = best.groupBy("qid").agg(F.max("bm25").alias("bm25_max"))
+    lex = found.where("wanted").select("qid", "doc_id", "bm25").union(best.select("qid", "doc_id", "bm25")).groupBy("qid", "doc_id").agg(F.max("bm25").alias("bm25"))
+    both = near.join(lex, ["qid", "doc_id"], "full_outer").join(most, "qid", "left")
     return fuse(both.na.fill(0.0, ["dense", "dense_norm", "bm25", "bm25_max"]), docs, k, title)
 
 
 def hyde(docs: DataFrame, queries: DataFrame, k: int, title: Column, vector: str = "embedding", text: str = "text", weight: float = HYPOTHETICAL, synonyms: bool = True) -> DataFrame:
     """As ``hybrid``, with a second vector for each query whose scores count ``weight``, and no lexical candidates."""
+    from corpusmill.operators import lexical
+
     fetch = 3 * k
     a = nearest(docs, queries, fetch, vector).select("qid", "doc_id", "dense")
     b = nearest(docs, queries, fetch, vector, "hypothetical").select("qid", "doc_id", (weight * F.col("dense")).alias("dense"))
-    near = normalised(a.union(b).groupBy("qid", "doc_id").agg(F.max("dense").alias("dense")), "dense", "dense_norm")
-    lex = bm25(docs, queries.withColumn("query", expand(F.col("query"))) if synonyms else queries, text)
-    most = lex.groupBy("qid").agg(F.max("bm25").alias("bm25_max"))
-    both = near.join(lex, ["qid", "doc_id"], "left").join(most, "qid", "left")
+    near = cut(normalised(a.union(b).groupBy("qid", "doc_id").agg(F.max("dense").alias("dense")), "dense", "dense_norm"), "near")
+    found = lexical.search(lexical.build(docs, text), _asking(queries, near, synonyms), 1, wanted="_wanted")
+    most = lexical.best(found, 1).select("qid", F.col("bm25").alias("bm25_max"))
+    both = near.join(found.where("wanted").select("qid", "doc_id", "bm25"), ["qid", "doc_id"], "left").join(most, "qid", "left")
     return fuse(both.na.fill(0.0, ["bm25", "bm25_max"]), docs, k, title)
+
+
+def _asking(queries: DataFrame, near: DataFrame, synonyms: bool) -> DataFrame:
+    """The queries for the lexical search, each with its dense candidates, of which there are a few."""
+    wanted = near.groupBy("qid").agg(F.collect_list("doc_id").alias("_wanted"))
+    asked = queries.withColumn("query", expand(F.col("query"))) if synonyms else queries
+    return asked.join(wanted, "qid", "left").withColumn("_wanted", F.coalesce("_wanted", F.array().cast(wanted.schema["_wanted"].dataType)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import lexical as L
 from corpusmill.operators import packing as K
 from corpusmill.operators import preference as P
 from corpusmill.operators import retrieval as R
@@ -101,6 +102,17 @@ def lexical(spark, sf_dir):
     return R.top(s, 10, "rounded").select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("bm25", 3).alias("bm25"))
 
 
+EVERY_HUNDREDTH = "(SELECT doc_id AS qid, text AS query FROM documents WHERE doc_id % 100 = 0)"
+
+
+@query("lexical_index_top_k", f"SELECT qid, doc_id, rank, bm25 FROM (SELECT qid, doc_id, round(bm25, 3) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 6) DESC, doc_id)::BIGINT AS rank FROM ({BM25.replace('{queries}', EVERY_HUNDREDTH)})) WHERE rank <= 10")
+def indexed(spark, sf_dir):
+    """Whole documents as queries, against an index of all."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = L.search(L.build(d), d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query")), 10)
+    return L.best(found, 10).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("bm25", 3).alias("bm25"))
+
+
 def knowledge(spark, sf_dir):
     """Documents with vectors, and as queries those whose id is divisible by 100: a vector, a hypothetical one (of the next query, or its own if there is none) and the whole text."""
     v = table(spark, sf_dir, "embeddings")
