@@ -37,7 +37,7 @@ from corpusmill.storage import cut
 DEPTH, BITS = 3, 21
 MASK = np.int64((1 << BITS) - 1)
 #: Words of a shard, bytes of text that are cut at a time, and bytes of the corpus for each part.
-SHARD_WORDS, BLOCK_BYTES, PART_BYTES = 1_500_000, 1 << 19, 8 << 20
+SHARD_WORDS, BLOCK_BYTES, PART_BYTES = 600_000, 1 << 19, 8 << 20
 #: Letters A-Z become small; what ends a piece becomes a newline, a tab a space.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(10 if c in _ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -151,7 +151,7 @@ _SCHEMA = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 def _blob(keys: pa.Array, n: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, _SCHEMA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
         out.write_batch(pa.RecordBatch.from_arrays([keys, n], schema=_SCHEMA))
     return sink.getvalue().to_pybytes()
 
