@@ -23,9 +23,9 @@ def test_sql_takes_every_hundredth_row(name):
     assert "_id % 100 = 0" in ORACLES[name] and "_id < " not in ORACLES[name]
 
 
-@pytest.mark.parametrize("name, folder", [("ivf_probed", "sf0.001"), ("ivf_probed", "sf0.1"), ("ivf_top_k", "check_s")])
+@pytest.mark.parametrize("name, folder", [("ivf_probed", "sf0.001"), ("ivf_probed", "sf0.1"), ("ivf_top_k", "sf0.1")])
 def test_probed_searches_as_registered_find_nine_in_ten(spark, name, folder):
-    d = f"/root/testdata/{folder}"  # check_s is above the size from which ivf_top_k probes
+    d = f"/root/testdata/{folder}"
     flat = {(r.qid, r.doc_id) for r in QUERIES["dense_top_k"](spark, d).collect()}
     near = {(r.qid, r.doc_id) for r in QUERIES[name](spark, d).collect()}
     assert len(flat & near) >= 0.9 * len(flat)
