@@ -64,13 +64,16 @@ def resample(df: DataFrame, label: str, key: str, targets: DataFrame, strategy:
     ``targets``: (label, target).  A label without a target keeps its rows; one
     without rows is left out.  ``oversample`` repeats rows evenly, and where a
     class has its target already keeps as many first rows in key order;
-    ``undersample`` takes rows in hash order; ``smart`` does what is needed.
+    ``undersample`` takes rows in hash order; ``smart`` does what is needed;
+    ``draw`` is as ``oversample``, but what a class lacks is drawn with replacement.
     """
+    if strategy == "draw":
+        return drawn(df, label, key, targets, seed)
     if strategy not in ("oversample", "undersample", "smart"):
         raise ValueError(f"unknown strategy: {strategy}")
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_size")).join(targets.select(F.col(label).alias("_l"), F.col("target").alias("_target")), "_l", "left")
     x = ranked(place(df, label, hash_order(key, seed), key, "_hash"), label, key, "_first") if strategy == "oversample" else place(df, label, hash_order(key, seed), key, "_hash").withColumn("_first", F.col("_hash"))
-    x = x.join(F.broadcast(sizes), x[label] == sizes["_l"])
+    x = x.join(few(sizes), x[label] == sizes["_l"])
     even = F.floor(F.col("_target") / F.col("_size")) + (F.col("_hash") <= F.col("_target") % F.col("_size")).cast("int")
     down = (F.col("_hash") <= F.col("_target")).cast("int")
     over = F.when(F.col("_size") >= F.col("_target"), (F.col("_first") <= F.col("_target")).cast("int")).otherwise(even)
@@ -81,6 +84,36 @@ def resample(df: DataFrame, label: str, key: str, targets: DataFrame, strategy:
     return x.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*df.columns, "copy")
 
 
+def drawn(df: DataFrame, label: str, key: str, targets: DataFrame, seed: int = 42) -> DataFrame:
+    """``df`` and, of each class below its target, as many draws with replacement as it lacks; ``copy`` counts a row's replicas from 0.
+
+    Draw i takes the row whose rank by key is the hash of (seed, class, i) modulo
+    the class's size.  Each row makes the draws whose number is its own rank modulo
+    that size, so they are spread as the rows are; draws of one row are counted
+    before they meet it.  Classes at their target keep the first rows in key order,
+    those without a target all; rows without a class are left out.
+    """
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_size")).join(targets.select(F.col(label).alias("_l"), F.col("target").alias("_target")), "_l", "left")
+    x = ranked(df, label, key, "_first")
+    x = x.join(few(sizes), x[label] == sizes["_l"])
+    own = F.col("_first") - 1
+    many = F.ceil((F.col("_target") - F.col("_size") - own) / F.col("_size"))
+    number = x.where(F.col("_target") - F.col("_size") > own).select("_l", "_size", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("_j"))
+    number = number.withColumn("_i", F.col("_j") * F.col("_size") + F.col("_own"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "_l", "_i").cast("binary")), 1, 15), 16, 10).cast("long")
+    picked = number.select(F.col("_l").alias("_pl"), (F.pmod(hashed, F.col("_size")) + 1).alias("_pick")).groupBy("_pl", "_pick").agg(F.count("*").alias("_drawn"))
+    x = x.join(picked, (F.col("_l") == F.col("_pl")) & (F.col("_first") == F.col("_pick")), "left")
+    full = F.col("_size") >= F.col("_target")
+    copies = F.when(full, (F.col("_first") <= F.col("_target")).cast("long")).otherwise(1 + F.coalesce("_drawn", F.lit(0)))
+    x = x.withColumn("_copies", copies).where("_copies > 0")
+    return x.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int")))).select(*df.columns, "copy")
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, marked for broadcast if it has no more rows than ``most``."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
     """Rows of each class."""
     return df.groupBy(label).agg(F.count("*").alias("n"))
@@ -128,7 +161,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42) -> Dat
     """``df`` with ``split``, 85, 10 and 5 percent within each stratum; small ones keep a row for training, then for validation."""
     x = place(df, label, hash_order(key, seed), key)
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
-    x = x.join(F.broadcast(sizes), x[label].eqNullSafe(sizes["_l"]))
+    x = x.join(few(sizes), x[label].eqNullSafe(sizes["_l"]))
     train = F.greatest(F.lit(1), F.floor(F.col("_n") * 85 / 100))
     valid = F.when(F.col("_n") > 2, F.greatest(F.lit(1), F.floor(F.col("_n") * 10 / 100))).otherwise(0)
     return x.withColumn("split", F.when(F.col("place") <= train, "train").when(F.col("place") <= train + valid, "valid").otherwise("test")).select(*df.columns, "split")

@@ -6,8 +6,11 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators.quantiles import quantiles
+
 # The weights and bounds of the score gate and of grades.
 GATE_DEFAULTS = {"min_safety": 6.0, "min_relevance": 7.0, "min_authenticity": 6.0, "max_uncertainty": 7.0, "min_helpfulness": 6.0, "min_overall": 6.5}
 LEVELS = ((4.5, "EXCELLENT"), (3.5, "GOOD"), (2.5, "ACCEPTABLE"))
@@ -39,10 +42,12 @@ def long_scores(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def statistics(df: DataFrame, *columns: str, sample: bool = False) -> DataFrame:
-    """Mean, deviation, least, greatest and median of columns; deviation of the population or of a ``sample``."""
+    """Mean, deviation, least, greatest and exact median of columns; deviation of the population or of a ``sample``."""
     std = F.coalesce(F.stddev_samp("value"), F.lit(0.0)) if sample else F.stddev_pop("value")
     r = lambda c: F.round(c, 6)
-    return long_scores(df, *columns).groupBy("metric").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), r(std).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), r(F.median("value")).alias("median"))
+    rows = long_scores(df, *columns)
+    middle = quantiles(rows, "metric", "value", [0.5]).select("metric", r(F.col("quantile")).alias("median"))
+    return rows.groupBy("metric").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), r(std).alias("std"), F.min("value").alias("min"), F.max("value").alias("max")).join(middle, "metric", "left")
 
 
 def rate(hit: Column, among: Column | None = None, times: float = 1.0) -> Column:
@@ -151,7 +156,13 @@ def rouge(df: DataFrame, key: str, guess: str, truth: str, n: int) -> DataFrame:
 
 
 def rouge_l(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:
-    """``(key, rouge_l)``: F1 of the longest common subsequence of token arrays, by bit-parallel rows."""
+    """``(key, rouge_l)``: F1 of the longest common subsequence of token arrays."""
+    x = longest_common(df, key, guess, truth)
+    return x.select(key, F.when(F.col("hit") > 0, F.round(2 * F.col("hit") / (F.col("n_guess") + F.col("n_truth")), 6)).otherwise(0.0).alias("rouge_l"))
+
+
+def longest_common(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:
+    """``(key, hit, n_guess, n_truth)``: the length of the longest common subsequence, by bit-parallel rows, and both lengths."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -169,8 +180,49 @@ def rouge_l(df: DataFrame, key: str, guess: str, truth: str) -> DataFrame:
                 for w in y:
                     hit = row & places.get(w, 0)
                     row = ((row + hit) | (row - hit)) & full
-                lcs = len(x) - row.bit_count()
-                out.append(round(2 * lcs / (len(x) + len(y)), 6) if lcs else 0.0)
-            yield pd.DataFrame({key: b[key], "rouge_l": out})
+                out.append((len(x) - row.bit_count(), len(x), len(y)))
+            yield pd.DataFrame({key: b[key], **{c: [o[i] for o in out] for i, c in enumerate(("hit", "n_guess", "n_truth"))}})
+
+    return df.select(key, F.col(guess).alias("g"), F.col(truth).alias("t")).mapInPandas(run, f"{key} {kind}, hit long, n_guess long, n_truth long")
+
 
-    return df.select(key, F.col(guess).alias("g"), F.col(truth).alias("t")).mapInPandas(run, f"{key} {kind}, rouge_l double")
+def rouge_parts(matches: DataFrame, name: str) -> DataFrame:
+    """One row, means over all texts: ``name_p`` (of the guess's parts), ``name_r`` (of the truth's) and ``name_f``, of rows ``(hit, n_guess, n_truth)``."""
+    part = lambda n: F.avg(F.when(F.col("hit") > 0, F.col("hit") / F.greatest(n, F.lit(1))).otherwise(0.0))
+    return matches.agg(part(F.col("n_guess")).alias(f"{name}_p"), part(F.col("n_truth")).alias(f"{name}_r"), part((F.col("n_guess") + F.col("n_truth")) / 2).alias(f"{name}_f"))
+
+
+def ranked_relevance(hits: DataFrame, ks=(1, 3, 5, 10)) -> DataFrame:
+    """One row, means over queries, from rows ``(qid, rank, label)``: ``p_k``, ``r_k`` among the relevant ones retrieved, and ``ndcg_k`` with gains ``2^label - 1``.
+
+    The best order is that of the query's own labels; a query without a relevant
+    row has 0 throughout.  A query's hits are a few.
+    """
+    w = W.partitionBy("qid").orderBy(F.desc("label"), "rank")
+    x = hits.withColumn("ideal", F.row_number().over(w)).withColumn("gain", F.pow(F.lit(2.0), "label") - 1)
+    parts = [F.count_if(F.col("label") > 0).alias("relevant")]
+    for k in ks:
+        dcg = lambda place: F.sum(F.when(F.col(place) <= k, F.col("gain") / F.log2(F.col(place) + 1)).otherwise(0.0))
+        parts += [F.count_if((F.col("label") > 0) & (F.col("rank") <= k)).alias(f"hit{k}"), dcg("rank").alias(f"dcg{k}"), dcg("ideal").alias(f"best{k}")]
+    q = x.groupBy("qid").agg(*parts)
+    mean = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
+    over = lambda a, b: F.when(b > 0, a / F.when(b > 0, b))
+    return q.agg(*[c for k in ks for c in (mean(F.col(f"hit{k}") / k).alias(f"p_{k}"), mean(over(F.col(f"hit{k}"), F.col("relevant"))).alias(f"r_{k}"), mean(over(F.col(f"dcg{k}"), F.col(f"best{k}"))).alias(f"ndcg_{k}"))])
+
+
+def rag_bundle(texts: DataFrame, hits: DataFrame | None = None, key: str = "id", guess: str = "g", truth: str = "t", longest: bool = True) -> DataFrame:
+    """``(metric, value)`` of answers and what was retrieved for them.
+
+    Means of sentence BLEU-1 to 4, of ROUGE-1, ROUGE-2 and, with ``longest``, ROUGE-L
+    as precision, recall and F over token arrays, and of ``ranked_relevance`` if
+    there are ``hits``.  An empty table has no values.
+    """
+    scores = bleu(texts, key, guess, truth)
+    rows = [scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c != key])]
+    rows += [rouge_parts(overlap(texts, key, guess, truth, n), f"rouge_{n}") for n in (1, 2)]
+    if longest:
+        rows.append(rouge_parts(longest_common(texts, key, guess, truth), "rouge_l"))
+    if hits is not None:
+        rows.append(ranked_relevance(hits))
+    long = [r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.round(c, 6).alias("value")) for c in r.columns])).alias("x")).select("x.*") for r in rows]
+    return reduce(DataFrame.union, long).where("value IS NOT NULL")

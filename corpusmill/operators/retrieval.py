@@ -15,7 +15,7 @@ from corpusmill.functions.text import char_jaccard, words_and_cjk
 from corpusmill.storage import cut
 
 K1, B = 1.5, 0.75
-DENSE_WEIGHT, LEXICAL_WEIGHT, GATE, SAME_TITLE, HYPOTHETICAL = 0.7, 0.3, 0.35, 0.85, 0.4
+DENSE_WEIGHT, LEXICAL_WEIGHT, GATE, WEAK_LEXICAL, SAME_TITLE, HYPOTHETICAL = 0.7, 0.3, 0.35, 0.1, 0.85, 0.4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -169,12 +169,17 @@ def distinct_titles(hits: DataFrame, k: int, same: float = SAME_TITLE) -> DataFr
     return rows.select("qid", F.posexplode(F.slice(keep, 1, k)).alias("p", "x")).select("qid", (F.col("p") + 1).alias("rank"), "x.doc_id", "x.title", "x.score")
 
 
+def passes(dense: Column, lexical: Column, gate: float = GATE) -> Column:
+    """Whether a hit stays: its dense score reaches the gate, or its share of the best lexical score is not weak."""
+    return ~((dense < gate) & (lexical < WEAK_LEXICAL))
+
+
 def fuse(candidates: DataFrame, docs: DataFrame, k: int, title: Column, gate: float = GATE) -> DataFrame:
     """Fused, gated, ranked and told apart: candidates with ``dense``, ``dense_norm`` and ``bm25``, zero where absent."""
     w = W.partitionBy("qid")
     most = F.max("bm25_max").over(w)
     x = candidates.withColumn("lex", F.col("bm25") / F.when(most > 0, most).otherwise(1.0))
-    x = x.where(~((F.col("dense") < gate) & (F.col("lex") < 0.1))).withColumn("score", F.round(DENSE_WEIGHT * F.col("dense_norm") + LEXICAL_WEIGHT * F.col("lex"), 4))
+    x = x.where(passes(F.col("dense"), F.col("lex"), gate)).withColumn("score", F.round(DENSE_WEIGHT * F.col("dense_norm") + LEXICAL_WEIGHT * F.col("lex"), 4))
     x = x.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), F.desc("dense_norm"), "doc_id")))
     return distinct_titles(x.join(docs.select("doc_id", title.alias("title")), "doc_id"), k)
 

@@ -59,6 +59,17 @@ QUERIES["balance_max"] = lambda spark, sf_dir: out(B.balance(docs(spark, sf_dir)
 ORACLES["balance_max"] = balanced(UNDER, "least(n, 120)")
 
 
+@query("balance_draws", """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS f, count(*) OVER (PARTITION BY lang) AS n FROM documents), t AS (SELECT DISTINCT lang, n, max(n) OVER () * 2 AS target FROM r),
+p AS (SELECT lang, ('0x' || substr(md5('42|' || lang || '|' || i), 1, 15))::BIGINT % n + 1 AS pick FROM (SELECT lang, n, unnest(range(target - n)) AS i FROM t)), c AS (SELECT lang, pick, count(*) AS k FROM p GROUP BY ALL)
+SELECT doc_id, r.lang, unnest(range(1 + coalesce(k, 0)))::BIGINT AS copy FROM r LEFT JOIN c ON c.lang = r.lang AND c.pick = r.f""")
+def draws(spark, sf_dir):
+    """All languages brought to twice the largest by draws with replacement."""
+    d = docs(spark, sf_dir)
+    sizes = B.class_sizes(d, "lang")
+    targets = sizes.join(F.broadcast(sizes.agg((2 * F.max("n")).alias("target")))).select("lang", "target")  # one row
+    return out(B.resample(d, "lang", "doc_id", targets, "draw"))
+
+
 @query("balance_statistics", f"SELECT lang, any_value(n)::BIGINT AS original, any_value(target)::BIGINT AS target, sum(c)::BIGINT AS final FROM (SELECT *, {SMART} AS c FROM (SELECT *, least(n, 120) AS target FROM ({RANKED}))) GROUP BY lang")
 def statistics(spark, sf_dir):
     d = docs(spark, sf_dir)

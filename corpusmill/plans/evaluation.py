@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
 from corpusmill.operators import evaluation as E
+from corpusmill.operators import quantiles as Q
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import ORACLES as CONV
@@ -145,7 +146,16 @@ LOSS = "SELECT l_orderkey, l_linenumber, l_discount * 20 AS loss, l_quantity AS
 def perplexity(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 20).alias("loss"), F.col("l_quantity").alias("n"))
     p, r = F.exp("loss"), lambda c, d=6: F.round(c, d)
-    return x.agg(r(F.avg(p)).alias("mean"), r(F.median(p)).alias("median"), r(F.stddev_pop(p), 5).alias("std"), r(F.min(p)).alias("min"), r(F.max(p)).alias("max"), r(F.exp(F.sum(F.col("loss") * F.col("n")) / F.sum("n"))).alias("weighted"), r(F.exp(F.least(F.avg("loss"), F.lit(20.0)))).alias("batch"))
+    middle = Q.quantiles(x.select(F.lit(1).alias("all"), p.alias("p")), "all", "p", [0.5]).select(r(F.col("quantile")).alias("median"))
+    return x.agg(r(F.avg(p)).alias("mean"), r(F.stddev_pop(p), 5).alias("std"), r(F.min(p)).alias("min"), r(F.max(p)).alias("max"), r(F.exp(F.sum(F.col("loss") * F.col("n")) / F.sum("n"))).alias("weighted"), r(F.exp(F.least(F.avg("loss"), F.lit(20.0)))).alias("batch")).join(F.broadcast(middle))  # one row each
+
+
+PRICES = [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query("quantiles_by_group", "SELECT l_returnflag AS flag, share, round(quantile, 4) AS quantile FROM (SELECT l_returnflag, unnest([0.01, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS share, unnest(quantile_cont(l_extendedprice::DOUBLE, [0.01, 0.25, 0.5, 0.75, 0.99])) AS quantile FROM lineitem GROUP BY l_returnflag)")
+def price_quantiles(spark, sf_dir):
+    return Q.quantiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", PRICES).select(F.col("l_returnflag").alias("flag"), "share", F.round("quantile", 4).alias("quantile"))
 
 
 #: Predictions: the label's guess is wrong where the vector's id ends in 7.

@@ -11,7 +11,7 @@ from corpusmill.operators import keywords as K
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import PAIRS, pairs
-from corpusmill.plans.evaluation import _GEN, _overlap_sql, generated
+from corpusmill.plans.evaluation import _GEN, _overlap_sql, bleu_sql, generated
 from corpusmill.plans.retrieval import DENSE, vectors
 
 QUERIES, ORACLES = {}, {}
@@ -86,11 +86,38 @@ def own_k(spark, sf_dir):
     return R.nearest(d, q, 4).where(F.col("rank") <= F.floor(F.col("qid") / 100) % 4 + 1).select("qid", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("rag_evaluation", f"SELECT round(avg(rr), 6) AS reciprocal_rank FROM (SELECT qid, 1 / min(rank) AS rr FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rank FROM ({DENSE})) h JOIN embeddings a ON a.vec_id = h.qid JOIN embeddings b ON b.vec_id = h.doc_id AND a.label = b.label WHERE rank <= 10 GROUP BY qid)")
-def rag(spark, sf_dir):
+KS = (1, 3, 5, 10)
+
+
+def answers_and_hits(spark, sf_dir):
+    """Turns as answers to the turns before; the ten nearest rows of each hundredth one, relevant if of its label."""
     d, q = vectors(spark, sf_dir)
-    hits = R.nearest(d, q, 10).join(q.select("qid", "qlabel"), "qid").join(d.select("doc_id", "label"), "doc_id").where("label = qlabel")
-    return hits.groupBy("qid").agg((1 / F.min("rank")).alias("rr")).agg(F.round(F.avg("rr"), 6).alias("reciprocal_rank"))
+    near = R.nearest(d, q, 10).join(q.select("qid", "qlabel"), "qid").join(d.select("doc_id", "label"), "doc_id")
+    return generated(spark, sf_dir), near.select("qid", "rank", (F.col("label") == F.col("qlabel")).cast("int").alias("label"))
+
+
+def _rag_sql() -> str:
+    mean = lambda n: f"(SELECT avg(CASE WHEN hit > 0 THEN hit / ng ELSE 0 END) AS rouge_{n}_p, avg(CASE WHEN hit > 0 THEN hit / nt ELSE 0 END) AS rouge_{n}_r, avg(CASE WHEN hit > 0 THEN 2 * hit / (ng + nt) ELSE 0 END) AS rouge_{n}_f FROM (SELECT gen.id, coalesce(hit, 0) AS hit, greatest(len(g) - {n - 1}, 0) AS ng, greatest(len(t) - {n - 1}, 0) AS nt FROM gen LEFT JOIN {_overlap_sql(n)} o ON o.id = gen.id))"
+    at = ", ".join(f"avg(h{k} / {k}) AS p_{k}, avg(CASE WHEN n > 0 THEN h{k} / n ELSE 0 END) AS r_{k}, avg(CASE WHEN b{k} > 0 THEN d{k} / b{k} ELSE 0 END) AS ndcg_{k}" for k in KS)
+    of = ", ".join(f"sum(label) FILTER (WHERE rank <= {k}) AS h{k}, sum(label / log2(rank + 1)) FILTER (WHERE rank <= {k}) AS d{k}, sum(label / log2(ideal + 1)) FILTER (WHERE ideal <= {k}) AS b{k}" for k in KS)
+    parts = [f"(SELECT {', '.join(f'avg(bleu_{n}) AS bleu_{n}' for n in (1, 2, 3, 4))} FROM ({bleu_sql(_GEN)}))", mean(1), mean(2), f"(SELECT {at} FROM (SELECT qid, sum(label) AS n, {of} FROM i GROUP BY qid))"]
+    names = [[f"bleu_{n}" for n in (1, 2, 3, 4)], *[[f"rouge_{n}_{x}" for x in "prf"] for n in (1, 2)], [f"{x}_{k}" for k in KS for x in ("p", "r", "ndcg")]]
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS metric, round({c}, 6) AS value FROM {part}" for part, cs in zip(parts, names, strict=True) for c in cs)
+    return f"""WITH gen AS ({_GEN}),
+h AS (SELECT h.qid, h.rank, (a.label = b.label)::INT AS label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS rank FROM ({DENSE})) h JOIN embeddings a ON a.vec_id = h.qid JOIN embeddings b ON b.vec_id = h.doc_id WHERE rank <= 10),
+i AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label DESC, rank) AS ideal FROM h) {rows}"""
+
+
+@query("rag_evaluation", _rag_sql())
+def rag(spark, sf_dir):
+    texts, hits = answers_and_hits(spark, sf_dir)
+    return E.rag_bundle(texts, hits, longest=False)
+
+
+@query("rag_evaluation_longest")
+def rag_longest(spark, sf_dir):
+    """The whole bundle, longest common subsequences besides."""
+    return E.rag_bundle(*answers_and_hits(spark, sf_dir))
 
 
 @query("preference_render", f"SELECT conv_id, turn, md5('<|im_start|>user' || chr(10) || q || '<|im_end|>' || chr(10)) AS prompt, md5(a || '<|im_end|>') AS chosen FROM ({PAIRS})")

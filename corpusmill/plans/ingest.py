@@ -191,11 +191,14 @@ def load_kinds(spark, sf_dir):
     return out
 
 
-@query("read_json_first", "SELECT count(*)::BIGINT AS n, 1000 AS lines FROM (SELECT * FROM documents LIMIT 20)")
+@query("read_json_first", "SELECT least(50, count(*))::BIGINT AS n, least(50, count(*))::BIGINT AS known FROM documents")
 def read_first(spark, sf_dir):
-    line = F.to_json(F.struct(F.concat(F.lit("q"), "id").alias("question")))
-    path = written(spark.range(1000).select(line.alias("value")), "first")
-    return R.sniffed(spark, path, most=20).agg(F.count("question").alias("n"), F.lit(1000).alias("lines"))
+    """All documents as lines, of which the reader takes 50 and leaves the rest unread; each is held against the table."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"))
+    path = written(d.select(F.to_json(F.struct("id", "question")).alias("value")), "first")
+    got = R.sniffed(spark, path, most=50).select("id", F.md5(F.col("question").cast("binary")).alias("sum"))
+    known = d.select("id", F.md5(F.col("question").cast("binary")).alias("sum"), F.lit(1).alias("known"))
+    return got.join(known, ["id", "sum"], "left").agg(F.count("*").alias("n"), F.count("known").alias("known"))
 
 
 @query("write_splits", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n FROM documents GROUP BY 1")

@@ -150,10 +150,23 @@ def candidates(spark, sf_dir):
     return R.nearest(d, q, 15).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.min("dense"), 5).alias("low"), F.round(F.max("dense"), 5).alias("high"))
 
 
-@query("relevance_gate", f"SELECT qid, doc_id FROM ({TOP}) WHERE NOT (dense < 0.5 AND doc_id % 3 = 0)")
+_KB_BM25 = BM25.replace("{queries}", "(SELECT doc_id AS qid, text AS query FROM kb WHERE doc_id % 100 = 0)").replace("FROM documents", "FROM kb")
+
+
+@query("relevance_gate", f"""WITH kb AS ({KB}), q AS (SELECT doc_id AS qid, e, n FROM kb WHERE doc_id % 100 = 0),
+s AS (SELECT qid, k.doc_id, {DOT.format('k.e', 'q.e')} / (k.n * q.n) AS dense FROM q CROSS JOIN kb k),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc_id) AS r FROM s) WHERE r <= 15),
+b AS (SELECT qid, doc_id, bm25 / max(bm25) OVER (PARTITION BY qid) AS lex FROM ({_KB_BM25}))
+SELECT t.qid, t.doc_id FROM t LEFT JOIN b ON b.qid = t.qid AND b.doc_id = t.doc_id WHERE NOT (dense < {R.GATE} AND coalesce(lex, 0) < {R.WEAK_LEXICAL})""")
 def gate(spark, sf_dir):
-    d, q = vectors(spark, sf_dir)
-    return R.nearest(d, q, 5).where(~((F.col("dense") < 0.5) & (F.col("doc_id") % 3 == 0))).select("qid", "doc_id")
+    """Dense hits that the gate lets pass, lexical scores as shares of the query's best."""
+    d, q = knowledge(spark, sf_dir)
+    near = R.nearest(d, q, 15)
+    found = L.search(L.build(d), q.join(near.groupBy("qid").agg(F.collect_list("doc_id").alias("near")), "qid"), 1, wanted="near")
+    most = L.best(found, 1).select("qid", F.col("bm25").alias("most"))
+    lex = found.where("wanted").join(most, "qid").select("qid", "doc_id", (F.col("bm25") / F.col("most")).alias("lex"))
+    x = near.join(lex, ["qid", "doc_id"], "left").na.fill(0.0, ["lex"])
+    return x.where(R.passes(F.col("dense"), F.col("lex"))).select("qid", "doc_id")
 
 
 @query("corpus_lookup", f"SELECT h.qid, h.doc_id, d.text[:50] AS title FROM ({TOP}) h JOIN documents d ON d.doc_id = h.doc_id")
@@ -218,11 +231,11 @@ def packed(spark, sf_dir):
     return K.pack(d, "doc_id", "t", 512, "</s>").select("chunk", F.md5(F.array_join("tokens", " ").cast("binary")).alias("out"))
 
 
-@query("batch_padding", "SELECT doc_id, batch, longest, n, (longest - n)::BIGINT AS ignored FROM (SELECT doc_id, doc_id // 8 AS batch, least(length(text), 200)::BIGINT AS n, max(least(length(text), 200)) OVER (PARTITION BY doc_id // 8)::BIGINT AS longest FROM documents)")
+@query("batch_padding", "SELECT doc_id, batch, longest, n, (longest - n)::BIGINT AS ignored FROM (SELECT doc_id, doc_id // 8 AS batch, length(text)::BIGINT AS n, max(length(text)) OVER (PARTITION BY doc_id // 8)::BIGINT AS longest FROM documents)")
 def padding(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.sequence(F.lit(1), F.least(F.length("text"), F.lit(200))).alias("ids")).withColumn("longest", F.max(F.size("ids")).over(W.partitionBy("batch")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.when(F.length("text") > 0, F.sequence(F.lit(1), F.length("text"))).otherwise(F.array().cast("array<int>")).alias("ids")).withColumn("longest", F.max(F.size("ids")).over(W.partitionBy("batch")))
     x = d.withColumn("p", K.padded(F.col("ids"), F.col("longest"), 0))
     return x.select("doc_id", "batch", F.size("p.ids").cast("long").alias("longest"), F.aggregate("p.mask", F.lit(0), lambda a, m: a + m).cast("long").alias("n"), F.size(F.filter("p.labels", lambda y: y == K.IGNORED)).cast("long").alias("ignored"))
 

@@ -133,3 +133,15 @@ def test_readers_tell_lines_apart(spark, tmp_path):
 def test_lcs_metric(spark):
     df = spark.createDataFrame([("1", list("abcd"), list("axcy")), ("2", [], list("a"))], "id string, g array<string>, t array<string>")
     assert {r.id: r.rouge_l for r in evaluation.rouge_l(df, "id", "g", "t").collect()} == {"1": 0.5, "2": 0.0}
+
+
+def test_draws_with_replacement(spark):
+    from corpusmill.operators.balance import resample
+
+    rows = [(i, "a" if i < 50 else "b" if i < 1050 else None if i < 1060 else "c") for i in range(1100)]
+    targets = spark.createDataFrame([("a", 2050), ("b", 400), ("zz", 9)], "lang string, target long")
+    made = [resample(spark.createDataFrame(rows, "id long, lang string").repartition(n), "lang", "id", targets, "draw") for n in (1, 7)]
+    got, again = [sorted((r.id, r.lang, r.copy) for r in m.collect()) for m in made]
+    assert got == again and sum(x[1] == "a" for x in got) == 2050 and [x[0] for x in got if x[1] == "b"] == list(range(50, 450)) and sum(x[1] == "c" for x in got) == 40
+    times = [sum(x[0] == i for x in got) - 1 for i in range(50)]  # 2000 draws among 50: mean 40, variance near 39
+    assert sum(times) == 2000 and 15 < sum((t - 40) ** 2 for t in times) / 50 < 90
