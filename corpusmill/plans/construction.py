@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from corpusmill.functions import synonyms as S
 from corpusmill.functions.text import simhash, tokens
 from corpusmill.operators import construction as N
+from corpusmill.operators import dictionary as G
+from corpusmill.operators.balance import ranked
 from corpusmill.operators.conversation import repair_messages
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import PAIRS, SYSTEM, pairs
 from corpusmill.sources import readers as R
 from corpusmill.sources import writers as Wr
-from corpusmill.storage import new_path
+from corpusmill.storage import cut, new_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -165,3 +167,16 @@ def scan(spark, sf_dir):
     d.where("doc_id % 3 = 1").select(F.col("source").alias("answer")).write.option("header", True).csv(f"{path}/b/c")
     d.where("doc_id % 3 = 2").select("h").write.text(f"{path}/d")
     return R.scan(spark, path).select("question", "answer", "text")
+
+
+TERMS = "SELECT term, row_number() OVER (ORDER BY term)::BIGINT AS ord FROM (SELECT DISTINCT term FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS term FROM benchmark UNION ALL SELECT p_name FROM part) WHERE term <> '')"
+
+
+@query("dictionary_terms", f"""WITH t AS ({TERMS}), h AS (SELECT doc_id, term, ord, strpos(text, term) - 1 AS place FROM documents JOIN t ON contains(text, term))
+SELECT doc_id, arg_min(term, ord) AS term, arg_min(place, ord)::BIGINT AS place, count(*)::BIGINT AS n_terms FROM h GROUP BY doc_id""")
+def dictionary(spark, sf_dir):
+    """All words of the benchmark and all names of parts, in all documents; of each the first in the order of the dictionary."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("term"))
+    terms = words.union(table(spark, sf_dir, "part").select("p_name")).where("term <> ''").distinct()
+    order = cut(ranked(terms, None, "term", "ord"), "dictionary")
+    return G.first_terms(G.find_terms(table(spark, sf_dir, "documents", "doc_id", "text"), order), order).drop("n_places")
