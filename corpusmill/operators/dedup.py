@@ -41,15 +41,19 @@ def near_pairs(df: DataFrame, key: str, words: str, threshold: float, exact: boo
 
     Exact: each set sends its rarest words, as many as a partner must share one
     of (prefix filter in the order of global frequency), and pairs that share
-    one are verified on the sets.  Equal sets are compared once, by their first.
+    one, and whose sizes and places of it leave room for enough in common
+    (positional filter), are verified on the sets.  Equal sets are compared once, by their first.
     """
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("w")).where("size(w) > 0")
     rank = sets.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     ranked = sets.select("id", F.explode("w").alias("x")).join(rank, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("r"), F.count("*").cast("int").alias("size"))
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = cut(ranked.select("id", "size", F.explode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["x"])).alias("x")), "prefix")
-    a, b = (prefix.select(F.col("id").alias(n), F.col("size").alias("s" + n), "x") for n in ("a", "b"))
-    near = a.join(b, "x").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)).select("a", "b").distinct()
+    prefix = cut(ranked.select("id", "size", F.posexplode(F.transform(F.slice("r", F.lit(1), keep), lambda x: x["x"])).alias("i", "x")), "prefix")
+    a, b = (prefix.select(F.col("id").alias(n), F.col("size").alias("s" + n), F.col("i").alias("i" + n), "x") for n in ("a", "b"))
+    sizes = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9
+    # Of what the two have in common, no more stands before the word than the shorter way to it, nor behind it than the shorter rest.
+    most = F.least("ia", "ib") + 1 + F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) - 1
+    near = a.join(b, "x").where((F.col("a") < F.col("b")) & sizes & (most * (1 + threshold) >= threshold * (F.col("sa") + F.col("sb")) - 1e-6)).select("a", "b").distinct()
     side = lambda n: sets.select(F.col("id").alias(n), F.col("w").alias("w" + n))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
