@@ -203,6 +203,11 @@ def _finder(name: str, sent, rate: float, key: str, item: str):
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
-    """Each document and benchmark item that occurs in it, with the number of edits."""
+    """Each document and benchmark item that occurs in it, with the least number of edits.
+
+    A null or empty text or item gives no row; very long texts are searched whole;
+    of several places of an item the one with the fewest edits counts; repeated
+    documents give rows each; without documents or items there are no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

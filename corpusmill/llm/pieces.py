@@ -266,7 +266,12 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "ids", text: str = "text"
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """The ids of all documents, and whether decoding gives the text again."""
+    """The ids of all documents, and whether decoding gives the text again.
+
+    A null or empty text has no ids; very long texts are encoded whole; of equal
+    scores the library's choice is taken; repeated rows are encoded each; an empty
+    table gives an empty one; other columns are not read.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

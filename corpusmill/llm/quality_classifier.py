@@ -163,8 +163,14 @@ def classify(df: DataFrame, model: RuleEnsemble, text: str = "text", threshold:
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """The contract's scores of all documents, learned from rows that aren't held out."""
+    """The contract's scores of all documents, learned from rows that aren't held out.
+
+    A null or empty text is scored as one without words; very long
+    texts are measured whole; equal texts have equal scores, repeated rows each; a
+    row without a key is not held out, and teaches nothing; an empty table gives an
+    empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(~held_out)
-    return classify(docs, train(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return classify(docs, train(docs, labels)).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

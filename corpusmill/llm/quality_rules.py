@@ -122,7 +122,12 @@ def keep_good(df: DataFrame, text: str = "text", rules=RULES, stop_words=STOP_WO
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of the rules over all documents."""
+    """The contract's digest of the rules over all documents.
+
+    A null or empty text has no words and is not kept; very long texts are measured
+    whole; each row is judged by itself, so ties and repeated rows do not matter; an
+    empty table gives an empty one; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return quality_rules(docs).select(

@@ -147,7 +147,12 @@ def digest(secrets: Column) -> dict[str, Column]:
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest over all documents; a source owns one repository a language."""
+    """The contract's digest over all documents; a source owns one repository a language.
+
+    A null or empty text has no spans; very long texts are scanned whole; spans of
+    one start come in the order of their kinds; repeated rows are returned each; an
+    empty table gives an empty one; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = secret_scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     return found.select("doc_id", *[c.alias(k) for k, c in digest(F.col("secrets")).items()])

@@ -178,7 +178,12 @@ def token_counts(df: DataFrame, path: str, text: str = "text", name: str = "n_to
 
 
 def op2_token_counts(spark, sf_dir: str, limit: int = 2048) -> DataFrame:
-    """The contract's counts over all documents."""
+    """The contract's counts over all documents.
+
+    A null or empty text has no tokens; very long texts are counted whole, in
+    chunks; repeated rows are counted each; equal merges follow the library's
+    order; an empty table gives an empty one; other columns are not read.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
