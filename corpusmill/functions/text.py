@@ -36,6 +36,28 @@ DATES = (
     r"\d{1,2}[-/月]\d{1,2}[-/日号]?\s*,?\s*\d{4}",
     r"\d{1,2}(?:st|nd|rd|th)?\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4}",
 )
+#: What the corpus cleaner removes.
+NOT_ALLOWED = r"(?U)[^\w\s\x{4e00}-\x{9fff}.,?!;:()，。？！；：（）*]"
+DIAGNOSIS_HEADINGS = ("诊断", "初步诊断", "临床诊断", "出院诊断")
+DIAGNOSIS_LINE = r"[：:]\s*(.+?)(?=\n|$)"
+PRESCRIPTION_LINE = r"(?:用药|处方|医嘱)[：:]\s*(.+?)(?=\n|$)"
+MEDICINE_NAME = r"^([^\d]+)"
+MEDICINE_DOSE = r"(\d+\.?\d*\s*(?:mg|g|ml|mcg|μg|IU|U|单位))"
+PATIENT = {
+    "name": r"(?:姓名|患者)[：:]\s*([^\s,，。.]+)",
+    "gender": "性别[：:]\\s*(男|女)",
+    "age": r"年龄[：:]\s*(\d+)(?:\s*岁)?",
+    "patient_id": r"(?:ID|病号|编号|档案号)[：:]\s*([A-Za-z0-9-]+)",
+    "phone": r"(?:电话|手机|联系方式)[：:]\s*(\d{3,}[-\s]?\d{4,}(?:[-\s]?\d{4})?)",
+    "visit_date": r"(?:日期|就诊日期|门诊日期)[：:]\s*(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)",
+}
+PRESSURE = r"BP[：:]\s*(\d+)/(\d+)\s*(?:mmHg)?"
+TEMPERATURE = r"(?:T|BT|体温)[：:]\s*(\d+\.?\d*)\s*(?:℃|度)"
+GLUCOSE = r"血糖[：:]\s*(\d+\.?\d*)\s*(?:mmol/L)"
+NAMED_READING = r"(?U)(\w+)\s*(?:[:：])\s*(\d+\.?\d*)\s*(?:[a-zA-Z]+(?:/[a-zA-Z]+)?)?"
+READ_ELSEWHERE = ("BP", "T", "BT", "体温", "血糖")
+REWORDINGS = (("是什么", "有哪些"), ("如何", "怎么样"), ("头痛", "头痛(头疼)"), ("感冒", "感冒(上呼吸道感染)"))
+KEYWORD_FORM = ("关于", "和", "的信息")
 # End of the fixed values.
 
 
@@ -91,7 +113,7 @@ def normalise(c: Column, lowercase=True, tags=True, urls=True, emoji=False, unic
 def clean(c: Column) -> Column:
     """The corpus cleaner without masking: tags, URLs, spaces, allowed characters, punctuation, ends."""
     c = collapse(strip_urls(strip_tags(F.coalesce(c, F.lit("")))))
-    return strip(punctuation(F.regexp_replace(c, r"(?U)[^\w\s\x{4e00}-\x{9fff}.,?!;:()，。？！；：（）*]", ""), more=False))
+    return strip(punctuation(F.regexp_replace(c, NOT_ALLOWED, ""), more=False))
 
 
 def parts(c: Column, pattern: str) -> Column:
@@ -237,7 +259,7 @@ def reading_ease_zh(c: Column, segment=words_and_cjk) -> Column:
 def space_units(c: Column, any_case: bool = False) -> Column:
     """A number and a known unit with one space between; mixed-case units only with ``any_case``."""
     known = [u for u in UNITS if any_case or u == u.lower()]
-    known = "|".join(sorted((u.replace("/", "/") for u in known), key=len, reverse=True))
+    known = "|".join(sorted(known, key=len, reverse=True))
     return F.regexp_replace(c, rf"(\d+(?:\.\d+)?)\s*((?i:{known}))(?![a-zA-Z/])", "$1 $2")
 
 
@@ -262,7 +284,7 @@ def classify(c: Column) -> Column:
 
 def diagnoses(c: Column) -> Column:
     """Diagnoses behind their headings, split at the first kind of mark present, each once."""
-    found = F.concat(*[find_all(c, rf"{p}[：:]\s*(.+?)(?=\n|$)", 1) for p in ("诊断", "初步诊断", "临床诊断", "出院诊断")])
+    found = F.concat(*[find_all(c, heading + DIAGNOSIS_LINE, 1) for heading in DIAGNOSIS_HEADINGS])
     cut = lambda x, m: F.filter(F.transform(F.split(x, m), strip), lambda y: y != "")
     each = lambda x: F.when(F.contains(x, F.lit("；")), cut(x, "；")).when(F.contains(x, F.lit(";")), cut(x, ";")).when(F.contains(x, F.lit("，")), cut(x, "，")).when(F.contains(x, F.lit(",")), cut(x, ",")).otherwise(F.array(strip(x)))
     return F.array_distinct(F.flatten(F.transform(found, each)))
@@ -270,36 +292,31 @@ def diagnoses(c: Column) -> Column:
 
 def medications(c: Column) -> Column:
     """Array of (name, dose, raw) behind a prescription heading, else of the known names that occur."""
-    items = F.filter(F.flatten(F.transform(find_all(c, r"(?:用药|处方|医嘱)[：:]\s*(.+?)(?=\n|$)", 1), lambda x: F.transform(F.split(x, "[,，;；]"), strip))), lambda x: x != "")
-    dose = r"(\d+\.?\d*\s*(?:mg|g|ml|mcg|μg|IU|U|单位))"
-    row = lambda x: F.struct(strip(F.regexp_extract(x, r"^([^\d]+)", 1)).alias("name"), F.regexp_extract(x, dose, 1).alias("dose"), x.alias("raw"))
+    items = F.filter(F.flatten(F.transform(find_all(c, PRESCRIPTION_LINE, 1), lambda x: F.transform(F.split(x, "[,，;；]"), strip))), lambda x: x != "")
+    row = lambda x: F.struct(strip(F.regexp_extract(x, MEDICINE_NAME, 1)).alias("name"), F.regexp_extract(x, MEDICINE_DOSE, 1).alias("dose"), x.alias("raw"))
     known = F.transform(terms(c, MEDICINES), lambda t: F.struct(t.alias("name"), F.lit("").alias("dose"), t.alias("raw")))
     return F.when(F.size(items) > 0, F.transform(items, row)).otherwise(known)
 
 
 def patient(c: Column) -> dict[str, Column]:
     """Six fields about a patient, null where absent."""
-    patterns = {
-        "name": r"(?:姓名|患者)[：:]\s*([^\s,，。.]+)", "gender": "性别[：:]\\s*(男|女)", "age": r"年龄[：:]\s*(\d+)(?:\s*岁)?", "patient_id": r"(?:ID|病号|编号|档案号)[：:]\s*([A-Za-z0-9-]+)",
-        "phone": r"(?:电话|手机|联系方式)[：:]\s*(\d{3,}[-\s]?\d{4,}(?:[-\s]?\d{4})?)", "visit_date": r"(?:日期|就诊日期|门诊日期)[：:]\s*(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)"}
-    return {k: F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for k, p in patterns.items()}
+    return {k: F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for k, p in PATIENT.items()}
 
 
 def vitals(c: Column) -> Column:
     """Array of (kind, value, high part) readings: pressure pairs, temperature, glucose, other named numbers."""
     one = lambda kind, p: F.transform(find_all(c, p, 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("double").alias("value"), F.lit(None).cast("double").alias("second")))
-    bp = r"BP[：:]\s*(\d+)/(\d+)\s*(?:mmHg)?"
-    pair = F.zip_with(find_all(c, bp, 1), find_all(c, bp, 2), lambda x, y: F.struct(F.lit("blood_pressure").alias("kind"), x.cast("double").alias("value"), y.cast("double").alias("second")))
-    named = r"(?U)(\w+)\s*(?:[:：])\s*(\d+\.?\d*)\s*(?:[a-zA-Z]+(?:/[a-zA-Z]+)?)?"
-    other = F.filter(F.zip_with(find_all(c, named, 1), find_all(c, named, 2), lambda k, v: F.struct(k.alias("kind"), v.cast("double").alias("value"), F.lit(None).cast("double").alias("second"))), lambda x: ~x["kind"].isin("BP", "T", "BT", "体温", "血糖"))
-    return F.concat(pair, one("temperature", r"(?:T|BT|体温)[：:]\s*(\d+\.?\d*)\s*(?:℃|度)"), one("blood_glucose", r"血糖[：:]\s*(\d+\.?\d*)\s*(?:mmol/L)"), other)
+    pair = F.zip_with(find_all(c, PRESSURE, 1), find_all(c, PRESSURE, 2), lambda x, y: F.struct(F.lit("blood_pressure").alias("kind"), x.cast("double").alias("value"), y.cast("double").alias("second")))
+    other = F.filter(F.zip_with(find_all(c, NAMED_READING, 1), find_all(c, NAMED_READING, 2), lambda k, v: F.struct(k.alias("kind"), v.cast("double").alias("value"), F.lit(None).cast("double").alias("second"))), lambda x: ~x["kind"].isin(*READ_ELSEWHERE))
+    return F.concat(pair, one("temperature", TEMPERATURE), one("blood_glucose", GLUCOSE), other)
 
 
 def variants(c: Column, keywords: Column | None = None) -> Column:
     """The question, a form from its keywords, and four rewordings; each once, sorted."""
-    forms = [c, F.replace(c, F.lit("是什么"), F.lit("有哪些")), F.replace(c, F.lit("如何"), F.lit("怎么样")), F.replace(c, F.lit("头痛"), F.lit("头痛(头疼)")), F.replace(c, F.lit("感冒"), F.lit("感冒(上呼吸道感染)"))]
+    forms = [c, *[F.replace(c, F.lit(x), F.lit(y)) for x, y in REWORDINGS]]
     if keywords is not None:
-        forms.append(F.when(F.size(keywords) > 0, F.concat(F.lit("关于"), F.array_join(F.slice(keywords, 1, 3), "和"), F.lit("的信息"))))
+        about, between, behind = KEYWORD_FORM
+        forms.append(F.when(F.size(keywords) > 0, F.concat(F.lit(about), F.array_join(F.slice(keywords, 1, 3), between), F.lit(behind))))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*forms))))
 
 

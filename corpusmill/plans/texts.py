@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import segmentation as G
 from corpusmill.plans.common import scalar, table
 
 QUERIES, ORACLES = {}, {}
@@ -141,3 +142,18 @@ def frequency(spark, sf_dir):
 
 QUERIES["text_word_frequency"] = frequency
 ORACLES["text_word_frequency"] = "SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS word FROM documents) GROUP BY word"
+
+
+def _segmented(mode):
+    def run(spark, sf_dir):
+        """All documents with their spaces taken out, by the words of the corpus."""
+        d = table(spark, sf_dir, "documents", "doc_id", "text")
+        joined = d.withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+        out = G.segment(joined, G.dictionary(d), mode=mode)
+        return out.select("doc_id", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", " ").cast("binary")).alias("words"))
+
+    return run
+
+
+for _mode in G.MODES:
+    QUERIES[f"segment_{_mode}"] = _segmented(_mode)

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: Every key that a raw question-and-answer record may use.
 RAW = "question string, query string, q string, title string, problem string, prompt string, instruction string, answer string, response string, a string, content string, solution string, reply string, output string, text string, category string, source string, tags array<string>, domain string, difficulty string, id string"
 BAD = "_bad"
+# How a text is split into question and answer, tried in this order.
+QUESTION_AND_ANSWER = (
+    r"(?s)问[:：]\s*(.*?)\s*答[:：]\s*(.*)",
+    r"(?s)Q[:：]\s*(.*?)\s*A[:：]\s*(.*)",
+    r"(?s)问题[:：]\s*(.*?)\s*回答[:：]\s*(.*)",
+    r"(?s)(.+?)[?？]\s*(.*)",
+)
+# End of the fixed values.
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = RAW, strict: bool = False) -> DataFrame:
@@ -189,10 +197,9 @@ def normalise_qa(df: DataFrame, key: str | None = None, least_question: int = 5,
     a = first_of(df, "answer", "response", "a", "content", "solution", "reply")
     x = df.withColumns({"_q": q, "_a": a})
     if "text" in df.columns:
-        patterns = (r"(?s)问[:：]\s*(.*?)\s*答[:：]\s*(.*)", r"(?s)Q[:：]\s*(.*?)\s*A[:：]\s*(.*)", r"(?s)问题[:：]\s*(.*?)\s*回答[:：]\s*(.*)", r"(?s)(.+?)[?？]\s*(.*)")
         need = (F.col("_q").isNull() | F.col("_a").isNull()) & F.col("text").isNotNull()
         nq, na = F.col("_q"), F.col("_a")
-        for p in reversed(patterns):
+        for p in reversed(QUESTION_AND_ANSWER):
             hit = F.col("text").rlike(p)
             nq, na = F.when(hit, text.strip(F.regexp_extract("text", p, 1))).otherwise(nq), F.when(hit, text.strip(F.regexp_extract("text", p, 2))).otherwise(na)
         x = x.withColumns({"_nq": F.when(need, nq).otherwise(F.col("_q")), "_na": F.when(need, na).otherwise(F.col("_a"))}).drop("_q", "_a").withColumnsRenamed({"_nq": "_q", "_na": "_a"})
