@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
+from corpusmill.operators import conversation as C
 from corpusmill.operators import evaluation as E
 from corpusmill.operators import quantiles as Q
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.common import table
 from corpusmill.plans.conversations import ORACLES as CONV
-from corpusmill.plans.conversations import call_counts, reasons
+from corpusmill.plans.conversations import EPISODES, call_counts, episodes, reasons
 
 QUERIES, ORACLES = {}, {}
 
@@ -131,6 +132,40 @@ def model_grade(spark, sf_dir):
     return a.select(F.round("score", 6).alias("score")).join(F.broadcast(g.select("level", F.size(F.filter("checks", lambda c: c["passed"])).cast("long").alias("n_passed"), "overall")))
 
 
+JUDGED = "SELECT toxic = 1 AS overreach, quality = 0 AS hallucination, toxic = 1 AND quality = 0 AS red_flag_omission, toxic = 1 AND quality = 1 AS prescription, 1 + 4 * quality AS score FROM labels"
+
+
+def judged(spark, sf_dir):
+    """Labels as judgements: four flags and a score from 1 to 5."""
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return table(spark, sf_dir, "labels").select(toxic.alias("overreach"), (~good).alias("hallucination"), (toxic & ~good).alias("red_flag_omission"), (toxic & good).alias("prescription"), (1 + 4 * F.col("quality")).alias("score"))
+
+
+@query("model_grade_checks")
+def model_checks(spark, sf_dir):
+    """All six checks: perplexity of line items, ROUGE-L of turns, safety of labels."""
+    ppl = table(spark, sf_dir, "lineitem").agg(F.avg(F.exp(F.col("l_discount") * 20)).alias("perplexity"))
+    rouge = E.rouge_parts(E.longest_common(generated(spark, sf_dir), "id", "g", "t"), "l").select(F.nullif("l_f", F.lit(0.0)).alias("rouge_l"))  # 0 is no value
+    values = E.safety_summary(judged(spark, sf_dir)).join(F.broadcast(ppl)).join(F.broadcast(rouge))  # one row each
+    return E.graded(values, E.MODEL_CHECKS)
+
+
+_CHECK_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS name, {c}::DOUBLE AS value, {b}::DOUBLE AS bound, {c} {op} {b} AS passed FROM v" for n, c, op, b in E.AGENT_CHECKS)
+
+
+@query("agent_grade_checks", f"""WITH e AS (SELECT user_id, day, bool_and(event_type <> 'error') AND bool_or(event_type = 'purchase') AS ok, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS n FROM ({EPISODES}) GROUP BY ALL),
+v AS (SELECT * FROM (SELECT avg(ok::INT) AS format_rate, avg((n > 4)::INT) AS excessive_rate FROM e), (SELECT avg(overreach::INT) AS overreach, avg(hallucination::INT) AS hallucination, avg(red_flag_omission::INT) AS red_flag_omission, avg(prescription::INT) AS prescription, avg(score) AS score FROM ({JUDGED}))),
+c AS ({_CHECK_ROWS})
+SELECT name, round(value, 6) AS value, bound, passed, NULL::VARCHAR AS grade FROM c UNION ALL
+SELECT 'overall', round(score, 6), NULL, (SELECT bool_and(passed) FROM c), CASE WHEN NOT (SELECT bool_and(passed) FROM c) THEN 'FAIL' WHEN score >= 4.5 THEN 'EXCELLENT' WHEN score >= 3.5 THEN 'GOOD' WHEN score >= 2.5 THEN 'ACCEPTABLE' ELSE 'POOR' END FROM v""")
+def agent_checks(spark, sf_dir):
+    """All six checks: format and searches of the episodes of events, safety of labels."""
+    n = F.size(F.filter("turns", lambda t: t["tool"].isNotNull()))
+    e = episodes(spark, sf_dir).select(C.format_check(F.col("turns")).alias("f"), C.tool_check(F.col("turns"), n).alias("t"))
+    rates = e.agg(F.avg(F.col("f.compliant").cast("int")).alias("format_rate"), F.avg(F.col("t.excessive").cast("int")).alias("excessive_rate"))
+    return E.graded(E.safety_summary(judged(spark, sf_dir)).join(F.broadcast(rates)), E.AGENT_CHECKS)  # one row each
+
+
 @query("agent_grade", "SELECT round(f, 6) AS format_rate, round(x, 6) AS excess_rate, CASE WHEN f >= 0.85 AND x <= 0.15 THEN 'PASS' ELSE 'FAIL' END AS overall FROM (SELECT avg((event_type <> 'error')::INT) AS f, avg((value > 50)::INT) AS x FROM events)")
 def agent_grade(spark, sf_dir):
     a = table(spark, sf_dir, "events").agg(F.avg((F.col("event_type") != "error").cast("int")).alias("f"), F.avg((F.col("value") > 50).cast("int")).alias("x"))

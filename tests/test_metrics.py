@@ -60,3 +60,21 @@ def test_ranked_relevance_with_grades(spark):
         assert got[f"ndcg_{k}"] == pytest.approx(sum(ndcg) / 3)
         assert got[f"p_{k}"] == pytest.approx(sum(sum(x > 0 for x in v[:k]) / k for v in labels.values()) / 3)
         assert got[f"r_{k}"] == pytest.approx(sum(sum(x > 0 for x in v[:k]) / max(1, sum(x > 0 for x in v)) for v in labels.values()) / 3)
+
+
+def test_all_checks_of_a_model(spark, sf):
+    q = catalog.queries()
+    got = {r["name"]: r for r in q["model_grade_checks"](spark, sf).collect()}
+    bundle = {r.metric: r.value for r in q["rag_evaluation_longest"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    share = lambda f: sum(map(f, rows)) / len(rows)
+    want = {
+        "perplexity": (q["perplexity_summary"](spark, sf).first()["mean"], 30.0, True), "rouge_l": (bundle["rouge_l_f"], 0.3, False),
+        "overreach": (share(lambda r: r.toxic == 1), 0.1, True), "hallucination": (share(lambda r: r.quality == 0), 0.1, True),
+        "red_flag_omission": (share(lambda r: r.toxic == 1 and r.quality == 0), 0.05, True), "prescription": (share(lambda r: r.toxic == 1 and r.quality == 1), 0.05, True)}
+    assert set(got) == {*want, "overall"}
+    for name, (value, bound, low) in want.items():
+        assert got[name].value == pytest.approx(value, abs=2e-6) and got[name].bound == bound and got[name].passed == (value <= bound if low else value >= bound)
+    mean = 1 + 4 * share(lambda r: r.quality)
+    level = "EXCELLENT" if mean >= 4.5 else "GOOD" if mean >= 3.5 else "ACCEPTABLE" if mean >= 2.5 else "POOR"
+    assert got["overall"].value == pytest.approx(mean, abs=2e-6) and got["overall"].grade == (level if all(got[n].passed for n in want) else "FAIL")

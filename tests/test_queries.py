@@ -15,7 +15,7 @@ def test_same_as_sql(spark, sf, name):
 
 def test_queries_without_sql_are_tested_elsewhere():
     tested = {"text_sequence_ratio", "ivf_probed"}  # test_whole.py
-    tested |= {"rag_evaluation_longest"}  # test_metrics.py
+    tested |= {"rag_evaluation_longest", "model_grade_checks"}  # test_metrics.py
     tested |= {"segment_precise", "segment_full", "segment_search"}  # test_segmentation.py
     tested |= {"rouge_l", "rouge_characters_l", "hybrid_search", "hyde_search", "near_dedup_greedy", "near_dedup_components", "near_dedup_minhash", "keywords_text_rank"}  # test_brute.py
     assert set(QUERIES) - set(ORACLES) == tested
