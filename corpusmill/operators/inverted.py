@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from corpusmill.operators.retrieval import nearest, top
 from corpusmill.storage import cut, discard, new_path
 
 #: Vectors of a packed block, and of a block of queries that probe a list.
-BLOCK, QUERY_BLOCK = 1024, 1024
+BLOCK, QUERY_BLOCK = 512, 128
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -163,6 +164,13 @@ def _multiplied(k: int):
                 if len(ids) >= k:
                     seen.update(zip(names, bound.tolist(), strict=True))
                 j, i = np.nonzero(scores >= bound[:, None])
+                if len(j) > k:  # of equal products no more than k, those of the smallest ids
+                    place = np.empty(len(ids), np.int64)
+                    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+                    order = np.lexsort((place[i], -scores[j, i], j))
+                    j, i = j[order], i[order]
+                    some = np.arange(len(j)) - np.searchsorted(j, j) < k
+                    j, i = j[some], i[some]
                 if len(j):
                     yield pa.RecordBatch.from_arrays([asked.take(pa.array(j)), ids.take(pa.array(i)), pa.array(scores[j, i])], names=["qid", "doc_id", "dense"])
 
