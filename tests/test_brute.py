@@ -240,3 +240,28 @@ def test_conversations_as_instructions(spark, tmp_path):
     assert written("x") == {"instruction": "u1", "input": "", "output": "a2", "_meta": 3}
     writers.conversations(df, str(tmp_path / "y"), meta=False)
     assert set(written("y")) == {"messages"}
+
+
+def test_parities_bound_what_two_sets_do_not_share(spark):
+    """No pair at the threshold is lost at any size, and pairs of one rare word in common are no rows of the verification."""
+    data, own = [], 0
+    for size in (3, 40, 599, 601, 700, 2490, 2510, 3000):
+        base = [f"w{own + i}" for i in range(size)]
+        for change in (0, 0.1, 0.12, 0.4, 0.9):
+            n = int(size * change)
+            data.append((len(data), base[: size - n] + [f"x{len(data)}-{i}" for i in range(n)]))
+        own += size
+    df = spark.createDataFrame(data, "id long, w array<string>")
+    sets = {i: set(w) for i, w in data}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert {tuple(r) for r in dedup.near_pairs(df, "id", "w", 0.8).collect()} == want
+    bits = {r.id: r.bits for r in dedup.parities(df.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))).collect()}
+    count = lambda x, y: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True))
+    for a in sets:
+        for b in sets:
+            differ = [count(bits[a][: len(dedup.BITS)], bits[b][: len(dedup.BITS)])]
+            if bits[a].more and bits[b].more and len(bits[a].more) == len(bits[b].more):
+                differ.append(count(bits[a].more, bits[b].more))
+            assert max(differ) <= len(sets[a] ^ sets[b])
+            if a // 5 == b // 5 and abs(a % 5 - b % 5) == 4 and len(sets[a]) > 3:
+                assert max(differ) * 1.8 > 0.2 * (len(sets[a]) + len(sets[b]))
