@@ -1,8 +1,12 @@
 """Batches in pieces: every row once, in order, and bounded bytes."""
 
+from collections import Counter
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusmill.functions.batches import pieces
+from corpusmill.operators import evaluation, hooks
 from corpusmill.operators import segmentation as G
 
 
@@ -25,3 +29,25 @@ def test_segments_come_in_pieces(spark):
     words = spark.createDataFrame([("ab", 3), ("ba", 1)], "word string, n long")
     out = G.segment(docs, words, mode="full")
     assert [len(r.words) for r in out.orderBy("doc_id").collect()] == [2 * 40_000 - 1] * 12
+
+
+def test_tokenizer_and_longest_common_in_pieces(spark):
+    """Null, empty and long rows; lists of one batch are not held together."""
+    texts = ["a b", None, "", "x " * 300_000, "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: r.n for r in docs.select("id", F.size(hooks.tokenizer(str.split)(F.col("text"))).alias("n")).collect()}
+    assert got == {i: len((t or "").split()) for i, t in enumerate(texts)}
+    pairs = [(0, ["a", "b"], ["b", "a"]), (1, None, ["a"]), (2, [], []), (3, ["q"] * 40_000, ["q"] * 10), (4, ["x"], ["x"])]
+    found = evaluation.longest_common(spark.createDataFrame(pairs, "id long, g array<string>, t array<string>").coalesce(1), "id", "g", "t")
+    assert {r.id: (r.hit, r.n_guess, r.n_truth) for r in found.collect()} == {0: (1, 2, 2), 1: (0, 0, 1), 2: (0, 0, 0), 3: (10, 40_000, 10), 4: (1, 1, 1)}
+
+
+def test_calls_of_few_workers_come_in_waves(spark, monkeypatch):
+    """Whatever the rows, a task gets no more than some; each row is called for once."""
+    monkeypatch.setattr(hooks, "TASK_ROWS", 50)
+    docs = spark.range(0, 1010, 1, 7).withColumnRenamed("id", "doc_id")
+    size = lambda rows: [{"task": __import__("pyspark").TaskContext.get().taskAttemptId()} for _ in rows]
+    got = hooks.call(docs, size, "task long", workers=2).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1010))
+    sizes = Counter(r.task for r in got)
+    assert max(sizes.values()) <= 60 and len(sizes) >= 20
