@@ -51,3 +51,13 @@ def test_calls_of_few_workers_come_in_waves(spark, monkeypatch):
     assert sorted(r.doc_id for r in got) == list(range(1010))
     sizes = Counter(r.task for r in got)
     assert max(sizes.values()) <= 60 and len(sizes) >= 20
+
+
+def test_few_segments_in_a_file(spark, monkeypatch):
+    """A file of the lexical index holds some segments, however many a task makes."""
+    from corpusmill.operators import lexical
+
+    monkeypatch.setattr(lexical, "SEGMENT_DOCS", 10)
+    segments, _ = lexical.build(spark.range(0, 1000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text")))
+    files = segments.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) >= 100 and max(r["count"] for r in files) <= lexical.FILE_SEGMENTS
