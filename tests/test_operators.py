@@ -145,3 +145,19 @@ def test_draws_with_replacement(spark):
     assert got == again and sum(x[1] == "a" for x in got) == 2050 and [x[0] for x in got if x[1] == "b"] == list(range(50, 450)) and sum(x[1] == "c" for x in got) == 40
     times = [sum(x[0] == i for x in got) - 1 for i in range(50)]  # 2000 draws among 50: mean 40, variance near 39
     assert sum(times) == 2000 and 15 < sum((t - 40) ** 2 for t in times) / 50 < 90
+
+
+def test_a_report_tests_texts_for_what_a_match_holds_first(spark):
+    """Each detector counts as its pattern alone does; a text without a Chinese character meets no Chinese pattern."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import privacy as P
+
+    texts = ["id 11010519900101123x end", "E12345678 AB123456", "tel 13800000000, 010-12345678", "微信：user_12x WX: abcdefg", "a@b.org 10.0.0.1 ١٢.١٢.١٢.١٢", "社保号:A123456789012345", "在建国路12号3单元",
+             "张医生 王小明说", "病历号：ZY123456", "检验 x 2024年1月2日", "2024-01-02 在北京医院的内科", "1234567890123456 ١٢٣٤٥٦٧٨٩٠١٢٣٤٥٦", "plain", "", None]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").repartition(3)
+    want = {(r.i, x.label): r.n for x in P.DETECTORS for r in d.select("i", F.size(F.regexp_extract_all("t", F.lit(P.pattern(x)), F.lit(0))).alias("n")).where("n > 0").collect()}
+    got = {(r.i, r.label): r.n for r in d.select("i", F.explode(P.report(F.col("t"))).alias("label", "n")).collect()}
+    assert got == want and {label for _, label in got} == {x.label for x in P.DETECTORS}
+    plan = d.select(P.report(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") >= len(P.DETECTORS)
