@@ -161,3 +161,28 @@ def test_a_report_tests_texts_for_what_a_match_holds_first(spark):
     assert got == want and {label for _, label in got} == {x.label for x in P.DETECTORS}
     plan = d.select(P.report(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN") >= len(P.DETECTORS)
+
+
+def test_all_products_by_batches(spark):
+    """Of blocks and batches of a few vectors as of one; null without two vectors of one length; no product is made by a row's own expression."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import retrieval as R
+
+    random.seed(4)
+    made = [(i, [random.uniform(-1, 1) for _ in range(8)]) for i in range(90)] + [(90, None), (91, [1.0, None]), (92, [1.0, 2.0]), (93, []), (None, [0.5] * 8), (94, [float("nan")] * 8)]
+    d = spark.createDataFrame(made, "doc_id long, embedding array<double>").repartition(4)
+    q = d.where("doc_id % 10 < 5").select(F.col("doc_id").alias("qid"), F.col("embedding").alias("vector"))
+    want = {(r.qid, r.doc_id): r.x for r in d.crossJoin(q).select("qid", "doc_id", R.dot(F.col("embedding"), F.col("vector")).alias("x")).collect()}
+    for block in (16 << 20, 500):
+        found = R.dense(d, q, block_bytes=block)
+        got = found.collect()
+        assert len(got) == len(want)
+        for r in got:
+            x = want[r.qid, r.doc_id]
+            assert (r.dense is None) == (x is None) and (x is None or x != x and r.dense != r.dense or abs(r.dense - x) < 1e-12)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "zip_with" not in plan
+    assert R.dense(d, q.where("false")).count() == 0 and R.dense(d.where("false"), q).count() == 0
