@@ -30,12 +30,23 @@ def three_ways(df: DataFrame, path: str, passed: str) -> None:
 
 
 def knowledge(docs: DataFrame, path: str) -> None:
-    """Documents, their index tables, and one row about them."""
+    """Documents, their index tables, and one row about them.
+
+    Texts are cut into terms once: the terms and the row are counted from the
+    tables written before.
+    """
     from corpusmill.operators.retrieval import lexical_index
 
-    postings, df, stats = lexical_index(docs, "contents")
-    for name, rows in (("docs", docs), ("postings", postings), ("terms", df), ("stats", stats)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    read = docs.sparkSession.read
+    postings, _, _ = lexical_index(docs, "contents")
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
+    postings = read.schema(postings.schema).parquet(f"{path}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    known = read.schema(docs.schema).parquet(f"{path}/docs").agg(F.count("*").alias("n"), F.count("contents").alias("known"))
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))  # both are single rows
+    stats = known.join(F.broadcast(words)).select("n", (F.col("words") / F.nullif("known", F.lit(0))).alias("avgdl"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def union_csv(frames: list[DataFrame], path: str) -> None:

@@ -186,3 +186,28 @@ def test_all_products_by_batches(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "zip_with" not in plan
     assert R.dense(d, q.where("false")).count() == 0 and R.dense(d.where("false"), q).count() == 0
+
+
+def test_knowledge_tables_cut_each_text_once(spark, tmp_path):
+    """The tables are those of the index over the documents, also with null, empty and repeated rows; a text is read twice, as itself and for its terms."""
+    from corpusmill.operators.retrieval import lexical_index
+    from corpusmill.sources import writers as Wr
+
+    made = [(1, "a b a"), (2, "b"), (3, ""), (4, None), (1, "a b a"), (1, "c"), (None, "d d")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    for i, rows in enumerate((made, [(4, None)], [])):
+        docs = spark.createDataFrame(rows, "doc_id long, contents string")
+        Wr.knowledge(docs.mapInArrow(seen, docs.schema), f"{tmp_path}/{i}")
+        if not i:
+            assert read.value == 2 * len(made)
+        for name, want in zip(("postings", "terms", "stats"), lexical_index(docs, "contents"), strict=True):
+            got = spark.read.parquet(f"{tmp_path}/{i}/{name}")
+            assert got.dtypes == want.dtypes
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert spark.read.parquet(f"{tmp_path}/{i}/docs").count() == len(rows)
