@@ -65,12 +65,7 @@ def sentiment(spark, sf_dir):
 
 @query("bleu_corpus", f"WITH gen AS ({_GEN}), h AS (SELECT sum(len(g)) AS lg, sum(len(t)) AS lt, sum(len(g)) AS n1, sum(greatest(len(g) - 1, 0)) AS n2 FROM gen), a AS (SELECT sum(hit) AS h1 FROM {_overlap_sql(1)}), b AS (SELECT sum(hit) AS h2 FROM {_overlap_sql(2)}) SELECT round(CASE WHEN lg > lt THEN 1 ELSE exp(1 - lt / lg) END * exp((ln(h1 / n1) + ln(h2 / n2)) / 2), 6) AS bleu FROM h, a, b")
 def corpus_bleu(spark, sf_dir):
-    g = generated(spark, sf_dir)
-    total = g.agg(F.sum(F.size("g")).alias("lg"), F.sum(F.size("t")).alias("lt"))
-    for n in (1, 2):
-        total = total.join(F.broadcast(E.overlap(g, "id", "g", "t", n).agg(F.sum("hit").alias(f"h{n}"), F.sum("n_guess").alias(f"n{n}"))))
-    short = F.when(F.col("lg") > F.col("lt"), 1.0).otherwise(F.exp(1 - F.col("lt") / F.col("lg")))
-    return total.select(F.round(short * F.exp((F.log(F.col("h1") / F.col("n1")) + F.log(F.col("h2") / F.col("n2"))) / 2), 6).alias("bleu"))
+    return E.corpus_bleu(generated(spark, sf_dir), "id", "g", "t", 2).withColumnRenamed("bleu_2", "bleu")
 
 
 @query("rouge_characters", f"""WITH gen AS (SELECT id, list_filter(string_split(array_to_string(g, ''), ''), lambda x: x <> '') AS g, list_filter(string_split(array_to_string(t, ''), ''), lambda x: x <> '') AS t FROM ({_GEN}))

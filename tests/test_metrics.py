@@ -78,3 +78,34 @@ def test_all_checks_of_a_model(spark, sf):
     mean = 1 + 4 * share(lambda r: r.quality)
     level = "EXCELLENT" if mean >= 4.5 else "GOOD" if mean >= 3.5 else "ACCEPTABLE" if mean >= 2.5 else "POOR"
     assert got["overall"].value == pytest.approx(mean, abs=2e-6) and got["overall"].grade == (level if all(got[n].passed for n in want) else "FAIL")
+
+
+def test_overlaps_are_counted_in_rows(spark, monkeypatch):
+    """Any tokens, lengths and pieces; rows of one key are matched together; no n-gram is a row of a shuffle."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    side = lambda: None if rng.random() < 0.1 else [rng.choice("abcdé") for _ in range(rng.randint(0, 30))]
+    rows = [(i, side(), side()) for i in range(200)] + [(7, side(), side()), (7, ["a"] * 9, ["a"] * 5), (300, [], []), (301, ["b"] * 3000, ["b"] * 2000), (None, ["a"], ["a"])]
+    df = spark.createDataFrame(rows, "id long, g array<string>, t array<string>").repartition(3)
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w or []) - n + 1))
+    for piece in (200, 1 << 20):
+        whole = E._row_overlaps
+        monkeypatch.setattr(E, "_row_overlaps", lambda most, p=piece, whole=whole: whole(most, p))
+        got = E.overlaps(df, "id", "g", "t", 4).collect()
+        monkeypatch.setattr(E, "_row_overlaps", whole)
+        assert len(got) == len(rows)
+        for r in got:
+            for n in range(1, 5):
+                own = [(grams(g, n), grams(t, n)) for i, g, t in rows if i == r.id]
+                a, b = (sum((x[j] for x in own), Counter()) for j in (0, 1))
+                assert r.hits[n - 1] == (0 if r.id is None else sum((a & b).values())), (r.id, n)
+    many = spark.createDataFrame([(0, [f"w{i}" for i in range(5000)], [f"w{i}" for i in range(1, 5001)])], "id long, g array<string>, t array<string>")
+    assert E.overlaps(many, "id", "g", "t", 9).first().hits == [4999 - n for n in range(9)]  # more tokens than numbers of n-grams have room for
+
+
+def test_overlaps_send_no_ngrams(spark):
+    """The plan has no shuffle of n-grams: the rows of one key each are met where they lie."""
+    df = spark.range(10).selectExpr("id", "split('a b c', ' ') g", "split('b c d', ' ') t")
+    plan = E.overlap(df, "id", "g", "t", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
