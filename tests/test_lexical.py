@@ -75,3 +75,34 @@ def test_empty_tables(spark, texts):
     q = spark.createDataFrame([(1, "c1")], "qid long, query string")
     assert L.search(L.build(texts.where("doc_id < 0")), q, 3).count() == 0
     assert L.search(L.build(texts.where("doc_id < 9")), q.where("qid < 0"), 3).count() == 0
+
+
+def test_segments_without_a_better_document_are_passed_over(spark, texts, monkeypatch):
+    """A query is held against the segments that may hold a better document than is known, or a wanted one, alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "SEGMENT_DOCS", 30)
+    segments, _ = L.build(texts.where("doc_id IS NOT NULL").coalesce(1).sortWithinPartitions("doc_id"))
+    batches, calls = segments.drop("texts", "words", "df").toArrow().to_batches(), []
+    search = L._Segment.search
+    monkeypatch.setattr(L._Segment, "search", lambda self, *a: calls.append(1) or search(self, *a))
+    queries = [{"qid": t, "terms": [f"t{t}w{i}" for i in range(9)] + ["c1"], "weights": [6.0] * 9 + [0.1], "least": 5.0, "wanted": [17]} for t in range(0, 300, 10)]
+
+    class Sent:
+        value = L._asked(queries, None)
+
+    out = [r for b in L._task(Sent, 3, 100.0, (pa.int64(), pa.int64()))(batches) for r in b.to_pylist()]
+    assert {r["qid"] for r in out if r["wanted"]} == set(range(0, 300, 10)) and {r["qid"] for r in out if r["wanted"] is False} == set(range(0, 300, 10))
+    assert len(segments.collect()) >= 100 and len(calls) <= 11 * len(queries)  # of ten documents of a topic, and the wanted one
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    """In time that grows with the numbers, not with their square."""
+    import time
+
+    wide = spark.range(200).select("id", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: (i + F.col("id")).cast("float")).alias("v")).localCheckpoint()
+    start = time.monotonic()
+    sums = wide.select(R.dot(R.unit(F.col("v")), R.unit(F.col("v"))).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert sums[0] == pytest.approx(1) and sums[1] == pytest.approx(1) and time.monotonic() - start < 20
+    odd = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, []), (3, [3.0, 4.0]), (4, [1.0, None])], "id int, v array<float>")
+    assert [r.u for r in odd.select("id", R.unit(F.col("v")).alias("u")).orderBy("id").collect()] == [[0.0, 0.0], None, [], [0.6, 0.8], [None, None]]
