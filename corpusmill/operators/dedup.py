@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import tokens
 from corpusmill.operators.graph import connected_components
-from corpusmill.storage import cut
+from corpusmill.storage import cut, discard
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -50,7 +50,7 @@ def near_pairs(df: DataFrame, key: str, words: str, threshold: float, exact: boo
     their words may, are verified on the sets: a pair is a row only then.  Equal
     sets are compared once, by their first.
     """
-    sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("w")).where("size(w) > 0")
+    sets = df.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(words)).alias("w")).where("size(w) > 0")
     rank = sets.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     ranked = sets.select("id", F.explode("w").alias("x")).join(rank, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("r"), F.count("*").cast("int").alias("size"))
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
@@ -119,15 +119,21 @@ def signatures(sets: DataFrame, bands: int, rows: int, seed: int = 1) -> DataFra
     def run(batches):
         import pyarrow as pa
 
+        x, y = (np.empty((256, bands * rows), np.uint64) for _ in range(2))
         for batch in batches:
             out = []
             for words in batch.column(1):
                 h = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 least = np.full(bands * rows, np.iinfo(np.uint64).max)
-                for at in range(0, len(h), 4096):  # long texts in pieces
-                    x = h[at : at + 4096, None] * a + b
-                    x ^= x >> np.uint64(29)
-                    least = np.minimum(least, (x * np.uint64(0xBF58476D1CE4E5B9)).min(0))
+                for at in range(0, len(h), len(x)):  # in pieces, and in place: a task's time is these few operations
+                    part = h[at : at + len(x), None]
+                    p, q = x[: len(part)], y[: len(part)]
+                    np.multiply(part, a, out=p)
+                    np.add(p, b, out=p)
+                    np.right_shift(p, np.uint64(29), out=q)
+                    np.bitwise_xor(p, q, out=p)
+                    np.multiply(p, np.uint64(0xBF58476D1CE4E5B9), out=p)
+                    np.minimum(least, p.min(0), out=least)
                 mixed = np.zeros(bands, np.uint64)
                 for column in least.reshape(bands, rows).T:
                     mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -151,8 +157,11 @@ def minhash_pairs(df: DataFrame, key: str, words: str, threshold: float, permuta
     if not verify:
         first = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
         return banded.join(first, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    near = banded.select(F.col("id").alias("a"), "band").join(banded.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
-    side = lambda n: sets.select(F.col("id").alias(n), F.col("w").alias("w" + n))
+    several = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    banded = cut(banded.join(several, "band", "left_semi"), "shared")
+    near = cut(banded.select(F.col("id").alias("a"), "band").join(banded.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct(), "met")
+    some = cut(sets.join(banded.select("id").distinct(), "id", "left_semi"), "some")  # the sets that met another, once
+    side = lambda n: some.select(F.col("id").alias(n), F.col("w").alias("w" + n))
     both = near.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b")
@@ -165,7 +174,7 @@ def near_classes(df: DataFrame, key: str, words: str, threshold: float) -> DataF
     similarity.  Sets meet once, whatever the number of their copies; rows
     without words link with nothing and are their own ``same_as``.
     """
-    rows = cut(df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("w")).withColumn("h", F.sha2(F.to_json("w"), 256)), "sets")
+    rows = cut(df.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(words)).alias("w")).withColumn("h", F.sha2(F.to_json("w"), 256)), "sets")
     same = cut(rows.where("size(w) > 0").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")), "same")
     firsts = rows.join(same.select(F.col("first").alias("id")), "id", "left_semi")
     pairs = cut(near_pairs(firsts, "id", "w", threshold), "near")
@@ -205,12 +214,15 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", threshold
     ``components``; ``pairs`` is ``exact`` or ``minhash``.
     """
     rows = df.where(F.coalesce(F.col(text), F.lit("")) != "")
-    sets = rows.select(key, words(F.col(text)).alias("_w")).where(F.size("_w") >= least_tokens).select(key, F.array_sort(F.array_distinct("_w")).alias("_w"))
+    # A generated column is computed once; a filter and a projection would each cut the text into words.
+    sets = rows.select(key, F.explode(F.array(words(F.col(text)))).alias("_w")).where(F.size("_w") >= least_tokens).select(key, F.explode(F.array(F.sort_array(F.array_distinct("_w")))).alias("_w"))
     # Whatever drops the first of equal sets drops the others too, so copies never meet each other.
-    sets = cut(sets.withColumn("_h", F.sha2(F.array_join("_w", "\n"), 256)), "sets")
-    first = cut(sets.groupBy("_h").agg(F.min(key).alias(key)).select(key), "first")
-    rows = rows.join(sets.select(key).join(first, key, "left_anti"), key, "left_anti")
-    sets = sets.join(first, key, "left_semi").drop("_h")
+    told = cut(sets.withColumn("_h", F.sha2(F.array_join("_w", "\n"), 256)), "sets")
+    first = told.groupBy("_h").agg(F.min(key).alias(key)).select(key)
+    copies = cut(told.select(key).join(first, key, "left_anti"), "copies")
+    rows = rows.join(copies, key, "left_anti")
+    sets = cut(told.drop("_h").join(copies, key, "left_anti"), "firsts")
+    discard(told)
     found = cut(near_pairs(sets, key, "_w", threshold) if pairs == "exact" else minhash_pairs(sets, key, "_w", threshold), "near")
     if mode == "greedy":
         return greedy_kept(rows, found, key)

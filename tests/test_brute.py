@@ -265,3 +265,16 @@ def test_parities_bound_what_two_sets_do_not_share(spark):
             assert max(differ) <= len(sets[a] ^ sets[b])
             if a // 5 == b // 5 and abs(a % 5 - b % 5) == 4 and len(sets[a]) > 3:
                 assert max(differ) * 1.8 > 0.2 * (len(sets[a]) + len(sets[b]))
+
+
+def test_words_of_near_duplicates_are_cut_once(spark, monkeypatch):
+    """No text is cut into words for a filter and for its set, and sets meet their copies' keys once."""
+    plans, cut = {}, dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df, what="cut", *a: plans.setdefault(what, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, what, *a))
+    base = "a b c d e f g h i j"
+    docs = spark.createDataFrame([(0, base), (1, base), (2, base + " k"), (3, "x y z"), (4, "x z"), (5, None), (6, ""), (7, "Z y X"), (8, "x y q")], "doc_id long, text string")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0))
+    kept = dedup.near_dedup(docs, pairs="minhash", words=words)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 8]
+    assert [p.count("regexp_extract_all") for p in plans["sets"]] == [1]
+    assert all("Join" not in p for p in plans["bands"])
