@@ -105,7 +105,10 @@ def build(docs: DataFrame, path: str | None = None, nlist: int = 1024, key: str
     path = path or new_path(spark, "index")
     rows = docs.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     n = rows.count()
+    cores = spark.sparkContext.defaultParallelism
     some = rows if n <= sample else rows.orderBy(F.xxhash64("id")).limit(sample)
+    if n > sample or rows.rdd.getNumPartitions() < cores:  # a limit leaves one partition, and the fit would be one task
+        some = cut(some.repartition(cores, "id"), "sample")
     size, centres = min(nlist, n // 10), []
     if n and size < 2:  # one list around the mean
         centres = [np.array([r.a for r in rows.select(F.posexplode("vector")).groupBy("pos").agg(F.avg("col").alias("a")).orderBy("pos").collect()])]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import inverted as I
 from corpusmill.operators.retrieval import nearest
@@ -69,3 +70,15 @@ def test_empty_and_null(spark):
     assert I.search(spark, I.build(d), q, 3, 2).count() == 0
     one = spark.createDataFrame([(1, [1.0]), (2, [3.0])], "doc_id long, embedding array<double>")
     assert [(r.doc_id, r["rank"]) for r in I.search(spark, I.build(one), q, 3, 2).collect()] == [(2, 1), (1, 2)]
+
+
+def test_sample_is_fitted_by_all_cores(spark, monkeypatch):
+    """A sample of a larger table, which a limit brings into one partition, and a table of one partition."""
+    from pyspark.ml.clustering import KMeans
+
+    parts, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: parts.append(df.rdd.getNumPartitions()) or fit(self, df))
+    docs = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), F.array(*[F.sin(F.col("id") * i).cast("float") for i in range(1, 5)]).alias("embedding"))
+    for sample in (300, 100_000):
+        I.build(docs, nlist=5, sample=sample)
+    assert min(parts) >= spark.sparkContext.defaultParallelism and len(parts) == 2
