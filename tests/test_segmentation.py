@@ -45,6 +45,32 @@ def test_best_path_and_all_words(seed):
         assert at == len(search)
 
 
+@pytest.mark.parametrize("abreast", [1, 24, 10**9])
+def test_runs_at_once_equal_runs_one_by_one(monkeypatch, abreast):
+    """Many runs of one piece, ties, long ones and letters of several bytes: the words that the plain code finds, in its order."""
+    monkeypatch.setattr(G, "ABREAST", abreast)
+    for seed in range(6):
+        random.seed(seed)
+        letters = "abC中É𝒜İΣ"[: 2 + seed]
+        counts = {"".join(random.choice(letters.lower()) for _ in range(random.randint(1, 6))): random.choice([1, 1, 2, 4, 99]) for _ in range(40)}
+        known, lattice = G.Words(counts), G.Lattice(counts)
+        runs = ["".join(random.choice(letters + "x") for _ in range(random.choice([1, 3, 10, 40, 700]))) for _ in range(60)]
+        for mode in G.MODES:
+            got = G._texts(runs, *lattice.cut(runs, mode)).to_pylist()
+            assert got == [w for r in runs for w in known.cut(r, mode)]
+    assert G.Lattice({}).cut(["ab"], "precise")[0].tolist() == [0, 1] and G._texts([], *lattice.cut([], "search")).to_pylist() == []
+
+
+def test_a_piece_is_cut_at_once(spark, monkeypatch):
+    """No run is cut by itself: that took most of the time of the three queries."""
+    docs = spark.createDataFrame([(i, "heart rate. blood") for i in range(50)], "doc_id long, text string").coalesce(1)
+    calls = []
+    lattice = G.Lattice({"heart": 3, "rate": 2, "blood": 1})
+    monkeypatch.setattr(G.Words, "cut", lambda *x: calls.append(x))
+    assert [w for r in G.segment(docs, spark.createDataFrame([("heart", 3), ("rate", 2), ("blood", 1)], "word string, n long")).collect() for w in r.words] == ["heart", "rate", "blood"] * 50
+    assert not calls and len(lattice.cut(["heartrate"] * 50, "precise")[0]) == 100
+
+
 def test_spaces_come_back(spark):
     random.seed(1)
     words = ["heart", "rate", "pressure", "blood", "Éclair", "patient", "中药", "治疗", "the", "therapy"]
