@@ -96,6 +96,27 @@ def test_segments_without_a_better_document_are_passed_over(spark, texts, monkey
     assert len(segments.collect()) >= 100 and len(calls) <= 11 * len(queries)  # of ten documents of a topic, and the wanted one
 
 
+@pytest.mark.parametrize("abreast, dense, terms, postings", [(256, 64, 4096, 1 << 20), (7, 2, 5, 50)])
+def test_where_little_is_spared_queries_are_scored_in_one_pass(spark, monkeypatch, abreast, dense, terms, postings):
+    """Whole documents without topics as queries, with wanted ones, copies and empty texts: each goes to the tasks once, and not in three passes."""
+    for name, value in (("SEGMENT_DOCS", 64), ("ABREAST", abreast), ("DENSE", dense), ("DENSE_TERMS", terms), ("POSTINGS", postings)):
+        monkeypatch.setattr(L, name, value)
+    random.seed(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(random.choices(words, range(400, 0, -1), k=random.randint(1, 90)))) for i in range(500)]
+    docs = spark.createDataFrame([*rows, *[(600 + i, rows[9][1]) for i in range(20)], (700, ""), (701, None)], "doc_id long, text string").repartition(4)
+    q = docs.where("doc_id % 4 = 1 OR doc_id >= 700").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"), F.expr("array(doc_id, 605, 700)").alias("near"))
+    sent, asked = [], L._asked
+    monkeypatch.setattr(L, "_asked", lambda queries, heaviest: sent.append(len(queries)) or asked(queries, heaviest))
+    out = L.search(L.build(docs), q, 5, wanted="near")
+    want = expected(spark, docs, q, 5)
+    same(found(out, 5), want)
+    every = {(r.qid, r.doc_id): r.bm25 for r in R.bm25(docs, q).collect()}
+    got = {(r.qid, r.doc_id): r.bm25 for r in out.where("wanted").collect()}
+    assert set(got) == {x for x in every if x[1] in (x[0], 605)} and all(got[x] == pytest.approx(every[x]) for x in got)
+    assert sum(sent) <= len({x[0] for x in want}) + 2 * L.TRIAL
+
+
 def test_length_of_a_vector_is_taken_once(spark):
     """In time that grows with the numbers, not with their square."""
     import time
