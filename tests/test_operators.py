@@ -79,6 +79,36 @@ def test_near_pairs_equal_brute_force(spark, sf):
     assert got == want
 
 
+def _records(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("group", [5, 512])
+def test_near_pairs_send_no_row_for_each_word(spark, monkeypatch, group):
+    """Clusters about the threshold: words are counted where they are, a set goes to its groups, and large groups are dealt."""
+    import random
+
+    monkeypatch.setattr(dedup, "GROUP", group)
+    random.seed(2)
+    data = []
+    for cluster in range(4):
+        for _ in range(30):
+            own = {f"{cluster}x{random.randint(0, 99)}" for _ in range(random.choice([0, 20, 30, 40]))}
+            data.append((f"k{len(data):03}", [*(f"{cluster}w{i}" for i in range(280)), *own]))
+    data += [("k900", []), ("k901", ["a"]), ("k902", ["a", "a"]), ("k903", None)]
+    df = spark.createDataFrame(data, "id string, w array<string>").repartition(4).localCheckpoint()
+    sets = {i: set(w) for i, w in data if w}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    before = _records(spark)
+    got = [tuple(r) for r in dedup.near_pairs(df, "id", "w", 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want)
+    sent = sum(n for stage, n in _records(spark).items() if stage not in before)
+    assert sent < 33_000 + 8 * 1740  # pairs and some rare words; the 35,000 words of all sets went twice
+
+
 def test_packing_keeps_whole_chunks_only(spark):
     df = spark.createDataFrame([(i, [f"{i}.{j}" for j in range(i)]) for i in range(12)], "id long, t array<string>")
     flat = [w for i in range(12) for w in [*(f"{i}.{j}" for j in range(i)), "E"]]
